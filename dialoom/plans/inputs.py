@@ -75,6 +75,24 @@ UNION ALL
 SELECT conv_id, turn * 10 + 2, 'tool_result', CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING),
        'HassTurnOff', '{{"error":"no ' || CAST(turn AS STRING) || '"}}'
 FROM {conversations} WHERE role = 'assistant' AND (conv_id + turn) % 3 = 1""",
+    # entity registry of many homes, with aliases and the attributes of a few domains
+    "registry": """
+SELECT p_partkey, CAST(FLOOR(p_partkey / 40) AS BIGINT) AS home_id, p_partkey % 40 AS place,
+       CASE p_partkey % 11 WHEN 0 THEN 'light' WHEN 1 THEN 'climate' WHEN 2 THEN 'media_player' WHEN 3 THEN 'switch' WHEN 4 THEN 'fan'
+         WHEN 5 THEN 'blinds' WHEN 6 THEN 'garage_door' WHEN 7 THEN 'lock' WHEN 8 THEN 'vacuum' WHEN 9 THEN 'timer' ELSE 'todo' END AS domain,
+       replace(p_name, ' ', '_') || '_' || CAST(p_partkey AS STRING) AS suffix, p_name || ' ' || CAST(p_partkey AS STRING) AS friendly_name,
+       CASE WHEN p_size % 2 = 0 THEN 'on' ELSE 'off' END AS state, p_partkey % 13 <> 0 AS exposed,
+       p_partkey % 100 AS device_id, CASE WHEN p_partkey % 7 = 0 THEN CAST(p_size % 25 AS BIGINT) END AS entity_area,
+       CASE WHEN p_partkey % 9 = 0 THEN 'W' END AS unit,
+       CASE WHEN p_partkey % 5 = 0 THEN p_brand END AS alias1, CASE WHEN p_partkey % 10 = 0 THEN 'my ' || p_type END AS alias2,
+       CASE WHEN p_partkey % 11 = 0 AND p_size % 3 > 0 THEN p_size * 5 END AS red, p_partkey % 256 AS green, (p_partkey * 7) % 256 AS blue,
+       CASE WHEN p_partkey % 11 = 0 THEN p_size * 5 END AS brightness,
+       CASE WHEN p_partkey % 11 = 1 THEN CAST(p_size + 20 AS STRING) || '.5' END AS temperature,
+       CASE WHEN p_partkey % 11 = 1 AND p_size % 5 = 0 THEN 'K' END AS temperature_unit,
+       CASE WHEN p_partkey % 11 = 1 AND p_size % 2 = 0 THEN p_size END AS humidity,
+       CASE WHEN p_partkey % 11 = 2 THEN p_name END AS media_title,
+       CASE WHEN p_partkey % 11 = 2 THEN CAST(p_size AS DOUBLE) / CAST(100 AS DOUBLE) END AS volume_level
+FROM {part}""",
 }
 
 _NAME = re.compile(r"(?<!\{)\{(\w+)\}(?!\})")
