@@ -56,7 +56,7 @@ def fill(text: Column, values: dict) -> Column:
     """Replace `<name>` by a literal value for every (name -> column); NULL values leave the marker."""
     for name, value in values.items():
         mark = F.lit(f"<{name}>")
-        text = F.when(value.isNull(), text).otherwise(F.replace(text, mark, value.cast("string")))
+        text = F.replace(text, mark, F.coalesce(value.cast("string"), mark))
     return text
 
 

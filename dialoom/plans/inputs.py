@@ -93,6 +93,59 @@ SELECT p_partkey, CAST(FLOOR(p_partkey / 40) AS BIGINT) AS home_id, p_partkey %
        CASE WHEN p_partkey % 11 = 2 THEN p_name END AS media_title,
        CASE WHEN p_partkey % 11 = 2 THEN CAST(p_size AS DOUBLE) / CAST(100 AS DOUBLE) END AS volume_level
 FROM {part}""",
+    # device pile, with some devices of a type nobody supports
+    "pile_devices": """
+SELECT domain || '.' || suffix AS device_name, 'the ' || friendly_name AS description FROM (
+  SELECT CASE p_partkey % 12 WHEN 0 THEN 'light' WHEN 1 THEN 'climate' WHEN 2 THEN 'media_player' WHEN 3 THEN 'switch' WHEN 4 THEN 'fan'
+         WHEN 5 THEN 'blinds' WHEN 6 THEN 'garage_door' WHEN 7 THEN 'lock' WHEN 8 THEN 'vacuum' WHEN 9 THEN 'timer' WHEN 10 THEN 'todo' ELSE 'sensor' END AS domain,
+       replace(p_name, ' ', '_') || '_' || CAST(p_partkey AS STRING) AS suffix, p_name || ' ' || CAST(p_partkey AS STRING) AS friendly_name FROM {part}) t""",
+    # one templated action per order
+    "pile_templates": """
+SELECT o_orderkey AS row_id, c_mktsegment AS persona, CASE WHEN o_orderkey % 4 = 0 THEN 'pl' ELSE 'en' END AS language, device_type, service, phrase,
+       o_orderkey % 3 AS multiplier
+FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN (VALUES
+ (0, 'light', 'turn_on', 'Turn on <device_name>'),
+ (1, 'light', 'turn_on', 'Set <device_name> to <brightness> percent'),
+ (2, 'light|fan', 'turn_off|turn_on', 'Turn off <device_name1> and start <device_name2>'),
+ (3, 'climate', 'set_temperature', 'Set <device_name> to <temp_f> degrees'),
+ (4, 'blinds|garage_door|lock', 'close_cover|open_cover|lock', 'Close <device_name1>, open <device_name2> and lock <device_name3>'),
+ (5, 'light', 'turn_on', 'Make <device_name> <color>'),
+ (6, 'timer', 'start', 'Start <device_name> for <duration>'),
+ (7, 'todo', 'add_item', 'Add <todo> to <device_name>')) AS v(t, device_type, service, phrase) ON t = o_orderkey % 8""",
+    # answer texts per service, persona and length; no todo.add_item, and no timer.start for one persona
+    "pile_responses": """
+SELECT service, persona, short, CASE WHEN short = 1 THEN 'Ok <device_name>' ELSE 'Right away, <device_name> it is' END || marker || ' (' || n_name || ')' AS response_starting,
+       'Done with <device_name>' || marker || ' v' || CAST(n_nationkey AS STRING) AS response_confirmed
+FROM (VALUES ('light.turn_on', ''), ('light.turn_on', ' <brightness>'), ('light.turn_on', ' <color>'), ('light.turn_off', ''), ('fan.turn_on', ''),
+  ('climate.set_temperature', ' <temp_f>'), ('climate.set_temperature', ''), ('blinds.close_cover', ''), ('garage_door.open_cover', ''), ('lock.lock', ''), ('timer.start', ' <duration>')) AS v(service, marker),
+  (SELECT DISTINCT c_mktsegment AS persona FROM {customer}) p, (VALUES (0), (1)) AS w(short), {nation}
+WHERE NOT (service = 'timer.start' AND persona = 'MACHINERY') AND n_nationkey % 11 <> short""",
+    # actions on a named device, one per customer
+    "pile_actions": """
+SELECT c_custkey AS row_id, c_mktsegment AS persona, 'en' AS language, service_name, 'unit_' || CAST(c_custkey AS STRING) AS device_name, phrase,
+       CASE WHEN c_custkey % 10 = 0 THEN '{{"area": "n' || CAST(c_nationkey AS STRING) || '"}}' ELSE '' END AS arguments
+FROM {customer} JOIN (VALUES (0, 'light.turn_off', 'Kill <device_name>'), (1, 'climate.set_temperature', 'Heat <device_name> to <temp_c>'),
+  (2, 'lock.lock', 'Lock it up'), (3, 'fan.turn_on', 'Run <device_name>')) AS v(t, service_name, phrase) ON t = c_custkey % 4""",
+    # state questions, one per order
+    "pile_status": """
+SELECT o_orderkey AS row_id, 'assistant' AS persona, 'en' AS language, device_type, state, phrase, assistant_response
+FROM {orders} JOIN (VALUES (0, 'light', 'on;<color>;<brightness>%', 'How is <device_name>?', '<device_name> is <color> at <brightness>'),
+  (1, 'climate', 'heat;<temp_f>F;<humidity>%', 'Temperature of <device_name>?', '<device_name>: <temp_f> at <humidity>'),
+  (2, 'media_player', 'playing;<volume>', 'How loud is <device_name>?', '<device_name> at <volume>'),
+  (3, 'timer', 'active;<remaining>', 'How long on <device_name>?', '<remaining> left'),
+  (4, 'lock', 'locked', 'Is <device_name> locked?', 'Yes, <device_name> is')) AS v(t, device_type, state, phrase, assistant_response) ON t = o_orderkey % 5""",
+    # failed calls, one per supplier
+    "pile_failures": """
+SELECT s_suppkey AS row_id, 'BUILDING' AS persona, 'en' AS language, service_name, split_part(service_name, '.', 1) || '.s' || CAST(s_suppkey AS STRING) AS correct_device_name, s_name AS correct_friendly_name,
+       split_part(service_name, '.', 1) || '.bad_s' || CAST(s_suppkey AS STRING) AS bad_device_name, phrase, 'No <device_name>' AS error_result, 'Again: <device_name>' AS retry_prompt
+FROM {supplier} JOIN (VALUES (0, 'light.turn_off', 'Stop <device_name>'), (1, 'climate.set_temperature', '<device_name> to <temp_f> please'), (2, 'lock.lock', 'Shut <device_name>')) AS v(t, service_name, phrase) ON t = s_suppkey % 3""",
+    # refusals, one per customer
+    "pile_refusals": """
+SELECT c_custkey AS row_id, c_mktsegment AS persona, 'en' AS language, CASE c_custkey % 2 WHEN 0 THEN 'not_available' ELSE 'already_state' END AS reason_type,
+       CASE c_custkey % 3 WHEN 0 THEN 'light.turn_on' WHEN 1 THEN 'vacuum.start' ELSE 'lock.lock' END AS service_name, 'r' || CAST(c_custkey AS STRING) AS device_name, c_name AS friendly_name,
+       CASE WHEN c_custkey % 5 = 1 THEN '' WHEN c_custkey % 3 = 0 THEN 'on' WHEN c_custkey % 3 = 1 THEN 'cleaning' ELSE 'locked' END AS desired_state,
+       'Handle <device_name>' AS phrase, 'Sorry, <device_name> needs nothing' AS response
+FROM {customer}""",
 }
 
 _NAME = re.compile(r"(?<!\{)\{(\w+)\}(?!\})")
