@@ -4,7 +4,7 @@ Every draw is a hash of row keys, so results do not depend on partitioning, retr
 Picks from a table go through a dense index: the drawing row computes `hash % n` and meets the
 picked row in an equi join, which moves each row once however large the table is.
 """
-from functools import lru_cache, reduce
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -108,19 +108,26 @@ def pick_target_devices(slots: DataFrame, stacks: DataFrame, seed, keys) -> Data
     return drawn.join(stacks.drop("n"), ["type", "idx"]).drop("idx")
 
 
-@lru_cache(maxsize=200_000)
-def _alike(a: str, b: str) -> float:
-    from difflib import SequenceMatcher
-    return SequenceMatcher(None, a, b).ratio()
+def _name_similarity():
+    """Pandas UDF: largest matching-block ratio of any of the names to another name; 0 for no names."""
+    from pyspark.sql.types import DoubleType
+    seen = {}
 
+    def alike(a, b):
+        from difflib import SequenceMatcher
+        if (a, b) not in seen:
+            if len(seen) > 200_000:  # the memo is only a shortcut; it starts over when large
+                seen.clear()
+            seen[a, b] = SequenceMatcher(None, a, b).ratio()
+        return seen[a, b]
 
-@F.pandas_udf("double")
-def name_similarity(names: pd.Series, other: pd.Series) -> pd.Series:
-    """Largest matching-block ratio of any of the names to another name; 0 for no names."""
-    return pd.Series([max((_alike(n, o) for n in ns), default=0.0) for ns, o in zip(names, other)], dtype="float64")
+    def best(names: pd.Series, other: pd.Series) -> pd.Series:
+        return pd.Series([max((alike(n, o) for n in ns), default=0.0) for ns, o in zip(names, other)], dtype="float64")
+    return F.pandas_udf(best, DoubleType())
 
 
-SMALL_POOL = 2000  # devices; up to here one walk is made long enough for any number of rejections
+SMALL_POOL = 700  # devices; up to here one walk is made long enough for any number of rejections
+BROADCAST_POOL = 200_000  # devices; a pool counted to be larger meets the walks in a shuffled join
 
 
 def sample_context_devices(examples: DataFrame, devices: DataFrame, seed, keys, max_devices=128, avoid="avoid",
@@ -136,6 +143,8 @@ def sample_context_devices(examples: DataFrame, devices: DataFrame, seed, keys,
     """
     pool = number_all(devices.select("device_name", "description"), "device_name")
     size = devices.count()
+    # an exploded walk looks small to the planner, so the side to send around is named here
+    pool = F.broadcast(pool) if size <= BROADCAST_POOL else pool.hint("merge")
     strides = [s for s in STRIDES if size % s != 0]  # a prime that is no divisor is coprime
     types = devices.groupBy(domain_of(F.col("device_name")).alias("t")).agg(F.count(F.lit(1)).alias("n"))
     per_type = types.select(F.map_from_entries(F.collect_list(F.struct("t", "n"))).alias("m")).scalar()
@@ -154,7 +163,7 @@ def sample_context_devices(examples: DataFrame, devices: DataFrame, seed, keys,
         if similar is None:
             return met.filter(~F.array_contains(avoid, F.col("device_name")))
         close = F.filter(avoid, lambda a: domain_of(a) == F.col("type"))
-        return met.withColumn("_sim", name_similarity(close, suffix_of(F.col("device_name")))).filter(F.col("_sim") < similar)
+        return met.withColumn("_sim", _name_similarity()(close, suffix_of(F.col("device_name")))).filter(F.col("_sim") < similar)
 
     def keep(met):
         # an example's walk is bounded by its own length, so these windows stay small
