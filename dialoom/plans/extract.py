@@ -171,14 +171,14 @@ ORACLES = {
     "x8_extract_structured_output": with_inputs("tasks") + f""", v AS (SELECT *, (tool_args::JSON->>'position')::INT AS p FROM tasks)
       SELECT event_id, method, CASE method WHEN 'none' THEN raw_text WHEN 'structure' THEN CASE WHEN json_valid(raw_text) THEN replace(raw_text, ': ', ':') END ELSE CASE WHEN p BETWEEN 0 AND 100 THEN tool_args END END AS data,
         CASE method WHEN 'structure' THEN CASE WHEN NOT json_valid(raw_text) THEN '{fixed.BAD_JSON_TEXT}' END WHEN 'tool' THEN CASE WHEN tool_args IS NULL THEN '{fixed.NO_TOOL_CALL_TEXT}'
-          WHEN p IS NULL THEN '{fixed.SCHEMA_ERRORS_TEXT}expected  @ name: string; required key not provided @ position' WHEN p > 100 THEN '{fixed.SCHEMA_ERRORS_TEXT}value too large @ position' END END AS error FROM v""",
+          WHEN p IS NULL THEN '{fixed.SCHEMA_ERRORS_TEXT}expected string @ name; required key not provided @ position' WHEN p > 100 THEN '{fixed.SCHEMA_ERRORS_TEXT}value too large @ position' END END AS error FROM v""",
     "j12_list_service_tools": with_inputs("registry") + """, d AS (SELECT DISTINCT home_id, CASE place WHEN 7 THEN 'script' WHEN 8 THEN 'camera' ELSE domain END AS domain FROM registry)
       SELECT home_id, tool, arguments FROM d JOIN (VALUES ('light', 'light.turn_on', 'target_device,brightness,rgb_color'), ('fan', 'fan.toggle', 'target_device'), ('climate', 'climate.set_temperature', 'target_device,hvac_mode,temperature'),
         ('script', 'script.reload', 'target_device'), ('script', 'script.turn_on', 'target_device'), ('script', 'script.turn_off', 'target_device'), ('script', 'script.toggle', 'target_device')) v(domain, tool, arguments) USING (domain)""",
     "j13_validate_tool_calls": with_inputs("agent_calls") + """SELECT event_id, tool_name, CASE event_id % 6
-       WHEN 0 THEN CASE WHEN event_id % 4 = 0 THEN 'expected  @ position: integer' WHEN (args->>'$.position')::INT > 100 THEN 'value too large @ position' END
+       WHEN 0 THEN CASE WHEN event_id % 4 = 0 THEN 'expected integer @ position' WHEN (args->>'$.position')::INT > 100 THEN 'value too large @ position' END
        WHEN 1 THEN 'extra keys not allowed @ hue' || CASE WHEN (args->>'$.brightness')::INT > 100 THEN '; value too large @ brightness' ELSE '' END
-       WHEN 2 THEN CASE WHEN event_id % 5 <> 0 THEN 'unknown service' END WHEN 3 THEN 'unknown tool' WHEN 4 THEN 'expected  @ volume_level: number' ELSE 'expected  @ area: string' END AS errors FROM agent_calls""",
+       WHEN 2 THEN CASE WHEN event_id % 5 <> 0 THEN 'unknown service' END WHEN 3 THEN 'unknown tool' WHEN 4 THEN 'expected number @ volume_level' ELSE 'expected string @ area' END AS errors FROM agent_calls""",
     "j13_service_call_data": with_inputs("agent_calls") + """SELECT event_id, '{"brightness":' || (args->>'$.brightness') || ',"entity_id":"d"}' AS data FROM agent_calls WHERE event_id % 6 = 2""",
     "j14_canonicalize_service_names": "SELECT event_id, CASE event_type WHEN 'click' THEN 'toggle' WHEN 'signup' THEN 'turn_on' ELSE event_type END AS service FROM events",
     "j15_apply_model_rules": with_inputs("completions") + f""", r AS (SELECT conv_id, turn, model, (SELECT arg_min(k, i) FROM (VALUES {_rule_rows}) v(i, k) WHERE contains(lower(model), k)) AS rule FROM completions)
