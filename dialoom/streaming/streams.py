@@ -5,6 +5,7 @@ Rows of one key are put in order inside a micro-batch, whose size the source opt
 """
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dialoom.functions.stage import stage_dir
 from dialoom.operators.completions import dead_letter_calls, explode_calls, extract_blocks, normalize_tool_calls
@@ -23,7 +24,7 @@ def run_to_table(stream: DataFrame, mode="append") -> DataFrame:
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint) \
         .trigger(availableNow=True).foreachBatch(save).start()
     query.awaitTermination()
-    schema = stream.schema.add("batch_id", "bigint")
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch_id", T.LongType())])
     return spark.read.schema(schema).parquet(path)
 
 
@@ -62,11 +63,11 @@ def throttle_refresh(changes: DataFrame, key: str, ts: str, interval_seconds: in
 
         def _frame(self, key, rows):
             import pandas as pd
-            return pd.DataFrame({"k": [key[0]] * len(rows), "at": [r[0] for r in rows], "kind": [r[1] for r in rows]}).astype({"at": "int64"})
+            return pd.DataFrame({"k": [key[0]] * len(rows), "at": [r[0] for r in rows], "kind": pd.Series([r[1] for r in rows], dtype="object")}).astype({"at": "int64"})
 
         def handleInputRows(self, key, rows, timerValues):
             import pandas as pd
-            times = sorted(pd.concat([r["_us"] for r in rows]).tolist())
+            times = sorted(pd.concat([r["us"] for r in rows]).tolist())
             state = self.last.get() if self.last.exists() else None
             at, pending = (state[0], state[1]) if state else (None, False)
             was, out = pending, []
@@ -99,7 +100,7 @@ def throttle_refresh(changes: DataFrame, key: str, ts: str, interval_seconds: in
         def close(self):
             pass
 
-    timed = changes.select(F.col(key).alias("k"), F.col(ts).alias("_ts"), F.unix_micros(ts).alias("_us")).withWatermark("_ts", delay)
+    timed = changes.select(F.col(key).alias("k"), F.col(ts).alias("at_ts"), F.unix_micros(ts).alias("us")).withWatermark("at_ts", delay)
     out = timed.groupBy("k").transformWithStateInPandas(
         statefulProcessor=Throttle(), outputStructType="k bigint, at bigint, kind string", outputMode="append", timeMode="eventTime")
     return out.select(F.col("k").alias(key), F.timestamp_micros("at").alias("refresh_at"), "kind")
@@ -158,7 +159,8 @@ def parse_completion_stream(chunks: DataFrame, key="conv_id", think=("<think>",
             else:
                 self.state.update((mode, held, emitted + len(out)))
             yield pd.DataFrame({"k": [key[0]] * len(out), "out_seq": range(emitted, emitted + len(out)),
-                                "kind": [o[0] for o in out], "content": [o[1] for o in out]}).astype({"out_seq": "int64"})
+                                "kind": pd.Series([o[0] for o in out], dtype="object"),
+                                "content": pd.Series([o[1] for o in out], dtype="object")}).astype({"out_seq": "int64"})
 
         def close(self):
             pass
