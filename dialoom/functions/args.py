@@ -7,7 +7,7 @@ VARIANT_MAP = "map<string,variant>"
 
 def json_object(text: Column) -> Column:
     """Parse text as a JSON object into MAP<STRING,VARIANT>; NULL for anything else."""
-    whole = F.trim(F.regexp_replace(text, r"^\s+|\s+$", ""))
+    whole = F.btrim(text, F.lit(" \t\n\r"))
     looks = whole.startswith("{") & whole.endswith("}")
     return F.when(looks, F.try_parse_json(whole).try_cast(VARIANT_MAP))
 
@@ -28,11 +28,18 @@ def value_json(value: Column) -> Column:
 
 def entries_json(entries: Column) -> Column:
     """Sorted JSON object from an array of "key":value texts."""
-    return F.concat(F.lit("{"), F.array_join(F.array_sort(entries), ","), F.lit("}"))
+    return F.concat(F.lit("{"), F.array_join(F.sort_array(entries), ","), F.lit("}"))
 
 
 def canonical_args(args: Column, drop=()) -> Column:
-    """Sorted, number-normalised JSON of MAP<STRING,VARIANT>, optionally without some keys."""
+    """Sorted, number-normalised JSON of MAP<STRING,VARIANT>, optionally without some keys.
+
+    A parsed object already holds its keys in order and its decimals without trailing zeros, so its
+    plain JSON is canonical unless a floating-point number in it prints with `.0` or an exponent.
+    """
     kept = F.map_filter(args, lambda k, _: ~k.isin(*drop)) if drop else args
-    return entries_json(F.transform(F.map_entries(kept),
+    plain = F.to_json(kept)
+    slow = entries_json(F.transform(F.map_entries(kept),
                                     lambda e: F.concat(json_string(e["key"]), F.lit(":"), value_json(e["value"]))))
+    in_order = F.map_keys(kept) == F.sort_array(F.map_keys(kept))
+    return F.when(in_order & ~F.regexp_like(plain, F.lit(r"\d\.0[,}\]]|\dE")), plain).otherwise(slow)

@@ -49,7 +49,7 @@ def placeholders(text: Column, question=False) -> Column:
         names = F.array_distinct(F.filter(names, lambda n: ~n.contains("device_name")))
     else:
         names = F.filter(names, lambda n: n != "device_name")
-    return F.array_join(F.array_sort(names), ",")
+    return F.array_join(F.sort_array(names), ",")
 
 
 def fill(text: Column, values: dict) -> Column:
@@ -61,7 +61,7 @@ def fill(text: Column, values: dict) -> Column:
 
 
 def strip_ws(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(" \t\n\r\x0b\x0c"))
 
 
 def lookup(key: Column, table: dict) -> Column:

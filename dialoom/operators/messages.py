@@ -24,7 +24,7 @@ def collect_parts(df: DataFrame, keys, pos: str, piece: str, out="text", sep="",
     further rows, so no task ever gathers an unbounded group and nothing is left out.
     """
     rows = df.withColumn("part", part_of(pos, size))
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(piece).alias("t"))))
+    ordered = F.sort_array(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(piece).alias("t"))))
     return rows.groupBy(*keys, "part").agg(
         F.array_join(F.transform(ordered, lambda x: x["t"]), sep).alias(out))
 

@@ -46,7 +46,7 @@ def format_argument(value: Column) -> Column:
 
 def format_arguments(args: Column) -> Column:
     """JSON object text as key-sorted `k:v` pairs in call notation."""
-    entries = F.array_sort(F.map_entries(F.transform_values(json_object(args), lambda k, v: format_argument(v))))
+    entries = F.sort_array(F.map_entries(F.transform_values(json_object(args), lambda k, v: format_argument(v))))
     return F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit(":"), e["value"])), ",")
 
 
@@ -138,7 +138,7 @@ def format_tools(tools: DataFrame, key="tool") -> DataFrame:
     parameters sorted by position.
     """
     param = F.struct("param_pos", "param", "type", "required")
-    got = tools.groupBy(key).agg(F.first("description").alias("description"), F.array_sort(F.collect_list(param)).alias("ps"))
+    got = tools.groupBy(key).agg(F.first("description").alias("description"), F.sort_array(F.collect_list(param)).alias("ps"))
     names = F.transform("ps", lambda p: p["param"])
     props = F.transform("ps", lambda p: F.concat(F.lit('"'), p["param"], F.lit('":{"type":"'), p["type"], F.lit('"}')))
     req = F.transform(F.filter("ps", lambda p: p["required"]), lambda p: F.concat(F.lit('"'), p["param"], F.lit('"')))
@@ -152,13 +152,13 @@ def format_tools(tools: DataFrame, key="tool") -> DataFrame:
 def function_declarations(tools: DataFrame, key="tool") -> DataFrame:
     """Per tool its declaration in call notation, parameters sorted by name."""
     esc = lambda c: F.concat(F.lit("<escape>"), c, F.lit("<escape>"))
-    got = tools.groupBy(key).agg(F.first("description").alias("description"), F.array_sort(F.collect_list(F.struct(
+    got = tools.groupBy(key).agg(F.first("description").alias("description"), F.sort_array(F.collect_list(F.struct(
         "param", "param_description", "type", "required", "param_pos"))).alias("ps"))
     props = F.transform("ps", lambda p: F.concat(
         p["param"], F.lit(":{description:"), esc(p["param_description"]),
         F.when(p["type"] == "array", ",items:{type:<escape>STRING<escape>}").otherwise(""),
         F.lit(",type:"), esc(F.upper(p["type"])), F.lit("}")))
-    needed = F.array_sort(F.transform(F.filter("ps", lambda p: p["required"]), lambda p: F.struct(p["param_pos"].alias("o"), p["param"].alias("n"))))
+    needed = F.sort_array(F.transform(F.filter("ps", lambda p: p["required"]), lambda p: F.struct(p["param_pos"].alias("o"), p["param"].alias("n"))))
     req = F.array_join(F.transform(needed, lambda p: esc(p["n"])), ",")
     return got.select(key, F.concat(
         F.lit("<start_function_declaration>declaration:"), F.col(key), F.lit("{description:"), esc(F.col("description")),

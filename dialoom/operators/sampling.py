@@ -225,7 +225,7 @@ def report_missing_responses(wants: DataFrame, indexed: DataFrame) -> DataFrame:
 
 def cross_personas(rows: DataFrame, personas: DataFrame) -> DataFrame:
     """Every row once per persona; a language has a handful of them, so they travel as an array."""
-    names = personas.select(F.array_sort(F.collect_set("persona")).alias("p")).scalar()
+    names = personas.select(F.sort_array(F.collect_set("persona")).alias("p")).scalar()
     return rows.select("*", F.explode(names).alias("persona"))
 
 

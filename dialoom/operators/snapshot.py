@@ -49,12 +49,12 @@ def format_attributes(df: DataFrame, order=tuple(fixed.PROMPT_ATTRIBUTES), attri
     number = lambda k: get(k).try_cast("double")
     channels = F.regexp_extract_all(get("rgb_color"), F.lit(r"(\d+)"), F.lit(1))
     for i, c in enumerate("rgb"):
-        df = df.withColumn(f"_{c}", F.try_element_at(channels, F.lit(i + 1)).try_cast("int"))
-    df = nearest_color(df, "_r", "_g", "_b", "_color")
+        df = df.withColumn(f"_c{c}", F.try_element_at(channels, F.lit(i + 1)).try_cast("int"))
+    df = nearest_color(df, "_cr", "_cg", "_cb", "_color")
     forms = {
         "temperature": F.concat_ws(" ", number("temperature").cast("int").cast("string"),
                                    F.when(number("temperature") > 50, "F").otherwise("C")),
-        "rgb_color": F.concat(F.col("_color"), F.lit(" ("), F.concat_ws(", ", "_r", "_g", "_b"), F.lit(")")),
+        "rgb_color": F.concat(F.col("_color"), F.lit(" ("), F.concat_ws(", ", "_cr", "_cg", "_cb"), F.lit(")")),
         "volume_level": F.concat(F.lit("vol="), (number("volume_level") * 100).cast("int").cast("string")),
         "brightness": F.concat((number("brightness") / F.lit(255.0).cast("double") * 100).cast("int").cast("string"), F.lit("%")),
         "humidity": F.concat(get("humidity"), F.lit("%")),
@@ -64,7 +64,7 @@ def format_attributes(df: DataFrame, order=tuple(fixed.PROMPT_ATTRIBUTES), attri
         unit = get(f"{k}_unit")
         shown.append(F.when(get(k).isNull(), F.lit(None)).when(F.coalesce(unit, F.lit("")) != "", F.concat_ws(" ", get(k), unit))
                      .otherwise(forms.get(k, get(k))))
-    return df.withColumn(out, F.filter(F.array(*shown), lambda x: x.isNotNull())).drop("_r", "_g", "_b", "_color")
+    return df.withColumn(out, F.filter(F.array(*shown), lambda x: x.isNotNull())).drop("_cr", "_cg", "_cb", "_color")
 
 
 def format_entity_line(entity_id: Column, name: Column, state: Column) -> Column:
@@ -92,12 +92,12 @@ def prompt_by_area(lines: DataFrame, home, pos, lang: Column, persona: Column, c
     plain = F.concat("state", F.when(F.size("shown") > 0, F.concat(F.lit(";"), attrs)).otherwise(""))
     state = F.when(F.col("area_name").isNull(), plain).otherwise(F.concat("state", F.lit(";"), attrs))
     rows = lines.withColumns({"_line": format_entity_line(F.col("entity_id"), F.col("friendly_name"), state), "part": part_of(pos)})
-    by_area = rows.groupBy(home, "part", "area_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(
+    by_area = rows.groupBy(home, "part", "area_name").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(
         F.col(pos).alias("p"), F.col("_line").alias("t")))), lambda x: x["t"]), "\n").alias("_text"))
     header = F.when(F.col("area_name").isNull(), F.lit("")).otherwise(
         F.concat(F.lit("## "), lookup(lang, fixed.AREA_WORDS), F.lit(": "), "area_name", F.lit("\n")))
     sections = by_area.withColumn("_section", F.concat(header, "_text"))
-    blocks = F.array_sort(F.collect_list(F.struct(F.col("area_name").isNotNull().alias("h"), F.coalesce("area_name", F.lit("")).alias("a"),
+    blocks = F.sort_array(F.collect_list(F.struct(F.col("area_name").isNotNull().alias("h"), F.coalesce("area_name", F.lit("")).alias("a"),
                                                   F.col("_section").alias("t"))))
     prompt = sections.groupBy(home, "part").agg(F.array_join(F.transform(blocks, lambda x: x["t"]), "\n").alias("_devices"))
     return prompt.select(home, "part", F.concat(persona, F.lit("\n"), lookup(lang, fixed.DEVICES_WORDS), F.lit(":\n"),
@@ -127,4 +127,4 @@ def build_localized_prompt(df: DataFrame, template="template", lang="lang", cloc
 
 
 def sort_tools(names: Column) -> Column:
-    return F.array_sort(names)
+    return F.sort_array(names)

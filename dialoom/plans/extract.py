@@ -103,7 +103,7 @@ def j14_canonicalize_service_names(spark, sf_dir):
 def j15_apply_model_rules(spark, sf_dir):
     rows = spark_input(spark, sf_dir, "completions").select("conv_id", "turn", "model", F.when(F.col("turn") == 3, F.create_map(F.lit("top_k"), F.lit("5"))).alias("explicit"))
     got = V.apply_model_rules(rows)
-    return got.select("conv_id", "turn", "model", "rule", F.array_join(F.array_sort(F.transform(F.map_entries("options"), lambda e: F.concat_ws("=", e["key"], e["value"]))), ",").alias("options"))
+    return got.select("conv_id", "turn", "model", "rule", F.array_join(F.sort_array(F.transform(F.map_entries("options"), lambda e: F.concat_ws("=", e["key"], e["value"]))), ",").alias("options"))
 
 
 def j15_parse_by_model_rules(spark, sf_dir):

@@ -44,7 +44,7 @@ def t3_parse_completion_stream(spark, sf_dir):
     chunks = stage(texts.select("msg_id", F.explode(F.sequence(F.lit(0), F.col("n").cast("int"))).alias("seq"), "completion", "n").select(
         "msg_id", "seq", F.substring("completion", F.col("seq") * 7 + 1, F.lit(7)).alias("content"), (F.col("seq") == F.col("n")).alias("is_last")))
     got = T.run_to_table(T.parse_completion_stream(_stream_of(chunks.filter("seq < 9"), chunks.filter("seq >= 9 and seq < 40"), chunks.filter("seq >= 40")), "msg_id"))
-    joined = lambda k, sep: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("out_seq", "content")))), lambda x: x["content"]), sep)
+    joined = lambda k, sep: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.struct("out_seq", "content")))), lambda x: x["content"]), sep)
     # a message has as many pieces as its text has chunks at most
     return got.groupBy("msg_id").agg(joined("text", "").alias("body"), joined("call", "\n").alias("calls"))
 
