@@ -14,17 +14,24 @@ DURATIONS = [("00:05:00", "five minutes"), ("00:10:00", "ten minutes"), ("01:00:
 AND_WORDS = ["and", "and also"]
 
 
-def piles(spark, sf_dir):
+def piles(spark, sf_dir, *names):
+    """The named piles; the numbered ones are staged, since several steps draw from them."""
     got = lambda n: spark_input(spark, sf_dir, n)
     one = lambda df, c: df.select(F.col(c).alias("value")).distinct()
-    personas = spark.sql("""SELECT DISTINCT c_mktsegment AS persona, l AS language, 'You are ' || c_mktsegment AS prompt FROM {c}, (VALUES ('en'), ('pl')) v(l)
-      UNION ALL SELECT 'assistant', l, 'You are assistant' FROM (VALUES ('en'), ('pl')) v(l)""", c=got("customer"))
-    return {"static": got("pile_actions").drop("persona"), "templates": got("pile_templates").drop("persona", "multiplier"),
-            "status": got("pile_status").drop("persona"), "failures": got("pile_failures").drop("persona"), "refusals": got("pile_refusals").drop("persona"),
-            "personas": personas, "responses": stage(S.index_responses(got("pile_responses"))), "devices": stage(S.stack_devices(got("pile_devices"))[0]),
-            "media": stage(S.index_pile(one(got("part"), "p_name"), "value")), "todo": stage(S.index_pile(one(got("part"), "p_type"), "value")),
-            "durations": stage(number_all(spark.createDataFrame(DURATIONS, "duration string, name string"), "duration")),
-            "and_words": spark.createDataFrame([(w,) for w in AND_WORDS], "value string")}
+    make = {
+        "static": lambda: got("pile_actions").drop("persona"), "templates": lambda: got("pile_templates").drop("persona", "multiplier"),
+        "status": lambda: got("pile_status").drop("persona"), "failures": lambda: got("pile_failures").drop("persona"),
+        "refusals": lambda: got("pile_refusals").drop("persona"),
+        "personas": lambda: spark.sql("""SELECT DISTINCT c_mktsegment AS persona, l AS language, 'You are ' || c_mktsegment AS prompt FROM {c}, (VALUES ('en'), ('pl')) v(l)
+            UNION ALL SELECT 'assistant', l, 'You are assistant' FROM (VALUES ('en'), ('pl')) v(l)""", c=got("customer")),
+        "responses": lambda: stage(S.index_responses(got("pile_responses"))), "devices": lambda: stage(S.stack_devices(got("pile_devices"))[0]),
+        "media": lambda: stage(S.index_pile(one(got("part"), "p_name"), "value")), "todo": lambda: stage(S.index_pile(one(got("part"), "p_type"), "value")),
+        "durations": lambda: stage(number_all(spark.createDataFrame(DURATIONS, "duration string, name string"), "duration")),
+        "and_words": lambda: spark.createDataFrame([(w,) for w in AND_WORDS], "value string")}
+    return {n: make[n]() for n in names or make}
+
+
+VALUE_PILES = ("media", "todo", "durations")
 
 
 def p3_explode_compound_templates(spark, sf_dir):
@@ -198,19 +205,19 @@ def _show(examples):
 
 
 def g1_static_examples(spark, sf_dir):
-    return _show(G.static_examples(spark_input(spark, sf_dir, "pile_actions"), piles(spark, sf_dir), 42, ["row_id"])).drop("targets")
+    return _show(G.static_examples(spark_input(spark, sf_dir, "pile_actions"), piles(spark, sf_dir, "responses", *VALUE_PILES), 42, ["row_id"])).drop("targets")
 
 
 def g2_templated_examples(spark, sf_dir):
-    return _show(G.templated_examples(spark_input(spark, sf_dir, "pile_templates").drop("multiplier"), piles(spark, sf_dir), 42, ["row_id"])).drop("targets")
+    return _show(G.templated_examples(spark_input(spark, sf_dir, "pile_templates").drop("multiplier"), piles(spark, sf_dir, "responses", "devices", "and_words", *VALUE_PILES), 42, ["row_id"])).drop("targets")
 
 
 def g3_status_examples(spark, sf_dir):
-    return _show(G.status_examples(spark_input(spark, sf_dir, "pile_status"), piles(spark, sf_dir), 42, ["row_id"])).drop("calls")
+    return _show(G.status_examples(spark_input(spark, sf_dir, "pile_status"), piles(spark, sf_dir, "devices", *VALUE_PILES), 42, ["row_id"])).drop("calls")
 
 
 def g4_failure_examples(spark, sf_dir):
-    return _show(G.failure_examples(spark_input(spark, sf_dir, "pile_failures"), piles(spark, sf_dir), 42, ["row_id"])).drop("targets")
+    return _show(G.failure_examples(spark_input(spark, sf_dir, "pile_failures"), piles(spark, sf_dir, "responses", "media"), 42, ["row_id"])).drop("targets")
 
 
 def g5_refusal_examples(spark, sf_dir):
@@ -223,7 +230,7 @@ def g6_build_sft(spark, sf_dir):
 
 
 def g6_missing_responses(spark, sf_dir):
-    p = piles(spark, sf_dir)
+    p = piles(spark, sf_dir, "static", "templates", "failures", "personas", "responses")
     wants = G.wanted_responses(*[S.cross_personas(p[k], p["personas"]) for k in ("static", "templates", "failures")])
     return S.report_missing_responses(wants, p["responses"])
 
