@@ -4,7 +4,7 @@ Matching works on counts: equal calls of one example are one group, and the smal
 counts is matched. Every step is a sum, so partial aggregation shrinks hot keys before a shuffle
 and no example's calls are ever held together in memory.
 """
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dialoom.functions.args import canonical_args, json_object
@@ -85,7 +85,6 @@ def accuracy_report(scored: DataFrame, dims=("model", "checkpoint", "language"))
 def checkpoint_progress(report: DataFrame, run="model", checkpoint="checkpoint") -> DataFrame:
     """Order a run's checkpoints by step (a name without a number comes last) with the gain over
     the one before and a mark on the best. One row per checkpoint, so groups stay small."""
-    from pyspark.sql import Window
     step = F.regexp_extract(F.col(checkpoint).cast("string"), r"(\d+)$", 1).try_cast("bigint")
     ordered = Window.partitionBy(run).orderBy(F.asc_nulls_last("step"), checkpoint)
     best = Window.partitionBy(run).orderBy(F.desc("accuracy"), F.asc_nulls_last("step"), checkpoint)

@@ -82,7 +82,7 @@ SELECT p_partkey, CAST(FLOOR(p_partkey / 40) AS BIGINT) AS home_id, p_partkey %
          WHEN 5 THEN 'blinds' WHEN 6 THEN 'garage_door' WHEN 7 THEN 'lock' WHEN 8 THEN 'vacuum' WHEN 9 THEN 'timer' ELSE 'todo' END AS domain,
        replace(p_name, ' ', '_') || '_' || CAST(p_partkey AS STRING) AS suffix, p_name || ' ' || CAST(p_partkey AS STRING) AS friendly_name,
        CASE WHEN p_size % 2 = 0 THEN 'on' ELSE 'off' END AS state, p_partkey % 13 <> 0 AS exposed,
-       p_partkey % 100 AS device_id, CASE WHEN p_partkey % 7 = 0 THEN CAST(p_size % 25 AS BIGINT) END AS entity_area,
+       p_partkey % 100 AS device_id, CASE WHEN p_partkey % 7 = 0 THEN CAST(p_size % 30 AS BIGINT) END AS entity_area,
        CASE WHEN p_partkey % 9 = 0 THEN 'W' END AS unit,
        CASE WHEN p_partkey % 5 = 0 THEN p_brand END AS alias1, CASE WHEN p_partkey % 10 = 0 THEN 'my ' || p_type END AS alias2,
        CASE WHEN p_partkey % 11 = 0 AND p_size % 3 > 0 THEN p_size * 5 END AS red, p_partkey % 256 AS green, (p_partkey * 7) % 256 AS blue,
@@ -119,7 +119,7 @@ SELECT service, persona, short, CASE WHEN short = 1 THEN 'Ok <device_name>' ELSE
 FROM (VALUES ('light.turn_on', ''), ('light.turn_on', ' <brightness>'), ('light.turn_on', ' <color>'), ('light.turn_off', ''), ('fan.turn_on', ''),
   ('climate.set_temperature', ' <temp_f>'), ('climate.set_temperature', ''), ('blinds.close_cover', ''), ('garage_door.open_cover', ''), ('lock.lock', ''), ('timer.start', ' <duration>')) AS v(service, marker),
   (SELECT DISTINCT c_mktsegment AS persona FROM {customer}) p, (VALUES (0), (1)) AS w(short), {nation}
-WHERE NOT (service = 'timer.start' AND persona = 'MACHINERY') AND n_nationkey % 11 <> short""",
+WHERE NOT (service = 'timer.start' AND persona = 'MACHINERY')""",
     # actions on a named device, one per customer
     "pile_actions": """
 SELECT c_custkey AS row_id, c_mktsegment AS persona, 'en' AS language, service_name, 'unit_' || CAST(c_custkey AS STRING) AS device_name, phrase,

@@ -25,7 +25,7 @@ def _snapshot(spark, sf_dir):
     aliases = F.filter(F.array("alias1", "alias2"), lambda x: x.isNotNull())
     entities = reg.select("entity_id", "device_id", F.col("entity_area").alias("area_id"), "unit", aliases.alias("aliases"))
     devices = spark_input(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("device_id"), F.col("s_nationkey").cast("bigint").alias("area_id"))
-    areas = spark_input(spark, sf_dir, "nation").filter("n_nationkey % 6 <> 5").select(F.col("n_nationkey").cast("bigint").alias("area_id"), F.col("n_name").alias("name"))
+    areas = spark_input(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("area_id"), F.col("n_name").alias("name"))
     return S.enrich_entities(states, exposed, entities, devices, areas), states, exposed
 
 
@@ -131,7 +131,7 @@ _dist = lambda r, g, b: f"(c.r - {r}) * (c.r - {r}) + (c.g - {g}) * (c.g - {g})
 SNAP = COLORS + f""",
 e AS (SELECT reg.*, domain || '.' || suffix AS entity_id, reg.state || coalesce(' ' || unit, '') AS full_state,
    n_name AS area_name, CAST(n_nationkey AS BIGINT) AS area_id
-  FROM registry reg LEFT JOIN supplier ON s_suppkey = device_id LEFT JOIN nation ON n_nationkey = coalesce(entity_area, s_nationkey) AND n_nationkey % 6 <> 5 WHERE exposed),
+  FROM registry reg LEFT JOIN supplier ON s_suppkey = device_id LEFT JOIN nation ON n_nationkey = coalesce(entity_area, s_nationkey) WHERE exposed),
 near AS (SELECT e.entity_id, arg_max(c.name, -({_dist('red', 'green', 'blue')}) * 1000 + c.ord) AS color FROM e, colors c WHERE red IS NOT NULL GROUP BY 1),
 shown AS (SELECT e.*, list_filter([CASE WHEN red IS NOT NULL THEN color || ' (' || red || ', ' || green || ', ' || blue || ')' END,
     CASE WHEN brightness IS NOT NULL THEN CAST(trunc(brightness / 255.0::DOUBLE * 100) AS INT) || '%' END,

@@ -21,10 +21,13 @@ def schema_of(columns) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
-def read_pile(spark: SparkSession, root: str, pile: str, columns=None) -> DataFrame:
-    """All languages of a pile, `lang` taken from the folder name; every value is text."""
+def read_pile(spark: SparkSession, root: str, pile: str, columns=None, line_breaks=False) -> DataFrame:
+    """All languages of a pile, `lang` taken from the folder name; every value is text.
+
+    Values with line breaks need `line_breaks=True`, which reads each file in one task.
+    """
     names = columns or PILES[pile].split(" ")
-    rows = spark.read.schema(schema_of(names)).csv(f"{root}/*/pile_of_{pile}.csv", header=True, quote='"', escape='"', multiLine=True)
+    rows = spark.read.schema(schema_of(names)).csv(f"{root}/*/pile_of_{pile}.csv", header=True, quote='"', escape='"', multiLine=line_breaks)
     return rows.withColumn("lang", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
 
 
