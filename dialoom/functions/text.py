@@ -2,9 +2,6 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-LETTER = r"\p{L}"
-
-
 def title_case(text: Column) -> Column:
     """Upper-case a letter after anything that is not a letter, lower-case all others."""
     pieces = F.regexp_extract_all(F.lower(text), F.lit(r"([^\p{L}]*\p{L}*)"), F.lit(1))

@@ -146,7 +146,7 @@ def to_anthropic_messages(messages: DataFrame, result_as_str=True, key="conv_id"
         F.lit('{"role":'), json_string(role), F.lit(',"content":['), F.col("_blocks"), F.lit("]}"))).drop("_blocks")
 
 
-def split_prompt_expected(messages: DataFrame, key="conv_id", pos="pos", size=PART):
+def split_prompt_expected(messages: DataFrame, key="conv_id", pos="pos"):
     """Return (prompt rows: every non-assistant message, expected: first assistant text per key)."""
     is_reply = F.col("role") == "assistant"
     expected = messages.filter(is_reply).groupBy(key).agg(F.min_by("text", pos).alias("expected"))

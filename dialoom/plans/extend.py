@@ -203,7 +203,6 @@ _map = lambda col, d: f"CASE {col} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k,
 _ACTION = "split_part(service_name, '.', 2)"
 _STATE = f"coalesce({_map(_ACTION, fixed.ACTION_STATES)}, {_map('service_name', fixed.SERVICE_STATES)}, '')"
 _DESCRIBE = f"replace({_ACTION}, '_', ' ') || ' the ' || split_part(service_name, '.', 1) || CASE WHEN service_data = '{{}}' THEN '' ELSE ' with arguments ' || service_data END"
-_TRIMMED = "trim(answer)"
 _UNFENCED = "CASE WHEN starts_with(answer, '```') AND ends_with(answer, '```') THEN array_to_string(list_filter(string_split(answer, chr(10)), lambda x: NOT starts_with(x, '```')), chr(10)) ELSE answer END"
 _SNIP = f"regexp_extract({_UNFENCED}, '(?s)(\\{{.*\\}})', 1)"
 _JSON = f"CASE WHEN {_SNIP} <> '' AND json_valid({_SNIP}) THEN {_SNIP} END"

@@ -75,7 +75,7 @@ def p9_compose_state(spark, sf_dir):
 def p25_sample_contexts(spark, sf_dir):
     rows = spark_input(spark, sf_dir, "customer").select("c_custkey")
     synthetic = spark_input(spark, sf_dir, "supplier").select(F.concat(F.lit("light.syn_"), "s_suppkey").alias("device_name"), F.col("s_name").alias("description"))
-    stacks = S.stack_devices(spark_input(spark, sf_dir, "pile_devices").unionByName(synthetic))[0]
+    stacks = stage(S.stack_devices(spark_input(spark, sf_dir, "pile_devices").unionByName(synthetic))[0])
     act = S.sample_contexts(rows, stacks, 42, ["c_custkey"])
     ask = S.sample_contexts(rows, stacks, 42, ["c_custkey"], "status")
     return S.union_languages(act.select("c_custkey", "device_name", "description", "service_name", "service_data"),
@@ -89,7 +89,7 @@ def _wants(spark, sf_dir):
 
 
 def j1_pick_response(spark, sf_dir):
-    idx = S.index_responses(spark_input(spark, sf_dir, "pile_responses"))
+    idx = stage(S.index_responses(spark_input(spark, sf_dir, "pile_responses")))
     return S.pick_response(_wants(spark, sf_dir), idx, 42, ["row_id", "slot"]).select("row_id", "slot", "service", "response_starting", "response_confirmed")
 
 
@@ -104,7 +104,7 @@ def j3_cross_personas(spark, sf_dir):
 
 def j4_pick_target_devices(spark, sf_dir):
     slots = S.explode_compound_templates(spark_input(spark, sf_dir, "pile_templates"))
-    stacks = S.stack_devices(spark_input(spark, sf_dir, "pile_devices"))[0]
+    stacks = stage(S.stack_devices(spark_input(spark, sf_dir, "pile_devices"))[0])
     return S.pick_target_devices(slots, stacks, 42, ["row_id", "slot"]).select("row_id", "slot", "type", "device_name", "description")
 
 
@@ -317,11 +317,9 @@ SVC = "CASE type " + " ".join(f"WHEN '{t}' THEN {CHOICE('service', 'c_custkey',
 ATTR = "CASE type " + " ".join(f"WHEN '{t}' THEN {CHOICE('attribute', 'c_custkey', v)}" for t, v in fixed.CONTEXT_STATUS_ATTRIBUTES.items()) + " ELSE 'state' END"
 RI = "row_id"
 TOOL = "CASE split_part(service_name, '.', 2) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in fixed.SERVICE_TO_TOOL.items()) + " END"
-_tools = lambda attrs: "array_to_string(list_distinct_keep(" + ")"
 VALS = f"""v_color AS (SELECT {RI} AS vid, arg_max(c.name, -({_dist('k.r', 'k.g', 'k.b')}) * 1000 + c.ord) AS color, arg_max('(' || c.r || ', ' || c.g || ', ' || c.b || ')', -({_dist('k.r', 'k.g', 'k.b')}) * 1000 + c.ord) AS color_rgb
     FROM (SELECT row_id, {P('red', RI)}::INT AS r, {P('green', RI)}::INT AS g, {P('blue', RI)}::INT AS b FROM base_rows) k, colors c GROUP BY 1),
   dur AS (SELECT duration, nm, row_number() OVER (ORDER BY substr(md5(duration), 1, 3), duration) - 1 AS i FROM (VALUES {", ".join(f"('{a}', '{b}')" for a, b in DURATIONS)}) v(duration, nm))"""
-PICKED = "array_to_string([CASE WHEN list_contains({types}, t) THEN tool END])"
 
 
 def _fill(text, device=None):
