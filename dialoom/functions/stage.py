@@ -1,17 +1,33 @@
 """Stage tables: results written once and read by several later steps."""
+import functools
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@functools.cache
+def _local_root() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="dialoom-")
+
+
 def stage_dir(spark: SparkSession) -> str:
-    """A new folder inside the shared folder the session names; a temporary one where none is named."""
+    """A new folder inside the shared folder that spark.checkpoint.dir names.
+
+    Where none is named, a session on one machine (master local[...]) gets a temporary folder; on a
+    cluster that is an error, because no other machine would see it. The folder is deleted when the
+    session's JVM ends.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="dialoom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/dialoom-{uuid.uuid4().hex}"
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = _local_root()
+    path = f"{root.rstrip('/')}/dialoom-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
 
 
 def stage(df: DataFrame) -> DataFrame:
