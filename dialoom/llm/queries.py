@@ -1,11 +1,41 @@
 """The registered queries of the document operators and their SQL, where SQL can express them."""
-from dialoom.llm import language_id
+import public_tokenizers
+
+from dialoom.llm import bpe, language_id, line_dedup, packing, quality_rules
 from dialoom.llm.common import documents
 
 
+def op3_packing(spark, sf_dir):
+    return packing.op3(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+def op7_byte_bpe(spark, sf_dir):
+    return bpe.op7(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op8_line_dedup(spark, sf_dir):
+    return line_dedup.op8(documents(spark, sf_dir))
+
+
 def op9_language_id(spark, sf_dir):
     return language_id.op9(documents(spark, sf_dir))
 
 
-QUERIES = {q.__name__: q for q in (op9_language_id,)}
-ORACLES = {}
+def op10_quality_rules(spark, sf_dir):
+    return quality_rules.op10(documents(spark, sf_dir))
+
+
+QUERIES = {q.__name__: q for q in (op3_packing, op7_byte_bpe, op8_line_dedup, op9_language_id, op10_quality_rules)}
+ORACLES = {
+    # XXH3 digests and the cuckoo filters only decide which lines are looked up; the result is plain counting.
+    "op8_line_dedup": r"""
+WITH lines AS (
+  SELECT doc_id, i, line, lower_key FROM (
+    SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i,
+           translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_key
+    FROM documents)),
+common AS (SELECT lower_key FROM lines WHERE length(lower_key) >= 1 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 10)
+SELECT l.doc_id, count(*) AS n_lines, count(c.lower_key) AS n_dropped,
+       sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (WHERE c.lower_key IS NULL), '')) AS kept_sha256
+FROM lines l LEFT JOIN common c ON l.lower_key = c.lower_key GROUP BY l.doc_id""",
+}
