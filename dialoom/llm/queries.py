@@ -1,7 +1,7 @@
 """The registered queries of the document operators and their SQL, where SQL can express them."""
 import public_tokenizers
 
-from dialoom.llm import bpe, language_id, line_dedup, packing, quality_rules, simhash
+from dialoom.llm import bpe, language_id, line_dedup, packing, quality_rules, simhash, suffix_dedup
 from dialoom.llm.common import documents
 
 
@@ -13,6 +13,10 @@ def op4_simhash(spark, sf_dir):
     return simhash.op4(documents(spark, sf_dir))
 
 
+def op6_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.op6(documents(spark, sf_dir))
+
+
 def op7_byte_bpe(spark, sf_dir):
     return bpe.op7(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -29,7 +33,7 @@ def op10_quality_rules(spark, sf_dir):
     return quality_rules.op10(documents(spark, sf_dir))
 
 
-QUERIES = {q.__name__: q for q in (op3_packing, op4_simhash, op7_byte_bpe, op8_line_dedup, op9_language_id, op10_quality_rules)}
+QUERIES = {q.__name__: q for q in (op3_packing, op4_simhash, op6_suffix_dedup, op7_byte_bpe, op8_line_dedup, op9_language_id, op10_quality_rules)}
 ORACLES = {
     # XXH3 digests and the cuckoo filters only decide which lines are looked up; the result is plain counting.
     "op8_line_dedup": r"""
