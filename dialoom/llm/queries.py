@@ -1,8 +1,12 @@
 """The registered queries of the document operators and their SQL, where SQL can express them."""
 import public_tokenizers
 
-from dialoom.llm import bpe, language_id, line_dedup, packing, quality_rules, simhash, suffix_dedup
-from dialoom.llm.common import documents
+from dialoom.llm import bpe, language_id, line_dedup, packing, quality_classifier, quality_rules, simhash, suffix_dedup, toxicity
+from dialoom.llm.common import documents, labels
+
+
+def op1_toxicity(spark, sf_dir):
+    return toxicity.op1(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
 def op3_packing(spark, sf_dir):
@@ -13,6 +17,10 @@ def op4_simhash(spark, sf_dir):
     return simhash.op4(documents(spark, sf_dir))
 
 
+def op5_quality_classifier(spark, sf_dir):
+    return quality_classifier.op5(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op6_suffix_dedup(spark, sf_dir):
     return suffix_dedup.op6(documents(spark, sf_dir))
 
@@ -33,7 +41,7 @@ def op10_quality_rules(spark, sf_dir):
     return quality_rules.op10(documents(spark, sf_dir))
 
 
-QUERIES = {q.__name__: q for q in (op3_packing, op4_simhash, op6_suffix_dedup, op7_byte_bpe, op8_line_dedup, op9_language_id, op10_quality_rules)}
+QUERIES = {q.__name__: q for q in (op1_toxicity, op3_packing, op4_simhash, op5_quality_classifier, op6_suffix_dedup, op7_byte_bpe, op8_line_dedup, op9_language_id, op10_quality_rules)}
 ORACLES = {
     # XXH3 digests and the cuckoo filters only decide which lines are looked up; the result is plain counting.
     "op8_line_dedup": r"""
