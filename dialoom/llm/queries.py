@@ -1,7 +1,7 @@
 """The registered queries of the document operators and their SQL, where SQL can express them."""
 import public_tokenizers
 
-from dialoom.llm import bpe, language_id, line_dedup, packing, quality_classifier, quality_rules, simhash, suffix_dedup, toxicity
+from dialoom.llm import bpe, fingerprints, language_id, line_dedup, packing, quality_classifier, quality_rules, simhash, suffix_dedup, toxicity
 from dialoom.llm.common import documents, labels
 
 
@@ -9,6 +9,10 @@ def op1_toxicity(spark, sf_dir):
     return toxicity.op1(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op2_fingerprints(spark, sf_dir):
+    return fingerprints.op2(documents(spark, sf_dir))
+
+
 def op3_packing(spark, sf_dir):
     return packing.op3(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
@@ -41,7 +45,7 @@ def op10_quality_rules(spark, sf_dir):
     return quality_rules.op10(documents(spark, sf_dir))
 
 
-QUERIES = {q.__name__: q for q in (op1_toxicity, op3_packing, op4_simhash, op5_quality_classifier, op6_suffix_dedup, op7_byte_bpe, op8_line_dedup, op9_language_id, op10_quality_rules)}
+QUERIES = {q.__name__: q for q in (op1_toxicity, op2_fingerprints, op3_packing, op4_simhash, op5_quality_classifier, op6_suffix_dedup, op7_byte_bpe, op8_line_dedup, op9_language_id, op10_quality_rules)}
 ORACLES = {
     # XXH3 digests and the cuckoo filters only decide which lines are looked up; the result is plain counting.
     "op8_line_dedup": r"""
