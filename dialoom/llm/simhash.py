@@ -128,7 +128,7 @@ def groups(prints: DataFrame, distance=4, fp="fp", doc_id="doc_id") -> DataFrame
     return placed.join(least, "root").select("fp", "component_id", "root")
 
 
-def drop_near_duplicates(docs: DataFrame, words_per_shingle=5, distance=3) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, words_per_shingle=5, distance=5) -> DataFrame:
     """One document of each group: the one with the smallest doc_id (of equal doc_ids the one with the smallest text key)."""
     row, fp = fresh(docs, "near_row"), fresh(docs, "near_fp")
     keyed = docs.withColumn(row, text_key("doc_id", "text"))

@@ -311,10 +311,13 @@ def dedup(docs: DataFrame, length=100, k=32, **more) -> DataFrame:
 
 
 def drop_repeated_passages(docs: DataFrame, length=100) -> DataFrame:
-    """`docs` with later copies of repeated strings taken out. Cutting may split a character; such bytes become U+FFFD."""
-    name = fresh(docs.drop("text"), "suffix_dedup")
+    """`docs` with later copies of repeated strings taken out. Where a cut splits a character, its remaining bytes go too."""
+    @F.arrow_udf("string")
+    def whole_characters(batch: pa.Array) -> pa.Array:
+        return pa.array([(x or b"").decode("utf-8", "ignore") for x in batch.to_pylist()], pa.string())
+
     done = dedup(docs, length)
-    return with_text(done, F.decode(F.col(done.columns[-1] if name not in done.columns else name)["kept"], "UTF-8")).select(*docs.columns)
+    return with_text(done, whole_characters(F.col(done.columns[-1])["kept"])).select(*docs.columns)
 
 
 def op6(docs: DataFrame) -> DataFrame:

@@ -38,9 +38,14 @@ NAMES = ["density", "hits", "different", "near_you", "capitals", "shouts", "mark
 
 
 def plain(word: bytes) -> bytes:
-    """A word without disguise: digits and signs read as letters, signs inside and repeated letters dropped."""
-    word = word.translate(LEET, INSIDE)
-    return bytes(b for i, b in enumerate(word) if i < 2 or not (b == word[i - 1] == word[i - 2]))
+    """A word without disguise: digits and signs read as letters, signs inside dropped."""
+    return word.translate(LEET, INSIDE)
+
+
+def bones(word: bytes) -> bytes:
+    """First letter and consonants: what is left of a word whose vowels are starred out."""
+    word = plain(word)
+    return word[:1] + word[1:].translate(None, b"aeiou")
 
 
 def features(text: bytes | None, lexicon: frozenset) -> list:
@@ -50,7 +55,7 @@ def features(text: bytes | None, lexicon: frozenset) -> list:
         return [0.0] * len(NAMES)
     own = {w.strip(b"!") for w in set(words)}
     odd = {w for w in own if w.translate(LEET, INSIDE) != w}
-    disguised = {w for w in odd if plain(w) in lexicon and w not in lexicon}
+    disguised = {w for w in odd if w not in lexicon and (plain(w) in lexicon or (len(w) > 4 and w != w.translate(None, INSIDE) and bones(w) in {bones(x) for x in lexicon if len(x) == len(w)}))}
     known = (own & lexicon) | disguised
     at = [i for i, w in enumerate(words) if w.strip(b"!") in known] if known else []
     near = sum(1 for i in at if not YOU.isdisjoint(words[max(0, i - NEAR):i + NEAR + 1]))
