@@ -21,8 +21,8 @@ def value_json(value: Column) -> Column:
     """JSON text of one VARIANT; whole numbers print the same whether written 1 or 1.0."""
     kind = F.schema_of_variant(value)
     number = value.try_cast("double")
-    whole = number.cast("bigint").cast("string")
-    return (F.when(kind.isin("DOUBLE", "FLOAT") & (number == F.floor(number)) & (F.abs(number) < F.lit(1e15)), whole)
+    whole = number.try_cast("decimal(38,0)")  # JSON numbers of more digits are floating-point in any notation
+    return (F.when(kind.isin("DOUBLE", "FLOAT") & (whole.cast("double") == number), whole.cast("string"))
             .otherwise(F.to_json(value)))
 
 

@@ -10,23 +10,21 @@ from dialoom import fixed
 from dialoom.functions.args import json_string
 from dialoom.functions.ordered import running_total
 
-PART = 10_000  # positions per stored part; a longer conversation continues in the next part
+CHUNK = 10_000  # positions solved together by the ordered helpers; no result depends on it
 
 
-def part_of(pos="pos", size=PART) -> Column:
+def chunk_of(pos="pos", size=CHUNK) -> Column:
     return F.floor(F.col(pos) / F.lit(size)).cast("bigint")
 
 
-def collect_parts(df: DataFrame, keys, pos: str, piece: str, out="text", sep="", size=PART) -> DataFrame:
-    """Join pieces in order into one text per key and part.
+def join_pieces(df: DataFrame, keys, pos: str, piece: str, out="text", sep="") -> DataFrame:
+    """Join pieces in order into one text per key.
 
-    Ordinary groups have a single part 0. A group longer than `size` positions is continued in
-    further rows, so no task ever gathers an unbounded group and nothing is left out.
+    The text of a chat or home is one value, so its group is as large as its result. Where such a
+    text would not fit a row, work on the ordered pieces instead; an oversize row fails the job.
     """
-    rows = df.withColumn("part", part_of(pos, size))
     ordered = F.sort_array(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(piece).alias("t"))))
-    return rows.groupBy(*keys, "part").agg(
-        F.array_join(F.transform(ordered, lambda x: x["t"]), sep).alias(out))
+    return df.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda x: x["t"]), sep).alias(out))
 
 
 def number_tool_calls(messages: DataFrame, key="conv_id", pos="pos") -> DataFrame:
@@ -35,7 +33,7 @@ def number_tool_calls(messages: DataFrame, key="conv_id", pos="pos") -> DataFram
     The counter also advances for calls that bring their own id.
     """
     calls = messages.select(key, pos, F.posexplode("tool_calls").alias("call_pos", "c"))
-    n = running_total(calls, [key], [pos, "call_pos"], F.lit(1), "n", part_of(pos))
+    n = running_total(calls, [key], [pos, "call_pos"], F.lit(1), "n", chunk_of(pos))
     return n.select(key, pos, "call_pos", F.coalesce(F.col("c.id"), F.concat(F.lit("call_"), F.col("n"))).alias("call_id"),
                     F.col("c.name").alias("tool_name"), F.col("c.args").alias("args"))
 
@@ -230,6 +228,6 @@ def assemble_messages(examples: DataFrame, system_role=True, instruction=None, s
 
 def training_mask(pieces: DataFrame, key="conv_id", pos="pos", piece="piece", flag="train_on_turn") -> DataFrame:
     """Character span of every rendered piece and whether it is trained on."""
-    spans = running_total(pieces, [key], [pos], F.length(piece), "char_end", part_of(pos))
+    spans = running_total(pieces, [key], [pos], F.length(piece), "char_end", chunk_of(pos))
     return spans.withColumns({"char_start": F.col("char_end") - F.length(piece),
                               "trainable": F.coalesce(F.col(flag), F.lit(False))})

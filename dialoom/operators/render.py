@@ -1,16 +1,16 @@
 """Chat text in several model formats.
 
 Rendering yields one piece of text per message; only the roles of the neighbouring messages
-matter. Pieces are joined by `collect_parts` where one text per conversation is wanted.
+matter. Pieces are joined by `join_pieces` where one text per conversation is wanted.
 """
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dialoom import fixed
-from dialoom.functions.args import json_object, value_json
+from dialoom.functions.args import json_object, json_string, value_json
 from dialoom.functions.ordered import neighbours
 from dialoom.functions.text import strip_ws
-from dialoom.operators.messages import collect_parts, part_of
+from dialoom.operators.messages import chunk_of, join_pieces
 
 # fixed values: per style the texts that open and close a turn and that ask for an answer
 TURNS = {
@@ -62,7 +62,7 @@ def render_pieces(messages: DataFrame, style: str, tools_text: str | None = None
         starts = messages.groupBy(key).agg(F.min(pos).alias("_start"))
         messages = messages.join(starts, key)
         state = state.withField("opens", F.col(pos) == F.col("_start"))
-    rows = neighbours(messages, [key], [pos], state, part_of(pos))
+    rows = neighbours(messages, [key], [pos], state, chunk_of(pos))
     first, last = F.col("_prev").isNull(), F.col("_next").isNull()
     after_tool, before_tool = F.coalesce(F.col("_prev.tool"), F.lit(False)), F.coalesce(F.col("_next.tool"), F.lit(False))
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -119,34 +119,44 @@ def render_pieces(messages: DataFrame, style: str, tools_text: str | None = None
 
 def render_chat(messages: DataFrame, style: str, tools_text=None, generation_prompt=False, key="conv_id", pos="pos",
                 fence="```tool") -> DataFrame:
-    """One text per conversation (and part, see `collect_parts`)."""
+    """One text per conversation."""
     pieces = render_pieces(messages, style, tools_text, key, pos, fence)
-    out = collect_parts(pieces, [key], pos, "piece")
+    out = join_pieces(pieces, [key], pos, "piece")
     if generation_prompt and TURNS[style][3]:
-        ends = messages.groupBy(key).agg(F.max(part_of(pos)).alias("_end"),
-                                         F.max_by(F.col("role") == "tool_result", pos).alias("_tool"))
+        ends = messages.groupBy(key).agg(F.max_by(F.col("role") == "tool_result", pos).alias("_tool"))
         asks = F.lit(style != "functiongemma") | ~F.col("_tool")
-        out = out.join(ends, key).withColumn("text", F.when((F.col("part") == F.col("_end")) & asks, F.concat(
-            "text", F.lit(TURNS[style][3]))).otherwise(F.col("text"))).drop("_end", "_tool")
+        out = out.join(ends, key).withColumn("text", F.when(asks, F.concat(
+            "text", F.lit(TURNS[style][3]))).otherwise(F.col("text"))).drop("_tool")
     return out
 
 
 def format_tools(tools: DataFrame, key="tool") -> DataFrame:
-    """Three renderings per tool from a parameter table (one row per tool and parameter).
+    """Four renderings per tool from a parameter table (one row per tool and parameter).
 
-    `minimal` name(a,b); `listed` - name(a, b): description; `schema` a function JSON with the
-    parameters sorted by position.
+    `minimal` name(a,b); `listed` - name(a, b): description; `schema` a function JSON and `input_schema` a JSON with
+    name, description and input_schema, both with the parameters sorted by position. The columns param_description,
+    minimum, maximum and item_type add to a parameter's schema where they are present and not NULL.
     """
-    param = F.struct("param_pos", "param", "type", "required")
-    got = tools.groupBy(key).agg(F.first("description").alias("description"), F.sort_array(F.collect_list(param)).alias("ps"))
+    more = [c for c in ("param_description", "minimum", "maximum", "item_type") if c in tools.columns]
+    got = tools.groupBy(key).agg(F.first("description").alias("description"), F.sort_array(F.collect_list(F.struct("param_pos", "param", "type", "required", *more))).alias("ps"))
     names = F.transform("ps", lambda p: p["param"])
-    props = F.transform("ps", lambda p: F.concat(F.lit('"'), p["param"], F.lit('":{"type":"'), p["type"], F.lit('"}')))
-    req = F.transform(F.filter("ps", lambda p: p["required"]), lambda p: F.concat(F.lit('"'), p["param"], F.lit('"')))
+
+    def parameter(p):
+        fields = [F.concat(F.lit('"type":'), json_string(p["type"]))]
+        if "param_description" in more:
+            fields.append(F.concat(F.lit('"description":'), json_string(p["param_description"])))
+        fields += [F.concat(F.lit(f'"{c}":'), p[c].cast("string")) for c in ("minimum", "maximum") if c in more]
+        if "item_type" in more:
+            fields.append(F.concat(F.lit('"items":{"type":'), json_string(p["item_type"]), F.lit("}")))
+        return F.concat(json_string(p["param"]), F.lit(":{"), F.concat_ws(",", *fields), F.lit("}"))
+
+    req = F.transform(F.filter("ps", lambda p: p["required"]), lambda p: json_string(p["param"]))
+    shape = F.concat(F.lit('{"type":"object","properties":{'), F.array_join(F.transform("ps", parameter), ","), F.lit('},"required":['), F.array_join(req, ","), F.lit("]}"))
+    head = F.concat(F.lit('{"name":'), json_string(F.col(key)), F.lit(',"description":'), json_string(F.col("description")))
     return got.select(key, F.concat(F.col(key), F.lit("("), F.array_join(names, ","), F.lit(")")).alias("minimal"),
                       F.concat(F.lit("- "), F.col(key), F.lit("("), F.array_join(names, ", "), F.lit("): "), "description").alias("listed"),
-                      F.concat(F.lit('{"type":"function","function":{"name":"'), F.col(key), F.lit('","description":"'), "description",
-                               F.lit('","parameters":{"type":"object","properties":{'), F.array_join(props, ","),
-                               F.lit('},"required":['), F.array_join(req, ","), F.lit("]}}}")).alias("schema"))
+                      F.concat(F.lit('{"type":"function","function":'), head, F.lit(',"parameters":'), shape, F.lit("}}")).alias("schema"),
+                      F.concat(head, F.lit(',"input_schema":'), shape, F.lit("}")).alias("input_schema"))
 
 
 def function_declarations(tools: DataFrame, key="tool") -> DataFrame:

@@ -14,6 +14,7 @@ from dialoom import fixed
 from dialoom.functions.colors import nearest_color
 from dialoom.functions.draws import draw, draw_choice, draw_fraction, draw_hash, draw_int
 from dialoom.functions.ordered import dense_index, number_all
+from dialoom.functions.stage import stage
 from dialoom.functions.text import domain_of, lookup, placeholders, suffix_of
 
 # fixed values: strides for walking an index; a prime that does not divide n visits all n places
@@ -21,16 +22,28 @@ STRIDES = [1000003, 1000033, 1000037, 1000039, 1000081, 1000099, 1000117, 100012
 SIMILAR = 0.4  # fixed value: names at least this alike count as the same device
 
 
+def by_language(*tables: DataFrame) -> list:
+    """["language"] if all of the tables have that column: piles are kept and drawn from per language."""
+    return ["language"] if all("language" in t.columns for t in tables) else []
+
+
 def index_pile(pile: DataFrame, value: str) -> DataFrame:
-    """The distinct values of a pile, numbered for drawing."""
+    """The distinct values of a pile, numbered for drawing, per language where the pile has one."""
+    if by_language(pile):
+        return dense_index(pile.select("language", value).distinct(), ["language"], value).drop("n")
     return number_all(pile.select(value).distinct(), value)
 
 
 def draw_from_pile(df: DataFrame, indexed: DataFrame, value: str, seed, keys, purpose, out) -> DataFrame:
-    """Add one uniformly drawn value of a numbered pile."""
-    n = indexed.select(F.count(F.lit(1)).alias("n")).scalar()
-    pile = indexed.select(F.col("idx").alias("_idx"), F.col(value).alias(out))
-    return df.withColumn("_idx", draw(seed, keys, purpose, n)).join(pile, "_idx").drop("_idx")
+    """Add one uniformly drawn value of a numbered pile, of the row's language where both have one; NULL from an empty pile."""
+    lang = by_language(df, indexed)
+    pile = indexed.select(*lang, F.col("idx").alias("_idx"), F.col(value).alias(out))
+    if lang:  # one count per language, looked up in the row
+        counts = indexed.groupBy("language").agg(F.count(F.lit(1)).alias("n"))
+        n = F.try_element_at(counts.select(F.map_from_entries(F.collect_list(F.struct("language", "n")))).scalar(), F.col("language"))
+    else:
+        n = indexed.select(F.count(F.lit(1)).alias("n")).scalar()
+    return df.withColumn("_n", n).withColumn("_idx", F.when(F.col("_n") > 0, draw(seed, keys, purpose, F.col("_n")))).join(pile, [*lang, "_idx"], "left").drop("_idx", "_n")
 
 
 def parameter(kind: str, seed, keys) -> Column:
@@ -95,17 +108,20 @@ def compose_state(df: DataFrame, seed, keys, type_col="type", media_col="media",
 
 
 def stack_devices(devices: DataFrame, supported=tuple(fixed.DEVICE_DOMAINS)):
-    """(devices numbered inside their type with the type's size, devices of unknown types)."""
+    """(devices numbered inside their type, and language, with the number of such devices; devices of unknown types)."""
     typed = devices.withColumn("type", domain_of(F.col("device_name")))
     known = typed.filter(F.col("type").isin(*supported))
-    return dense_index(known, ["type"], "device_name"), typed.filter(~F.col("type").isin(*supported))
+    return dense_index(known, [*by_language(devices), "type"], "device_name"), typed.filter(~F.col("type").isin(*supported))
 
 
 def pick_target_devices(slots: DataFrame, stacks: DataFrame, seed, keys) -> DataFrame:
-    """One uniform device of the slot's type per row, with replacement."""
-    sizes = stacks.select("type", "n").distinct()
-    drawn = slots.join(sizes, "type").withColumn("idx", draw(seed, keys, "device", F.col("n"))).drop("n")
-    return drawn.join(stacks.drop("n"), ["type", "idx"]).drop("idx")
+    """One uniform device of the slot's type (and language) per row, with replacement."""
+    lang = by_language(slots, stacks)
+    # a row per supported type and language
+    sizes = F.broadcast(stacks.select(*lang, "type", "n").distinct())
+    drawn = slots.join(sizes, [*lang, "type"]).withColumn("idx", draw(seed, keys, "device", F.col("n"))).drop("n")
+    own = stacks.drop("n", *([] if lang else ["language"]))
+    return drawn.join(own, [*lang, "type", "idx"]).drop("idx")
 
 
 def _name_similarity():
@@ -126,59 +142,53 @@ def _name_similarity():
     return F.pandas_udf(best, DoubleType())
 
 
-SMALL_POOL = 700  # devices; up to here one walk is made long enough for any number of rejections
-BROADCAST_POOL = 200_000  # devices; a pool counted to be larger meets the walks in a shuffled join
-
-
-def sample_context_devices(examples: DataFrame, devices: DataFrame, seed, keys, max_devices=128, avoid="avoid",
-                           similar=SIMILAR, small_pool=SMALL_POOL) -> DataFrame:
-    """Distinct context devices per example: n uniform in 2..max, `rank` 0..n-1.
+def sample_context_devices(examples: DataFrame, devices: DataFrame, seed, keys, max_devices=128, avoid="avoid", similar=SIMILAR) -> DataFrame:
+    """Distinct context devices per example (of its language): n uniform in 2..max, `rank` 0..n-1.
 
     An example walks the device index with a stride coprime to its size, so no place repeats.
     Devices alike to an avoided name (ARRAY<STRING> of device names) of their own type are
     rejected, as are further climate devices when one is avoided; with `similar=None` only the
-    avoided names themselves are. Rejections only meet avoided types, so over a small pool the walk
-    is made longer by the size of those types. Over a large one a first walk of twice the need serves
-    nearly every example, and whoever is left walks the whole index.
+    avoided names themselves are. A first walk of twice the need serves nearly every example. Those
+    it leaves short walk four times as far, and so on, until they have enough or have seen all.
     """
-    pool = number_all(devices.select("device_name", "description"), "device_name")
-    size = devices.count()
-    # an exploded walk looks small to the planner, so the side to send around is named here
-    pool = F.broadcast(pool) if size <= BROADCAST_POOL else pool.hint("merge")
-    strides = [s for s in STRIDES if size % s != 0]  # a prime that is no divisor is coprime
-    types = devices.groupBy(domain_of(F.col("device_name")).alias("t")).agg(F.count(F.lit(1)).alias("n"))
-    per_type = types.select(F.map_from_entries(F.collect_list(F.struct("t", "n"))).alias("m")).scalar()
-    start = examples.select(*keys, avoid).withColumns({
-        "_want": F.least(draw_int(seed, keys, "context:n", 2, max_devices), F.lit(size)),
-        "_from": draw(seed, keys, "context:from", size),
-        "_step": F.element_at(F.array(*[F.lit(s % size) for s in strides]),
-                              (draw(seed, keys, "context:step", len(strides)) + 1).cast("int")).cast("bigint"),
-        "_near": F.array_distinct(F.transform(avoid, domain_of))})
-
-    def walk(rows, length):
-        steps = rows.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(length, F.lit(size)) - 1)).alias("_k"))
-        steps = steps.withColumn("idx", (F.col("_from") + F.col("_k") * F.col("_step")) % F.lit(size))
-        met = steps.join(pool, "idx").withColumn("type", domain_of(F.col("device_name")))
+    lang = by_language(examples, devices)
+    pool = devices.select(*lang, "device_name", "description")
+    pool = dense_index(pool, lang, "device_name").drop("n") if lang else number_all(pool, "device_name")
+    pool = stage(pool).hint("merge")  # an exploded walk looks small to the planner, so neither side is sent around
+    if lang:
+        sizes = devices.groupBy("language").agg(F.count(F.lit(1)).alias("n"))
+        size = F.coalesce(F.try_element_at(sizes.select(F.map_from_entries(F.collect_list(F.struct("language", "n")))).scalar(), F.col("language")), F.lit(0))
+    else:
+        size = F.lit(devices.count())
+    start = examples.select(*dict.fromkeys([*keys, *lang]), avoid).withColumn("_size", size.cast("bigint")).filter("_size > 0")
+    strides = F.filter(F.array(*[F.lit(s).cast("bigint") for s in STRIDES]), lambda s: F.col("_size") % s != 0)  # a prime that is no divisor is coprime
+    start = start.withColumn("_strides", strides).withColumns({
+        "_want": F.least(draw_int(seed, keys, "context:n", 2, max_devices), F.col("_size")),
+        "_from": draw(seed, keys, "context:from", F.col("_size")),
+        "_step": F.element_at("_strides", (draw(seed, keys, "context:step", F.size("_strides")) + 1).cast("int")) % F.col("_size"),
+        "_near": F.array_distinct(F.transform(avoid, domain_of))}).withColumn("_length", F.least(2 * F.col("_want") + 16, F.col("_size"))).drop("_strides")
+
+    def walk(rows):
+        steps = rows.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_length") - 1)).alias("_k"))
+        steps = steps.withColumn("idx", (F.col("_from") + F.col("_k") * F.col("_step")) % F.col("_size"))
+        met = steps.join(pool, [*lang, "idx"]).withColumn("type", domain_of(F.col("device_name")))
         met = met.filter(~(F.array_contains("_near", "climate") & (F.col("type") == "climate")))
         if similar is None:
             return met.filter(~F.array_contains(avoid, F.col("device_name")))
         close = F.filter(avoid, lambda a: domain_of(a) == F.col("type"))
         return met.withColumn("_sim", _name_similarity()(close, suffix_of(F.col("device_name")))).filter(F.col("_sim") < similar)
 
-    def keep(met):
+    parts, left = [], start
+    while True:
         # an example's walk is bounded by its own length, so these windows stay small
         own = Window.partitionBy(*keys)
-        ranked = met.withColumns({"rank": F.row_number().over(own.orderBy("_k")) - 1, "_got": F.count(F.lit(1)).over(own)})
-        return ranked.filter(F.col("rank") < F.col("_want"))
-
-    cols = [*keys, "rank", "device_name", "description", "type"]
-    if size <= small_pool:
-        refused = F.aggregate("_near", F.lit(0).cast("bigint"), lambda acc, t: acc + F.coalesce(F.try_element_at("_sizes", t), F.lit(0)))
-        long = start.withColumn("_sizes", per_type).withColumn("_length", F.col("_want") + refused).drop("_sizes")
-        return keep(walk(long, F.col("_length"))).select(*cols)
-    first = keep(walk(start, 2 * F.col("_want") + 16)).filter(F.col("_got") >= F.col("_want"))
-    again = keep(walk(start.join(first.select(*keys).distinct(), list(keys), "left_anti"), F.lit(size)))
-    return first.select(*cols).unionByName(again.select(*cols))
+        met = walk(left).withColumns({"rank": F.row_number().over(own.orderBy("_k")) - 1, "_got": F.count(F.lit(1)).over(own)})
+        enough = (F.col("_got") >= F.col("_want")) | (F.col("_length") >= F.col("_size"))
+        parts.append(stage(met.filter(enough & (F.col("rank") < F.col("_want"))).select(*keys, "rank", "device_name", "description", "type")))
+        left = left.filter(F.col("_length") < F.col("_size")).join(parts[-1].select(*keys).distinct(), list(keys), "left_anti")
+        left = stage(left.withColumn("_length", F.least(4 * F.col("_length"), F.col("_size"))))
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, parts)
 
 
 def insert_at_position(lines: Column, targets: Column, seed, keys) -> Column:
@@ -197,14 +207,14 @@ def tools_per_example(types: Column, attributes=tuple(fixed.CONTEXT_ATTRIBUTES))
     return F.array_distinct(F.transform(F.filter(rules, lambda r: F.array_contains(types, r["t"])), lambda r: r["tool"]))
 
 
+RESPONSE_KEY = ["language", "service", "persona", "short", "contains_vars"]
+
+
 def index_responses(responses: DataFrame) -> DataFrame:
-    """Responses with their placeholder key, numbered inside service, persona, length and key."""
+    """Responses with their placeholder key, numbered inside language, service, persona, length and key."""
     keyed = responses.withColumn("contains_vars", placeholders(F.col("response_starting"))) \
         .withColumn("_name", F.concat_ws("\u0001", "response_starting", "response_confirmed"))
-    return dense_index(keyed, ["service", "persona", "short", "contains_vars"], "_name").drop("_name")
-
-
-RESPONSE_KEY = ["service", "persona", "short", "contains_vars"]
+    return dense_index(keyed, RESPONSE_KEY, "_name").drop("_name")
 
 
 def pick_response(wants: DataFrame, indexed: DataFrame, seed, keys) -> DataFrame:
@@ -224,9 +234,12 @@ def report_missing_responses(wants: DataFrame, indexed: DataFrame) -> DataFrame:
 
 
 def cross_personas(rows: DataFrame, personas: DataFrame) -> DataFrame:
-    """Every row once per persona; a language has a handful of them, so they travel as an array."""
-    names = personas.select(F.sort_array(F.collect_set("persona")).alias("p")).scalar()
-    return rows.select("*", F.explode(names).alias("persona"))
+    """Every row once per persona of its language; a language has a handful of them, so they travel as an array."""
+    names = F.sort_array(F.collect_set("persona"))
+    if by_language(rows, personas):
+        table = personas.groupBy("language").agg(names.alias("p")).select(F.map_from_entries(F.collect_list(F.struct("language", "p")))).scalar()
+        return rows.select("*", F.explode(F.try_element_at(table, F.col("language"))).alias("persona"))
+    return rows.select("*", F.explode(personas.select(names.alias("p")).scalar()).alias("persona"))
 
 
 def expand_mix_factors(rows: DataFrame, factors: dict, seed, keys, kind="kind") -> DataFrame:

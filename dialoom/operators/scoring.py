@@ -17,8 +17,8 @@ def _call_counts(calls: DataFrame, keys, side, relax):
     has_all = F.lit(True)
     for k in relax:
         has_all = has_all & F.map_contains_key(args, k)
-    call = F.concat_ws("|", "tool_name", "args")
-    loose = F.when(has_all, F.concat_ws("|", "tool_name", canonical_args(args, drop=relax)))
+    call = F.struct("tool_name", "args")
+    loose = F.when(has_all, F.struct("tool_name", canonical_args(args, drop=relax).alias("args")))
     bad = F.col("error").isNotNull()
     return calls.select(*keys, F.when(~bad, call).alias("call"), F.when(~bad, loose).alias("loose"),
                         F.lit(1 if side == "e" else 0).alias("e"), F.lit(1 if side == "a" else 0).alias("a"),

@@ -6,7 +6,7 @@ from dialoom import fixed
 from dialoom.functions.colors import nearest_color
 from dialoom.functions.ordered import running_total
 from dialoom.functions.text import domain_of, lookup
-from dialoom.operators.messages import collect_parts, part_of
+from dialoom.operators.messages import join_pieces
 
 
 def enrich_entities(states: DataFrame, exposed: DataFrame, entities: DataFrame, devices: DataFrame, areas: DataFrame) -> DataFrame:
@@ -77,13 +77,13 @@ def rewrite_aliases(text: Column) -> Column:
 
 
 def entities_block(lines: DataFrame, keys, pos, line, lang: Column) -> DataFrame:
-    """Header and ordered lines as one text per key (and part)."""
-    body = collect_parts(lines, keys, pos, line, "_body", "\n")
-    return body.select(*keys, "part", F.concat(lookup(lang, fixed.DEVICES_WORDS), F.lit(":\n"), "_body").alias("block"))
+    """Header and ordered lines as one text per key."""
+    body = join_pieces(lines, keys, pos, line, "_body", "\n")
+    return body.select(*keys, F.concat(lookup(lang, fixed.DEVICES_WORDS), F.lit(":\n"), "_body").alias("block"))
 
 
 def prompt_by_area(lines: DataFrame, home, pos, lang: Column, persona: Column, clock: Column) -> DataFrame:
-    """One prompt per home (and part): entities without area first, then areas by name.
+    """One prompt per home: entities without area first, then areas by name.
 
     Rows hold entity_id, friendly_name, state, shown ARRAY<STRING>, area_name. A row without area
     has no trailing `;` when nothing else is shown, a row with area always has one.
@@ -91,16 +91,16 @@ def prompt_by_area(lines: DataFrame, home, pos, lang: Column, persona: Column, c
     attrs = F.array_join("shown", ";")
     plain = F.concat("state", F.when(F.size("shown") > 0, F.concat(F.lit(";"), attrs)).otherwise(""))
     state = F.when(F.col("area_name").isNull(), plain).otherwise(F.concat("state", F.lit(";"), attrs))
-    rows = lines.withColumns({"_line": format_entity_line(F.col("entity_id"), F.col("friendly_name"), state), "part": part_of(pos)})
-    by_area = rows.groupBy(home, "part", "area_name").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(
+    rows = lines.withColumn("_line", format_entity_line(F.col("entity_id"), F.col("friendly_name"), state))
+    by_area = rows.groupBy(home, "area_name").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(
         F.col(pos).alias("p"), F.col("_line").alias("t")))), lambda x: x["t"]), "\n").alias("_text"))
     header = F.when(F.col("area_name").isNull(), F.lit("")).otherwise(
         F.concat(F.lit("## "), lookup(lang, fixed.AREA_WORDS), F.lit(": "), "area_name", F.lit("\n")))
     sections = by_area.withColumn("_section", F.concat(header, "_text"))
     blocks = F.sort_array(F.collect_list(F.struct(F.col("area_name").isNotNull().alias("h"), F.coalesce("area_name", F.lit("")).alias("a"),
                                                   F.col("_section").alias("t"))))
-    prompt = sections.groupBy(home, "part").agg(F.array_join(F.transform(blocks, lambda x: x["t"]), "\n").alias("_devices"))
-    return prompt.select(home, "part", F.concat(persona, F.lit("\n"), lookup(lang, fixed.DEVICES_WORDS), F.lit(":\n"),
+    prompt = sections.groupBy(home).agg(F.array_join(F.transform(blocks, lambda x: x["t"]), "\n").alias("_devices"))
+    return prompt.select(home, F.concat(persona, F.lit("\n"), lookup(lang, fixed.DEVICES_WORDS), F.lit(":\n"),
                                                 "_devices", F.lit("\n"), clock).alias("prompt"))
 
 

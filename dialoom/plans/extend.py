@@ -125,7 +125,8 @@ def g7_extend_persona(spark, sf_dir):
 
 
 def j16_translate_piles(spark, sf_dir):
-    return E.translate_piles(spark_input(spark, sf_dir, "phrases"), ["phrase", "device"], spark_input(spark, sf_dir, "translations"), device_column="device")
+    return E.translate_piles(spark_input(spark, sf_dir, "phrases"), ["phrase", "device"], spark_input(spark, sf_dir, "translations"), device_column="device") \
+        .withColumn("untranslated", F.array_join("untranslated", ","))
 
 
 def j16_distinct_phrases(spark, sf_dir):
@@ -149,10 +150,35 @@ def s1_read_pile(spark, sf_dir):
     root = stage_dir(spark)
     rows = spark_input(spark, sf_dir, "part").select(F.concat(F.lit("light."), "p_partkey").alias("device_name"), F.concat(F.lit('a "b", '), "p_name").alias("description"),
                                                      F.when(F.col("p_partkey") % 3 == 0, "polish").otherwise("english").alias("lang"))
-    for lang in ("polish", "english"):
-        rows.filter(F.col("lang") == lang).drop("lang").write.csv(f"{root}/{lang}/pile_of_device_names.csv", header=True, quote='"', escape='"')
-    return spark.read.schema("device_name string, description string").csv(f"{root}/*/pile_of_device_names.csv", header=True, quote='"', escape='"') \
-        .select("device_name", "description", F.regexp_extract("_metadata.file_path", r"/([^/]+)/pile_of", 1).alias("lang"))
+    for lang in ("polish", "english"):  # the Polish file has its columns the other way round, and one more
+        own = rows.filter(F.col("lang") == lang)
+        own = own.select("device_name", "description") if lang == "english" else own.select(F.lit("x").alias("note"), "description", "device_name")
+        own.write.csv(f"{root}/{lang}/pile_of_device_names.csv", header=True, quote='"', escape='"')
+    return P.read_pile(spark, root, "device_names")
+
+
+def s2_read_lines(spark, sf_dir):
+    """Media names of two languages; every language uses the English ones."""
+    root = stage_dir(spark)
+    names = spark_input(spark, sf_dir, "part").select(F.concat(F.lit("  "), "p_name", F.lit("\t")).alias("value"), "p_partkey")
+    for lang, rest in (("polish", 0), ("english", 1)):
+        names.filter(F.col("p_partkey") % 2 == rest).select("value").write.text(f"{root}/{lang}/pile_of_media_names.txt")
+    return P.read_lines(spark, root, "pile_of_media_names.txt").withColumn("media", F.lit(False)) \
+        .unionByName(P.read_media_names(spark, root).withColumn("media", F.lit(True)))
+
+
+def s3_read_optional_pile(spark, sf_dir):
+    """Refusals written for one language, read by name; a pile no language has is empty."""
+    root = stage_dir(spark)
+    spark_input(spark, sf_dir, "pile_refusals").select(*P.PILES["refusals"].split(" ")).write.csv(f"{root}/english/pile_of_refusals.csv", header=True, quote='"', escape='"')
+    return P.read_optional_pile(spark, root, "refusals").join(P.read_optional_pile(spark, root, "responses").select("service"), F.lit(False), "left")
+
+
+def s4_read_icl_examples(spark, sf_dir):
+    path = stage_dir(spark)
+    spark_input(spark, sf_dir, "part").select(F.concat("p_partkey", F.lit(""), F.lit("")).alias("request"), F.lit("light").alias("type"), F.col("p_name").alias("response"), F.col("p_brand").alias("tool")) \
+        .write.csv(path, header=True, quote='"', escape='"')
+    return P.read_icl_examples(spark, path)
 
 
 def s5_s6_sft_jsonl(spark, sf_dir):
@@ -196,7 +222,7 @@ def s10_load_images_base64(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     p1_filter_supported_domains, p17_desired_state, p18_describe_service, p19_clean_completion_text, p20_extract_json_object, p21_templatize_phrase,
     p22_parse_tagged_lines, x10_complete_batch, x11_build_generation_prompts, x12_check_generated_rows, x12_match_error, g7_extend_persona, g8_split_responses,
-    j9_pick_icl_examples, j9_pick_eval_icl_examples, j16_translate_piles, j16_distinct_phrases, s1_read_pile, s5_s6_sft_jsonl, s7_append_pile,
+    j9_pick_icl_examples, j9_pick_eval_icl_examples, j16_translate_piles, j16_distinct_phrases, s1_read_pile, s2_read_lines, s3_read_optional_pile, s4_read_icl_examples, s5_s6_sft_jsonl, s7_append_pile,
     s8_evolve_pile_schema, s9_write_eval_report, s10_load_images_base64)}
 
 _map = lambda col, d: f"CASE {col} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in d.items()) + " END"
@@ -259,9 +285,15 @@ ORACLES = {
         UNION ALL SELECT prompt_id, service, response, target_device FROM d JOIN ex ON split_part(service, '.', 1) = domain WHERE prompt_id % 2 = 0 AND split_part(service, '.', 2) <> 'turn_on' AND prompt_id NOT IN (SELECT prompt_id FROM d WHERE domain IN ('light', 'fan')))
       SELECT *, CAST(row_number() OVER (PARTITION BY prompt_id ORDER BY {H('icl:order', 'prompt_id', 'service', 'response')}, service, response) AS INT) AS place FROM c QUALIFY place <= 2""",
     "j16_translate_piles": with_inputs("phrases") + """SELECT o_orderkey, kept, 'Stelle <device_name> auf <brightness> fuer ' || split_part(phrase, ' for ', 2) AS phrase,
-      CASE WHEN NOT ends_with(device, '5-LOW') THEN 'light.lampe_von_' || replace(replace(lower(split_part(device, ' of ', 2)), ' ', '_'), '-', '_') END AS device FROM phrases""",
+      CASE WHEN ends_with(device, '5-LOW') THEN device ELSE 'light.lampe_von_' || replace(replace(lower(split_part(device, ' of ', 2)), ' ', '_'), '-', '_') END AS device,
+      CASE WHEN ends_with(device, '5-LOW') THEN 'device' ELSE '' END AS untranslated FROM phrases""",
     "j16_distinct_phrases": with_inputs("phrases") + "SELECT DISTINCT phrase AS source FROM phrases UNION SELECT DISTINCT substr(device, 7) FROM phrases",
     "s1_read_pile": "SELECT 'light.' || p_partkey AS device_name, 'a \"b\", ' || p_name AS description, CASE WHEN p_partkey % 3 = 0 THEN 'polish' ELSE 'english' END AS lang FROM part",
+    "s2_read_lines": """SELECT p_name AS value, CASE WHEN p_partkey % 2 = 0 THEN 'polish' ELSE 'english' END AS lang, false AS media FROM part
+      UNION ALL SELECT p_name, 'english', true FROM part WHERE p_partkey % 2 = 1""",
+    "s3_read_optional_pile": with_inputs("pile_refusals") + """SELECT reason_type, service_name, device_name, friendly_name, nullif(desired_state, '') AS desired_state, phrase, response, 'english' AS lang,
+      CAST(NULL AS VARCHAR) AS service FROM pile_refusals""",
+    "s4_read_icl_examples": "SELECT 'light' AS type, p_partkey::VARCHAR AS request, p_brand AS tool, p_name AS response FROM part",
     "s5_s6_sft_jsonl": "WITH e AS (" + _a1_sql(True, False, False, True) + """), m AS (SELECT example_id, unnest(json_extract(messages, '$[*]')) AS m, generate_subscripts(json_extract(messages, '$[*]'), 1) - 1 AS pos FROM e)
       SELECT example_id, pos, m->>'$.role' AS role, array_to_string(list_transform(json_extract(m, '$.content[*].text'), lambda x: x->>'$'), chr(10)) AS text FROM m""",
     "s7_append_pile": "SELECT doc_id, source, lang FROM documents UNION ALL SELECT doc_id, source, lang FROM documents WHERE lang = 'fr'",

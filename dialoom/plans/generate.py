@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from dialoom import fixed
-from dialoom.functions.ordered import number_all
+from dialoom.functions.ordered import dense_index
 from dialoom.functions.stage import stage
 from dialoom.functions.text import fill, placeholders
 from dialoom.operators import generate as G
@@ -10,24 +10,26 @@ from dialoom.operators import sampling as S
 from dialoom.plans.inputs import spark_input, with_inputs
 from dialoom.plans.snapshot import COLORS, _dist, sql_hash
 
-DURATIONS = [("00:05:00", "five minutes"), ("00:10:00", "ten minutes"), ("01:00:00", "an hour"), ("00:00:30", "half a minute")]
+DURATIONS = [("en", "00:05:00", "five minutes"), ("en", "00:10:00", "ten minutes"), ("en", "01:00:00", "an hour"), ("en", "00:00:30", "half a minute"),
+             ("pl", "00:05:00", "5 minut"), ("pl", "01:00:00", "godzina")]
 AND_WORDS = ["and", "and also"]
+AND_WORDS_PL = ["i", "oraz"]
 
 
 def piles(spark, sf_dir, *names):
     """The named piles; the numbered ones are staged, since several steps draw from them."""
     got = lambda n: spark_input(spark, sf_dir, n)
-    one = lambda df, c: df.select(F.col(c).alias("value")).distinct()
+    one = lambda df, c: df.select(F.explode(F.array(F.lit("en"), F.lit("pl"))).alias("language"), F.col(c).alias("value")).distinct()
     make = {
         "static": lambda: got("pile_actions").drop("persona"), "templates": lambda: got("pile_templates").drop("persona", "multiplier"),
         "status": lambda: got("pile_status").drop("persona"), "failures": lambda: got("pile_failures").drop("persona"),
         "refusals": lambda: got("pile_refusals").drop("persona"),
         "personas": lambda: spark.sql("""SELECT DISTINCT c_mktsegment AS persona, l AS language, 'You are ' || c_mktsegment AS prompt FROM {c}, (VALUES ('en'), ('pl')) v(l)
             UNION ALL SELECT 'assistant', l, 'You are assistant' FROM (VALUES ('en'), ('pl')) v(l)""", c=got("customer")),
-        "responses": lambda: stage(S.index_responses(got("pile_responses"))), "devices": lambda: stage(S.stack_devices(got("pile_devices"))[0]),
+        "responses": lambda: stage(S.index_responses(got("pile_responses"))), "devices": lambda: stage(S.stack_devices(got("pile_devices_lang"))[0]),
         "media": lambda: stage(S.index_pile(one(got("part"), "p_name"), "value")), "todo": lambda: stage(S.index_pile(one(got("part"), "p_type"), "value")),
-        "durations": lambda: stage(number_all(spark.createDataFrame(DURATIONS, "duration string, name string"), "duration")),
-        "and_words": lambda: spark.createDataFrame([(w,) for w in AND_WORDS], "value string")}
+        "durations": lambda: stage(dense_index(spark.createDataFrame(DURATIONS, "language string, duration string, name string"), ["language"], "duration").drop("n")),
+        "and_words": lambda: spark.createDataFrame([("en", w) for w in AND_WORDS] + [("pl", w) for w in AND_WORDS_PL], "language string, value string")}
     return {n: make[n]() for n in names or make}
 
 
@@ -84,7 +86,7 @@ def p25_sample_contexts(spark, sf_dir):
 
 def _wants(spark, sf_dir):
     slots = S.explode_compound_templates(spark_input(spark, sf_dir, "pile_templates"))
-    return slots.select("row_id", "slot", F.col("service_name").alias("service"), "persona", (F.col("n_slots") > 1).cast("int").alias("short"),
+    return slots.select("row_id", "slot", "language", F.col("service_name").alias("service"), "persona", (F.col("n_slots") > 1).cast("int").alias("short"),
                         placeholders(F.col("phrase"), question=True).alias("contains_vars"))
 
 
@@ -104,24 +106,24 @@ def j3_cross_personas(spark, sf_dir):
 
 def j4_pick_target_devices(spark, sf_dir):
     slots = S.explode_compound_templates(spark_input(spark, sf_dir, "pile_templates"))
-    stacks = stage(S.stack_devices(spark_input(spark, sf_dir, "pile_devices"))[0])
+    stacks = stage(S.stack_devices(spark_input(spark, sf_dir, "pile_devices_lang"))[0])
     return S.pick_target_devices(slots, stacks, 42, ["row_id", "slot"]).select("row_id", "slot", "type", "device_name", "description")
 
 
 def _avoiders(spark, sf_dir):
-    return spark_input(spark, sf_dir, "customer").select("c_custkey", F.array(F.concat(
+    return spark_input(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_nationkey") % 2 == 0, "pl").otherwise("en").alias("language"), F.array(F.concat(
         F.when(F.col("c_custkey") % 4 == 0, "climate.").otherwise("light."), F.lit("small_ring_"), F.col("c_custkey") % 500)).alias("avoid"))
 
 
 def j5_sample_context_devices(spark, sf_dir):
-    devices = spark_input(spark, sf_dir, "pile_devices")
-    return S.sample_context_devices(_avoiders(spark, sf_dir), devices, 42, ["c_custkey"], 12, similar=None)
+    devices = spark_input(spark, sf_dir, "pile_devices_lang")
+    return S.sample_context_devices(_avoiders(spark, sf_dir), devices, 42, ["c_custkey"], similar=None)
 
 
 def j5_sample_context_devices_similar(spark, sf_dir):
     """With the name-likeness rule, which has no SQL form."""
-    devices = spark_input(spark, sf_dir, "pile_devices")
-    return S.sample_context_devices(_avoiders(spark, sf_dir), devices, 42, ["c_custkey"], 12)
+    devices = spark_input(spark, sf_dir, "pile_devices_lang")
+    return S.sample_context_devices(_avoiders(spark, sf_dir), devices, 42, ["c_custkey"])
 
 
 def j10_map_service_to_tool(spark, sf_dir):
@@ -225,7 +227,7 @@ def g5_refusal_examples(spark, sf_dir):
 
 
 def g6_build_sft(spark, sf_dir):
-    entries, _ = G.build_sft(piles(spark, sf_dir), max_devices=6)
+    entries, _ = G.build_sft(piles(spark, sf_dir))
     return entries.select("row_id", "persona", "copy", "language", "kind", F.array_join("available_tools", ",").alias("tools"), "messages")
 
 
@@ -277,19 +279,20 @@ STACKS = f"""stacks AS (SELECT split_part(device_name, '.', 1) AS type, device_n
    count(*) OVER (PARTITION BY split_part(device_name, '.', 1)) AS n FROM pile_devices WHERE split_part(device_name, '.', 1) IN ({L(fixed.DEVICE_DOMAINS)[1:-1]}))"""
 _vars = lambda t, q: (f"array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all({t}, '<(.*?)>', 1), lambda x: NOT contains(x, 'device_name')))), ',')" if q
                       else f"array_to_string(list_sort(list_filter(regexp_extract_all({t}, '<(.*?)>', 1), lambda x: x <> 'device_name')), ',')")
-RESP = f"""resp AS (SELECT *, row_number() OVER (PARTITION BY service, persona, short, vars ORDER BY substr(md5(nm), 1, 3), nm) - 1 AS idx, count(*) OVER (PARTITION BY service, persona, short, vars) AS n
+STACKS_LANG = STACKS.replace("FROM pile_devices", "FROM pile_devices_lang").replace("description,", "description, language,", 1).replace("PARTITION BY split_part", "PARTITION BY language, split_part")
+RESP = f"""resp AS (SELECT *, row_number() OVER (PARTITION BY language, service, persona, short, vars ORDER BY substr(md5(nm), 1, 3), nm) - 1 AS idx, count(*) OVER (PARTITION BY language, service, persona, short, vars) AS n
    FROM (SELECT *, {_vars("response_starting", False)} AS vars, response_starting || chr(1) || response_confirmed AS nm FROM pile_responses))"""
 
 
 def _pick(src, keys, cols):
     """Two response picks per row of src(service, persona, short, vars)."""
     return f"""SELECT {cols}, a.response_starting, b.response_confirmed FROM {src} w
-      JOIN (SELECT DISTINCT service, persona, short, vars, n FROM resp) g USING (service, persona, short, vars)
-      JOIN resp a ON a.service = w.service AND a.persona = w.persona AND a.short = w.short AND a.vars = w.vars AND a.idx = {H('starting', *keys)} % g.n
-      JOIN resp b ON b.service = w.service AND b.persona = w.persona AND b.short = w.short AND b.vars = w.vars AND b.idx = {H('confirmed', *keys)} % g.n"""
+      JOIN (SELECT DISTINCT language, service, persona, short, vars, n FROM resp) g USING (language, service, persona, short, vars)
+      JOIN resp a ON a.language = w.language AND a.service = w.service AND a.persona = w.persona AND a.short = w.short AND a.vars = w.vars AND a.idx = {H('starting', *keys)} % g.n
+      JOIN resp b ON b.language = w.language AND b.service = w.service AND b.persona = w.persona AND b.short = w.short AND b.vars = w.vars AND b.idx = {H('confirmed', *keys)} % g.n"""
 
 
-WANTS = f"wants AS (SELECT row_id, slot, service_name AS service, persona, (n_slots > 1)::INT AS short, {_vars('phrase', True)} AS vars FROM slots)"
+WANTS = f"wants AS (SELECT row_id, slot, language, service_name AS service, persona, (n_slots > 1)::INT AS short, {_vars('phrase', True)} AS vars FROM slots)"
 
 
 def _pile(src, col, purpose, *keys):
@@ -319,7 +322,7 @@ RI = "row_id"
 TOOL = "CASE split_part(service_name, '.', 2) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in fixed.SERVICE_TO_TOOL.items()) + " END"
 VALS = f"""v_color AS (SELECT {RI} AS vid, arg_max(c.name, -({_dist('k.r', 'k.g', 'k.b')}) * 1000 + c.ord) AS color, arg_max('(' || c.r || ', ' || c.g || ', ' || c.b || ')', -({_dist('k.r', 'k.g', 'k.b')}) * 1000 + c.ord) AS color_rgb
     FROM (SELECT row_id, {P('red', RI)}::INT AS r, {P('green', RI)}::INT AS g, {P('blue', RI)}::INT AS b FROM base_rows) k, colors c GROUP BY 1),
-  dur AS (SELECT duration, nm, row_number() OVER (ORDER BY substr(md5(duration), 1, 3), duration) - 1 AS i FROM (VALUES {", ".join(f"('{a}', '{b}')" for a, b in DURATIONS)}) v(duration, nm))"""
+  dur AS (SELECT language, duration, nm, row_number() OVER (PARTITION BY language ORDER BY substr(md5(duration), 1, 3), duration) - 1 AS i, count(*) OVER (PARTITION BY language) AS dn FROM (VALUES {", ".join(f"('{l}', '{a}', '{b}')" for l, a, b in DURATIONS)}) v(language, duration, nm))"""
 
 
 def _fill(text, device=None):
@@ -363,16 +366,16 @@ ORACLES = {
          CASE WHEN service_name = 'climate.set_temperature' THEN '"temperature": ' || ({H('arg:t', 'c_custkey')} % 11 + 18) END) || '}}' AS service_data, NULL AS attribute
       FROM a WHERE service_name IS NOT NULL UNION ALL SELECT c_custkey, device_name, description, NULL, NULL, {ATTR} FROM d""",
     "j1_pick_response": with_inputs("pile_templates", "pile_responses", tail=SLOTS + "," + WANTS + "," + RESP) + _pick("wants", ("w.row_id", "w.slot"), "w.row_id, CAST(w.slot AS INT) AS slot, w.service"),
-    "j2_report_missing_responses": with_inputs("pile_templates", "pile_responses", tail=SLOTS + "," + WANTS + "," + RESP) + "SELECT DISTINCT service, persona, short, vars AS contains_vars FROM wants ANTI JOIN resp USING (service, persona, short, vars)",
+    "j2_report_missing_responses": with_inputs("pile_templates", "pile_responses", tail=SLOTS + "," + WANTS + "," + RESP) + "SELECT DISTINCT language, service, persona, short, vars AS contains_vars FROM wants ANTI JOIN resp USING (language, service, persona, short, vars)",
     "j3_cross_personas": with_inputs("pile_actions") + "SELECT row_id, service_name, p.persona FROM pile_actions, (SELECT DISTINCT c_mktsegment AS persona FROM customer) p",
-    "j4_pick_target_devices": with_inputs("pile_templates", "pile_devices", tail=SLOTS + "," + STACKS) + f"SELECT row_id, CAST(slot AS INT) AS slot, s.type, device_name, description FROM slots JOIN stacks s ON s.type = slots.type AND s.idx = {H('device', 'row_id', 'slot')} % s.n",
-    "j5_sample_context_devices": with_inputs("pile_devices", tail=f"""pool AS (SELECT device_name, description, split_part(device_name, '.', 1) AS type, row_number() OVER (ORDER BY substr(md5(device_name), 1, 3), device_name) - 1 AS idx FROM pile_devices),
-      ex AS (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'climate.' ELSE 'light.' END || 'small_ring_' || (c_custkey % 500) AS avoid, (SELECT count(*) FROM pool) AS size,
-         {H('context:n', 'c_custkey')} % 11 + 2 AS want FROM customer),
+    "j4_pick_target_devices": with_inputs("pile_templates", "pile_devices_lang", tail=SLOTS + "," + STACKS_LANG) + f"SELECT row_id, CAST(slot AS INT) AS slot, s.type, device_name, description FROM slots JOIN stacks s ON s.type = slots.type AND s.language = slots.language AND s.idx = {H('device', 'row_id', 'slot')} % s.n",
+    "j5_sample_context_devices": with_inputs("pile_devices_lang", tail=f"""pool AS (SELECT language, device_name, description, split_part(device_name, '.', 1) AS type, row_number() OVER (PARTITION BY language ORDER BY substr(md5(device_name), 1, 3), device_name) - 1 AS idx FROM pile_devices_lang),
+      ex0 AS (SELECT c_custkey, CASE WHEN c_nationkey % 2 = 0 THEN 'pl' ELSE 'en' END AS language, CASE WHEN c_custkey % 4 = 0 THEN 'climate.' ELSE 'light.' END || 'small_ring_' || (c_custkey % 500) AS avoid FROM customer),
+      ex AS (SELECT ex0.*, size, least({H('context:n', 'c_custkey')} % 127 + 2, size) AS want FROM ex0 JOIN (SELECT language, count(*) AS size FROM pool GROUP BY 1) z ON z.language = ex0.language),
       st0 AS (SELECT *, list_filter([{_strides}], lambda s: size % s <> 0) AS strides FROM ex),
       st AS (SELECT *, {H('context:from', 'c_custkey')} % size AS f, strides[{H('context:step', 'c_custkey')} % len(strides) + 1] AS step FROM st0),
       wk AS (SELECT *, unnest(generate_series(0, size - 1)) AS k FROM st),
-      met AS (SELECT wk.c_custkey, want, k, device_name, description, type FROM wk JOIN pool ON pool.idx = (f + k * (step % size)) % size
+      met AS (SELECT wk.c_custkey, want, k, device_name, description, type FROM wk JOIN pool ON pool.language = wk.language AND pool.idx = (f + k * (step % size)) % size
         WHERE device_name <> avoid AND NOT (split_part(avoid, '.', 1) = 'climate' AND type = 'climate'))""")
       + "SELECT c_custkey, CAST(row_number() OVER (PARTITION BY c_custkey ORDER BY k) - 1 AS INT) AS rank, device_name, description, type FROM met QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY k) <= want",
     "j10_map_service_to_tool": with_inputs("pile_templates", tail=SLOTS.replace("FROM pile_templates", "FROM (SELECT * REPLACE (CASE WHEN row_id % 100 = 0 THEN 'explode' ELSE service END AS service) FROM pile_templates)")) + f"SELECT row_id, CAST(slot AS INT) AS slot, service_name, {TOOL} AS tool_name FROM slots WHERE service_name IS NOT NULL",
@@ -399,21 +402,22 @@ ORACLES = {
     "g1_static_examples": with_inputs("pile_actions", "pile_responses", tail=RESP + f""", base AS (SELECT *, split_part(service_name, '.', 1) || '.' || device_name AS target, service_name AS service, 0 AS short, '' AS vars, {TOOL} AS tool FROM pile_actions),
       picked AS ({_pick('base', ('w.row_id',), 'w.*')})""") + f"""SELECT row_id, lower(replace({'replace(phrase, ' + chr(39) + '<temp_c>' + chr(39) + ', ' + P('temp_c', RI) + ')'}, '<device_name>', target)) AS question,
         replace(response_starting, '<device_name>', target) || chr(10) || replace(response_confirmed, '<device_name>', target) AS answers,
-        tool || ' ' || service_name || ' {{"name": "' || target || '"' || CASE WHEN contains(phrase, '<temp_c>') THEN ', "temperature": ' || {P('temp_c', RI)} ELSE '' END
-          || CASE WHEN arguments <> '' THEN ', ' || arguments[2:-2] ELSE '' END || '}}' || chr(10) AS calls FROM picked""",
-    "g2_templated_examples": with_inputs("pile_templates", "pile_responses", "pile_devices", tail=COLORS + "," + SLOTS + "," + STACKS + "," + RESP + f""",
-      sd AS (SELECT slots.*, {TOOL} AS tool, description, service_name AS service, (n_slots > 1)::INT AS short, {_vars('phrase', True)} AS vars FROM slots JOIN stacks s ON s.type = slots.type AND s.idx = {H('device', 'row_id', 'slot')} % s.n),
+        tool || ' ' || service_name || ' ' || CASE WHEN arguments <> ''
+          THEN '{{"area":"' || regexp_extract(arguments, 'n[0-9]+') || '","name":"' || target || '"' || CASE WHEN contains(phrase, '<temp_c>') THEN ',"temperature":' || {P('temp_c', RI)} ELSE '' END
+          ELSE '{{"name": "' || target || '"' || CASE WHEN contains(phrase, '<temp_c>') THEN ', "temperature": ' || {P('temp_c', RI)} ELSE '' END END || '}}' || chr(10) AS calls FROM picked""",
+    "g2_templated_examples": with_inputs("pile_templates", "pile_responses", "pile_devices_lang", tail=COLORS + "," + SLOTS + "," + STACKS_LANG + "," + RESP + f""",
+      sd AS (SELECT slots.*, {TOOL} AS tool, description, service_name AS service, (n_slots > 1)::INT AS short, {_vars('phrase', True)} AS vars FROM slots JOIN stacks s ON s.type = slots.type AND s.language = slots.language AND s.idx = {H('device', 'row_id', 'slot')} % s.n),
       pk AS ({_pick('sd', ('w.row_id', 'w.slot'), 'w.*')}),
       base_rows AS (SELECT row_id FROM pile_templates), {VALS},
-      agg AS (SELECT row_id, phrase, n_slots, list(description ORDER BY slot) AS d, string_agg(replace(response_starting, '<device_name>', description), ' ' ORDER BY slot) AS st,
+      agg AS (SELECT row_id, language, phrase, n_slots, list(description ORDER BY slot) AS d, string_agg(replace(response_starting, '<device_name>', description), ' ' ORDER BY slot) AS st,
         list(replace(response_confirmed, '<device_name>', description) ORDER BY slot) AS cf, string_agg(tool || ' ' || service_name || ' {{"name": "' || description || '"'
           || CASE WHEN tool = 'HassClimateSetTemperature' AND contains(phrase, '<temp_f>') THEN ', "temperature": ' || {P('temp_f', RI)} ELSE '' END || '}}', chr(10) ORDER BY slot) AS calls
         FROM pk GROUP BY ALL HAVING count(*) = n_slots),
-      f AS (SELECT agg.*, color, (SELECT nm FROM dur WHERE i = {H('p:duration', RI)} % 4) AS dn FROM agg JOIN v_color ON vid = row_id)""")
+      f AS (SELECT agg.*, color, (SELECT nm FROM dur WHERE dur.language = agg.language AND i = {H('p:duration', RI)} % dur.dn) AS dn FROM agg JOIN v_color ON vid = row_id)""")
       + f"""SELECT row_id, lower({_fill("replace(replace(replace(replace(phrase, '<device_name>', d[1]), '<device_name1>', d[1]), '<device_name2>', coalesce(d[2], '')), '<device_name3>', coalesce(d[3], ''))")}) AS question,
-        lower(trim(st)) || chr(10) || lower({_fill("CASE WHEN n_slots = 1 THEN cf[1] ELSE array_to_string(cf, ' and ') || ' ' || array_to_string(cf, ' and also ') END")}) AS answers, calls || chr(10) AS calls FROM f""",
-    "g3_status_examples": with_inputs("pile_status", "pile_devices", tail=COLORS + "," + STACKS + f""", base_rows AS (SELECT row_id FROM pile_status), {VALS},
-      d AS (SELECT p.*, device_name, description, color, color_rgb FROM pile_status p JOIN stacks s ON s.type = p.device_type AND s.idx = {H('device', RI)} % s.n JOIN v_color ON vid = row_id)""")
+        lower(trim(st)) || chr(10) || lower({_fill("CASE WHEN n_slots = 1 THEN cf[1] WHEN language = 'pl' THEN array_to_string(cf, ' i ') || ' ' || array_to_string(cf, ' oraz ') ELSE array_to_string(cf, ' and ') || ' ' || array_to_string(cf, ' and also ') END")}) AS answers, calls || chr(10) AS calls FROM f""",
+    "g3_status_examples": with_inputs("pile_status", "pile_devices_lang", tail=COLORS + "," + STACKS_LANG + f""", base_rows AS (SELECT row_id FROM pile_status), {VALS},
+      d AS (SELECT p.*, device_name, description, color, color_rgb FROM pile_status p JOIN stacks s ON s.type = p.device_type AND s.language = p.language AND s.idx = {H('device', RI)} % s.n JOIN v_color ON vid = row_id)""")
       + f"""SELECT row_id, lower(replace(phrase, '<device_name>', description)) AS question,
         lower(replace(replace(replace(replace(replace(replace(replace(assistant_response, '<temp_f>', {P('temp_f', RI)}), '<humidity>', {P('humidity', RI)}), '<brightness>', {P('brightness', RI)}), '<volume>', {P('volume', RI)} || '%'), '<remaining>', {P('remaining', RI)}), '<color>', color), '<device_name>', description)) AS answers,
         device_name || ' ''' || description || ''' = ' || replace(replace(replace(replace(replace(replace(state, '<temp_f>', {P('temp_f', RI)}), '<humidity>', {P('humidity', RI)}), '<brightness>', {P('brightness', RI)}), '<volume>', {P('volume', RI)} || '%'), '<remaining>', {P('remaining', RI)}), '<color>', color || ' ' || color_rgb) AS targets FROM d""",
@@ -426,8 +430,8 @@ ORACLES = {
         CASE WHEN reason_type = 'already_state' THEN split_part(service_name, '.', 1) || '.' || device_name || ' ''' || friendly_name || ''' = ' || CASE WHEN desired_state <> '' THEN desired_state
           WHEN service_name = 'light.turn_on' THEN 'on' WHEN service_name = 'vacuum.start' THEN 'cleaning' ELSE 'locked' END ELSE '' END AS targets FROM pile_refusals""",
     "g6_missing_responses": with_inputs("pile_templates", "pile_responses", "pile_actions", "pile_failures", tail=SLOTS + "," + RESP + f""", people AS (SELECT DISTINCT c_mktsegment AS persona FROM customer UNION SELECT 'assistant'),
-      w AS (SELECT service_name AS service, (n_slots > 1)::INT AS short, {_vars('phrase', True)} AS vars FROM slots UNION SELECT service_name, 0, '' FROM pile_actions UNION SELECT service_name, 0, {_vars('phrase', True)} FROM pile_failures)""")
-      + "SELECT service, persona, short, vars AS contains_vars FROM (SELECT * FROM w, people) ANTI JOIN resp USING (service, persona, short, vars)",
+      w AS (SELECT language, service_name AS service, (n_slots > 1)::INT AS short, {_vars('phrase', True)} AS vars FROM slots UNION SELECT language, service_name, 0, '' FROM pile_actions UNION SELECT language, service_name, 0, {_vars('phrase', True)} FROM pile_failures)""")
+      + "SELECT language, service, persona, short, vars AS contains_vars FROM (SELECT * FROM w, people) ANTI JOIN resp USING (language, service, persona, short, vars)",
 }
 ORACLES["g1_static_examples"] = ORACLES["g1_static_examples"].replace("{{", "{").replace("}}", "}")
 for _n in ("p25_sample_contexts", "g2_templated_examples", "g4_failure_examples"):

@@ -99,6 +99,10 @@ SELECT domain || '.' || suffix AS device_name, 'the ' || friendly_name AS descri
   SELECT CASE p_partkey % 12 WHEN 0 THEN 'light' WHEN 1 THEN 'climate' WHEN 2 THEN 'media_player' WHEN 3 THEN 'switch' WHEN 4 THEN 'fan'
          WHEN 5 THEN 'blinds' WHEN 6 THEN 'garage_door' WHEN 7 THEN 'lock' WHEN 8 THEN 'vacuum' WHEN 9 THEN 'timer' WHEN 10 THEN 'todo' ELSE 'sensor' END AS domain,
        replace(p_name, ' ', '_') || '_' || CAST(p_partkey AS STRING) AS suffix, p_name || ' ' || CAST(p_partkey AS STRING) AS friendly_name FROM {part}) t""",
+    # the device piles of two languages; the second knows fewer devices, by other names
+    "pile_devices_lang": """
+SELECT language, device_name, CASE WHEN language = 'pl' THEN 'urządzenie ' || substr(description, 5) ELSE description END AS description
+FROM {pile_devices}, (VALUES ('en'), ('pl')) AS l(language) WHERE language = 'en' OR length(device_name) % 3 > 0""",
     # one templated action per order
     "pile_templates": """
 SELECT o_orderkey AS row_id, c_mktsegment AS persona, CASE WHEN o_orderkey % 4 = 0 THEN 'pl' ELSE 'en' END AS language, device_type, service, phrase,
@@ -114,12 +118,12 @@ FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN (VALUES
  (7, 'todo', 'add_item', 'Add <todo> to <device_name>')) AS v(t, device_type, service, phrase) ON t = o_orderkey % 8""",
     # answer texts per service, persona and length; no todo.add_item, and no timer.start for one persona
     "pile_responses": """
-SELECT service, persona, short, CASE WHEN short = 1 THEN 'Ok <device_name>' ELSE 'Right away, <device_name> it is' END || marker || ' (' || n_name || ')' AS response_starting,
-       'Done with <device_name>' || marker || ' v' || CAST(n_nationkey AS STRING) AS response_confirmed
+SELECT language, service, persona, short, CASE WHEN language = 'pl' THEN 'Już: ' ELSE '' END || CASE WHEN short = 1 THEN 'Ok <device_name>' ELSE 'Right away, <device_name> it is' END || marker || ' (' || n_name || ')' AS response_starting,
+       CASE WHEN language = 'pl' THEN 'Gotowe ' ELSE 'Done with ' END || '<device_name>' || marker || ' v' || CAST(n_nationkey AS STRING) AS response_confirmed
 FROM (VALUES ('light.turn_on', ''), ('light.turn_on', ' <brightness>'), ('light.turn_on', ' <color>'), ('light.turn_off', ''), ('fan.turn_on', ''),
   ('climate.set_temperature', ' <temp_f>'), ('climate.set_temperature', ''), ('blinds.close_cover', ''), ('garage_door.open_cover', ''), ('lock.lock', ''), ('timer.start', ' <duration>')) AS v(service, marker),
-  (SELECT DISTINCT c_mktsegment AS persona FROM {customer}) p, (VALUES (0), (1)) AS w(short), {nation}
-WHERE NOT (service = 'timer.start' AND persona = 'MACHINERY')""",
+  (SELECT DISTINCT c_mktsegment AS persona FROM {customer}) p, (VALUES (0), (1)) AS w(short), (VALUES ('en'), ('pl')) AS l(language), {nation}
+WHERE (language = 'en' OR n_nationkey % 2 = 0) AND NOT (service = 'timer.start' AND persona = 'MACHINERY')""",
     # actions on a named device, one per customer
     "pile_actions": """
 SELECT c_custkey AS row_id, c_mktsegment AS persona, 'en' AS language, service_name, 'unit_' || CAST(c_custkey AS STRING) AS device_name, phrase,

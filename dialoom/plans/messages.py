@@ -51,7 +51,7 @@ def w7_iteration_budget(spark, sf_dir):
 
 def x9_split_prompt_expected(spark, sf_dir):
     prompt, expected = M.split_prompt_expected(log_messages(spark, sf_dir))
-    joined = M.collect_parts(prompt.withColumn("line", F.concat_ws(": ", "role", F.coalesce("text", "tool_result"))),
+    joined = M.join_pieces(prompt.withColumn("line", F.concat_ws(": ", "role", F.coalesce("text", "tool_result"))),
                              ["conv_id"], "pos", "line", "prompt", "\n")
     return joined.join(expected, "conv_id", "left")
 
@@ -60,7 +60,7 @@ def x9_split_marked_text(spark, sf_dir):
     """Rendered chats cut at the assistant marker."""
     texts = R.render_chat(log_messages(spark, sf_dir), "chatml")
     prompt, expected = M.split_marked_text(F.col("text"), "<|im_start|>assistant\n")
-    return texts.select("conv_id", "part", prompt.alias("prompt"), expected.alias("expected"))
+    return texts.select("conv_id", prompt.alias("prompt"), expected.alias("expected"))
 
 
 def x13_to_openai_messages(spark, sf_dir):
@@ -172,8 +172,8 @@ J = lambda x: f"to_json({x})::VARCHAR"
 
 
 def _render_sql(expr, generation=""):
-    return with_inputs("log", tail=LOG) + f"""SELECT conv_id, pos // 10000 AS part,
-      string_agg({expr}, '' ORDER BY pos) || {generation or "''"} AS text FROM m GROUP BY 1, 2"""
+    return with_inputs("log", tail=LOG) + f"""SELECT conv_id,
+      string_agg({expr}, '' ORDER BY pos) || {generation or "''"} AS text FROM m GROUP BY 1"""
 
 
 def _chatml_sql(style, tools, generation):
@@ -278,9 +278,9 @@ ORACLES = {
       s AS (SELECT conv_id, min(n) FILTER (NOT calling) AS stop, max(n) AS total FROM r GROUP BY 1)""") + f"""
       SELECT conv_id, least(coalesce(stop, total), 2) AS rounds, CASE WHEN coalesce(stop, total + 1) > 2 AND total >= 2 THEN {_q(fixed.OUT_OF_ATTEMPTS_TEXT)} END AS error,
       least(coalesce(stop, total), 1) AS rounds0, NULL::VARCHAR AS error0 FROM s""",
-    "x9_split_prompt_expected": with_inputs("log") + """SELECT p.*, expected FROM (SELECT conv_id, pos // 10000 AS part, string_agg(role || ': ' || coalesce(text, tool_result), chr(10) ORDER BY pos) AS prompt
-      FROM log WHERE role <> 'assistant' GROUP BY 1, 2) p LEFT JOIN (SELECT conv_id, arg_min(text, pos) AS expected FROM log WHERE role = 'assistant' GROUP BY 1) e USING (conv_id)""",
-    "x9_split_marked_text": "SELECT conv_id, part, split_part(text, '<|im_start|>assistant' || chr(10), 1) || '<|im_start|>assistant' || chr(10) AS prompt, nullif(string_split(text, '<|im_start|>assistant' || chr(10))[2], NULL) AS expected FROM ("
+    "x9_split_prompt_expected": with_inputs("log") + """SELECT p.*, expected FROM (SELECT conv_id, string_agg(role || ': ' || coalesce(text, tool_result), chr(10) ORDER BY pos) AS prompt
+      FROM log WHERE role <> 'assistant' GROUP BY 1) p LEFT JOIN (SELECT conv_id, arg_min(text, pos) AS expected FROM log WHERE role = 'assistant' GROUP BY 1) e USING (conv_id)""",
+    "x9_split_marked_text": "SELECT conv_id, split_part(text, '<|im_start|>assistant' || chr(10), 1) || '<|im_start|>assistant' || chr(10) AS prompt, nullif(string_split(text, '<|im_start|>assistant' || chr(10))[2], NULL) AS expected FROM ("
       + _chatml_sql("chatml", None, False) + ")",
     "x13_to_openai_messages": _openai_sql(True, True, False),
     "x13_to_openai_messages_parity": _openai_sql(False, False, True),
@@ -290,8 +290,10 @@ ORACLES = {
           || CASE WHEN nc > 1 THEN ',{{"type":"tool_use","id":"call_' || pos || '_1","name":' || {J("call2_name")} || ',"input":' || call2_args || '}}' ELSE '' END END || ']}}' AS message
       FROM m WHERE role <> 'system'""".replace("{{", "{").replace("}}", "}"),
     "x15_format_tools": PARAMS_SQL + """SELECT tool, tool || '(' || string_agg(param, ',' ORDER BY o) || ')' AS minimal, '- ' || tool || '(' || string_agg(param, ', ' ORDER BY o) || '): ' || any_value(description) AS listed,
-      '{"type":"function","function":{"name":"' || tool || '","description":"' || any_value(description) || '","parameters":{"type":"object","properties":{' || string_agg('"' || param || '":{"type":"' || type || '"}', ',' ORDER BY o)
-      || '},"required":[' || coalesce(string_agg('"' || param || '"', ',' ORDER BY o) FILTER (required), '') || ']}}}' AS schema FROM params GROUP BY tool""",
+      '{"type":"function","function":{"name":"' || tool || '","description":"' || any_value(description) || '","parameters":{"type":"object","properties":{' || string_agg('"' || param || '":{"type":"' || type || '","description":"' || pd || '"}', ',' ORDER BY o)
+      || '},"required":[' || coalesce(string_agg('"' || param || '"', ',' ORDER BY o) FILTER (required), '') || ']}}}' AS schema,
+      '{"name":"' || tool || '","description":"' || any_value(description) || '","input_schema":{"type":"object","properties":{' || string_agg('"' || param || '":{"type":"' || type || '","description":"' || pd || '"}', ',' ORDER BY o)
+      || '},"required":[' || coalesce(string_agg('"' || param || '"', ',' ORDER BY o) FILTER (required), '') || ']}}' AS input_schema FROM params GROUP BY tool""",
     "x16_render_chatml": _chatml_sql("chatml", None, False),
     "x16_render_chatml_tools": _chatml_sql("chatml", TOOLS_SHORT, True),
     "x17_render_zephyr": _chatml_sql("zephyr", None, False),

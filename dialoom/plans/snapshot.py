@@ -176,10 +176,10 @@ ORACLES = {
     "j6_enrich_entities": S_ + "SELECT entity_id, home_id, full_state AS state, area_id, area_name, concat_ws('|', alias1, alias2) AS aliases FROM e",
     "j7_exposed_domains": S_ + "SELECT DISTINCT domain FROM registry WHERE exposed",
     "j8_explode_aliases": S_ + "SELECT entity_id, CAST(alias_pos AS INT) AS alias_pos, nm AS friendly_name, alias_pos > 0 AS is_alias, full_state AS state FROM names",
-    "a2_entities_block": S_ + "SELECT home_id, pos // 10000 AS part, 'Geräte:' || chr(10) || string_agg(line, chr(10) ORDER BY pos) AS block FROM lines GROUP BY 1, 2",
-    "a3_prompt_by_area": S_ + """, byarea AS (SELECT home_id, pos // 10000 AS part, area_name, CASE WHEN area_name IS NULL THEN '' ELSE '## Area: ' || area_name || chr(10) END
-        || string_agg(line || CASE WHEN area_name IS NOT NULL AND len(attrs) = 0 THEN ';' ELSE '' END, chr(10) ORDER BY pos) AS t FROM lines GROUP BY home_id, pos // 10000, area_name)
-      SELECT home_id, part, 'You are Al.' || chr(10) || 'Devices:' || chr(10) || string_agg(t, chr(10) ORDER BY area_name NULLS FIRST) || chr(10) || 'The time is now' AS prompt FROM byarea GROUP BY 1, 2""",
+    "a2_entities_block": S_ + "SELECT home_id, 'Geräte:' || chr(10) || string_agg(line, chr(10) ORDER BY pos) AS block FROM lines GROUP BY 1",
+    "a3_prompt_by_area": S_ + """, byarea AS (SELECT home_id, area_name, CASE WHEN area_name IS NULL THEN '' ELSE '## Area: ' || area_name || chr(10) END
+        || string_agg(line || CASE WHEN area_name IS NOT NULL AND len(attrs) = 0 THEN ';' ELSE '' END, chr(10) ORDER BY pos) AS t FROM lines GROUP BY home_id, area_name)
+      SELECT home_id, 'You are Al.' || chr(10) || 'Devices:' || chr(10) || string_agg(t, chr(10) ORDER BY area_name NULLS FIRST) || chr(10) || 'The time is now' AS prompt FROM byarea GROUP BY 1""",
     "w5_order_by_recency": """SELECT c_nationkey AS home_id, c_name AS entity_id, last_update, row_number() OVER (PARTITION BY c_nationkey ORDER BY last_update NULLS FIRST, c_name) AS place
       FROM customer LEFT JOIN (SELECT user_id, max(ts) AS last_update FROM events GROUP BY 1) ON user_id = c_custkey""",
     "w11_sort_tools": "SELECT p_partkey, array_to_string(list_sort(string_split(replace(p_name, ' ', ',') || ',' || replace(p_brand, ' ', ',') || ',' || replace(p_type, ' ', ','), ',')), ',') AS tools FROM part",

@@ -14,16 +14,16 @@ SELECT conv_id * 100 + turn AS msg_id, completion FROM {completions}"""}
 
 def _events(spark, sf_dir):
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxBytesPerTrigger", str(1 << 30)).parquet(sf_dir)
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _stream_of(*tables):
-    """A stream that delivers the given tables one after the other."""
+    """A stream that delivers the given tables one after the other, in micro-batches of bounded size."""
     spark, path = tables[0].sparkSession, stage_dir(tables[0].sparkSession)
     for t in tables:
-        t.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(tables[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
+        t.write.mode("append").parquet(path)
+    return spark.readStream.schema(tables[0].schema).option("maxFilesPerTrigger", 8).parquet(path)
 
 
 def t1_latest_state_stream(spark, sf_dir):

@@ -1,4 +1,6 @@
 """Pile files and in-context example files."""
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -7,7 +9,7 @@ from dialoom.functions.text import strip_ws
 
 # fixed values: columns of the pile files
 PILES = {
-    "device_names": "device_name description", "specific_actions": "service_name device_name phrase",
+    "device_names": "device_name description", "specific_actions": "service_name device_name phrase arguments",
     "templated_actions": "device_type service phrase multiplier", "status_requests": "device_type state phrase assistant_response",
     "failed_tool_calls": "service_name correct_device_name correct_friendly_name bad_device_name phrase error_result retry_prompt",
     "refusals": "reason_type service_name device_name friendly_name desired_state phrase response",
@@ -21,32 +23,44 @@ def schema_of(columns) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
+def _languages(spark: SparkSession, root: str, name: str) -> dict:
+    """Folder name -> path of every language that has the file."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/*/{name}")
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where) or []
+    return {f.getPath().getParent().getName(): f.getPath().toString() for f in found}
+
+
 def read_pile(spark: SparkSession, root: str, pile: str, columns=None, line_breaks=False) -> DataFrame:
-    """All languages of a pile, `lang` taken from the folder name; every value is text.
+    """All languages of a pile, `lang` being the name of the language's folder; every value is text.
 
-    Values with line breaks need `line_breaks=True`, which reads each file in one task.
+    Columns are found by the names in each language's header: their order doesn't matter, further ones are
+    ignored and missing ones are NULL. Values with line breaks need `line_breaks=True`, which reads each file in
+    one task. No language with the file: an empty table.
     """
     names = columns or PILES[pile].split(" ")
-    rows = spark.read.schema(schema_of(names)).csv(f"{root}/*/pile_of_{pile}.csv", header=True, quote='"', escape='"', multiLine=line_breaks)
-    return rows.withColumn("lang", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
+    parts = []
+    for lang, path in sorted(_languages(spark, root, f"pile_of_{pile}.csv").items()):
+        rows = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=line_breaks)
+        have = {c.lstrip("\ufeff").strip(): c for c in rows.columns}
+        parts.append(rows.select(*[(F.col(f"`{have[c]}`") if c in have else F.lit(None)).cast("string").alias(c) for c in names], F.lit(lang).alias("lang")))
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema_of([*names, "lang"]))
 
 
-def read_lines(spark: SparkSession, root: str, name: str) -> DataFrame:
+def read_lines(spark: SparkSession, root: str, name: str, language="*") -> DataFrame:
     """One trimmed value per line, with its language."""
-    rows = spark.read.text(f"{root}/*/{name}")
-    return rows.select(strip_ws(F.col("value")).alias("value"), F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("lang"))
+    found = [(lang, path) for lang, path in sorted(_languages(spark, root, name).items()) if language in ("*", lang)]
+    parts = [spark.read.text(path).select(strip_ws(F.col("value")).alias("value"), F.lit(lang).alias("lang")) for lang, path in found]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema_of(["value", "lang"]))
+
+
+def read_media_names(spark: SparkSession, root: str, name="pile_of_media_names.txt") -> DataFrame:
+    """Media names are English in every language."""
+    return read_lines(spark, root, name, "english")
 
 
 def read_optional_pile(spark: SparkSession, root: str, pile: str) -> DataFrame:
     """An empty table where no language has the file."""
-    from pyspark.errors import AnalysisException
-    names = PILES[pile].split(" ")
-    try:
-        return read_pile(spark, root, pile)
-    except AnalysisException as ex:
-        if "PATH_NOT_FOUND" not in str(ex):
-            raise
-        return spark.createDataFrame([], schema_of([*names, "lang"]))
+    return read_pile(spark, root, pile)
 
 
 def read_icl_examples(spark: SparkSession, path: str) -> DataFrame:

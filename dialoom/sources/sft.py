@@ -9,14 +9,21 @@ PIECE = "array<struct<type:string,text:string,name:string,response:struct<result
 
 
 def write_sft_jsonl(entries: DataFrame, path: str, mode="errorifexists") -> None:
-    """One JSON entry per line: example_id, and the message array as real JSON."""
-    line = F.concat(F.lit('{"example_id":'), F.to_json(F.col("example_id").cast("string").cast("variant")), F.lit(',"messages":'), F.col("messages"), F.lit("}"))
+    """One JSON entry per line: example_id, and the message array as real JSON; with a column `tools` (a JSON array) also that."""
+    tools = F.concat(F.lit(',"tools":'), F.coalesce("tools", F.lit("[]"))) if "tools" in entries.columns else F.lit("")
+    line = F.concat(F.lit('{"example_id":'), F.to_json(F.col("example_id").cast("string").cast("variant")), F.lit(',"messages":'), F.col("messages"), tools, F.lit("}"))
     entries.select(line.alias("value")).write.mode(mode).text(path)
 
 
 def read_sft_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """Message rows (example_id, pos, role, text) from entries holding text, conversations or messages."""
+    """Message rows (example_id, pos, role, text) from entries holding text, conversations or messages.
+
+    Entries without an id get one from their file and a hash of their content, so equal entries of one file share it
+    only if they are equal in all fields.
+    """
     rows = spark.read.schema(SFT_SCHEMA).json(path)
+    own = F.concat_ws("#", F.element_at(F.split("_metadata.file_path", "/"), -1), F.sha2(F.to_json(F.struct("text", "conversations", "messages", "tools")), 256))
+    rows = rows.withColumn("example_id", F.coalesce("example_id", own))
     pieces = lambda m: F.transform(m["content"].try_cast("array<variant>"), lambda i: F.try_variant_get(i, "$.text", "string"))
     flat = lambda m: F.coalesce(F.when(
         F.schema_of_variant(m["content"]).startswith("ARRAY"), F.array_join(pieces(m), "\n")).otherwise(m["content"].try_cast("string")), F.lit(""))

@@ -63,7 +63,7 @@ def throttle_refresh(changes: DataFrame, key: str, ts: str, interval_seconds: in
 
         def _frame(self, key, rows):
             import pandas as pd
-            return pd.DataFrame({"k": [key[0]] * len(rows), "at": [r[0] for r in rows], "kind": pd.Series([r[1] for r in rows], dtype="object")}).astype({"at": "int64"})
+            return pd.DataFrame({"k": pd.Series([key[0]] * len(rows), dtype="object"), "at": [r[0] for r in rows], "kind": pd.Series([r[1] for r in rows], dtype="object")}).astype({"at": "int64"})
 
         def handleInputRows(self, key, rows, timerValues):
             import pandas as pd
@@ -102,88 +102,142 @@ def throttle_refresh(changes: DataFrame, key: str, ts: str, interval_seconds: in
 
     timed = changes.select(F.col(key).alias("k"), F.col(ts).alias("at_ts"), F.unix_micros(ts).alias("us")).withWatermark("at_ts", delay)
     out = timed.groupBy("k").transformWithStateInPandas(
-        statefulProcessor=Throttle(), outputStructType="k bigint, at bigint, kind string", outputMode="append", timeMode="eventTime")
+        statefulProcessor=Throttle(), outputStructType=f"k {timed.schema['k'].dataType.simpleString()}, at bigint, kind string", outputMode="append", timeMode="eventTime")
     return out.select(F.col("k").alias(key), F.timestamp_micros("at").alias("refresh_at"), "kind")
 
 
-def parse_completion_stream(chunks: DataFrame, key="conv_id", think=("<think>", "</think>"), tool=("<tool_call>", "</tool_call>")) -> DataFrame:
-    """Text and call rows out of completion chunks (key, seq, content, is_last).
+def parse_completion_stream(chunks: DataFrame, key="conv_id", think=("<think>", "</think>"), tool=("<tool_call>", "</tool_call>"),
+                            idle_seconds: int | None = None) -> DataFrame:
+    """Text and call rows out of completion chunks (key, seq from 0 without gaps, content, is_last).
 
-    Thinking is hidden and call blocks are held back until they close, also when a marker is split
-    over chunks. The last chunk flushes what is open: a call counts as closed, thinking without an
-    end is text. Output rows are numbered per key by `out_seq`.
+    A chunk waits until all with a smaller seq are there, also over micro-batches. Thinking is hidden, but calls inside it
+    count, as in the batch parser; call blocks are held back until they close, also when a marker is split over chunks.
+    The last chunk flushes what is open: a call counts as closed, thinking without an end is text. With `idle_seconds`
+    a key that gets no chunk for so long is flushed too and its state dropped. Output rows are numbered per key by `out_seq`.
     """
+    import re
+
     from pyspark.sql.streaming import StatefulProcessor
 
+    block = re.compile(re.escape(tool[0]) + "(.*?)" + re.escape(tool[1]), re.S)
+    starts, ends = {think[0]: "think", tool[0]: "tool"}, {"think": think[1], "tool": tool[1]}
+
+    def parse(mode, held, done):
+        """Rows, and what stays open."""
+        out, text = [], ""
+
+        def said(kind, content):
+            nonlocal text
+            if text:
+                out.append(("text", text))
+                text = ""
+            out.append((kind, content))
+
+        while True:
+            if mode == "text":
+                found = sorted((held.find(m), m) for m in starts if m in held)
+                if found:
+                    at, mark = found[0]
+                    text, held, mode = text + held[:at], held[at + len(mark):], starts[mark]
+                    continue
+                # keep back only what may still become a marker
+                keep = 0 if done else max((n for m in starts for n in range(1, len(m)) if held.endswith(m[:n])), default=0)
+                text, held = text + held[:len(held) - keep], held[len(held) - keep:]
+                break
+            at = held.find(ends[mode])
+            if at < 0:
+                break
+            for call in block.findall(held[:at]) if mode == "think" else [held[:at]]:
+                said("call", call)
+            held, mode = held[at + len(ends[mode]):], "text"
+        if done and mode == "think":
+            text += think[0] + block.sub("", held)
+            for call in block.findall(held):
+                said("call", call)
+        if text:
+            out.append(("text", text))
+        if done and mode == "tool":
+            out.append(("call", held))
+        return out, mode, held
+
     class Parser(StatefulProcessor):
         def init(self, handle):
-            self.state = handle.getValueState("open", "mode string, held string, emitted bigint")
+            self.handle = handle
+            self.state = handle.getValueState("open", "mode string, held string, emitted bigint, next_seq bigint")
+            self.waiting = handle.getMapState("waiting", "seq bigint", "content string, is_last boolean")
+
+        def _rows(self, key, out, emitted):
+            import pandas as pd
+            return pd.DataFrame({"k": pd.Series([key[0]] * len(out), dtype="object"), "out_seq": range(emitted, emitted + len(out)), "kind": pd.Series([o[0] for o in out], dtype="object"),
+                                 "content": pd.Series([o[1] for o in out], dtype="object")}).astype({"out_seq": "int64"})
+
+        def _finish(self):
+            self.state.clear()
+            self.waiting.clear()
+            for timer in list(self.handle.listTimers()) if idle_seconds else []:
+                self.handle.deleteTimer(timer)
 
         def handleInputRows(self, key, rows, timerValues):
             import pandas as pd
             batch = pd.concat(list(rows)).sort_values("seq")
-            mode, held, emitted = self.state.get() if self.state.exists() else ("text", "", 0)
-            out, text = [], ""
-            starts = {think[0]: "think", tool[0]: "tool"}
-            ends = {"think": think[1], "tool": tool[1]}
-            held = held + "".join(c for c in batch["content"] if c)
-            done = bool(batch["is_last"].any())
-            while True:
-                if mode == "text":
-                    found = sorted((held.find(m), m) for m in starts if m in held)
-                    if found:
-                        at, mark = found[0]
-                        text, held, mode = text + held[:at], held[at + len(mark):], starts[mark]
-                        continue
-                    # keep back only what may still become a marker
-                    keep = 0 if done else max((n for m in starts for n in range(1, len(m)) if held.endswith(m[:n])), default=0)
-                    text, held = text + held[:len(held) - keep], held[len(held) - keep:]
-                    break
-                at = held.find(ends[mode])
-                if at < 0:
-                    break
-                if mode == "tool":
-                    if text:
-                        out.append(("text", text))
-                        text = ""
-                    out.append(("call", held[:at]))
-                held, mode = held[at + len(ends[mode]):], "text"
-            if done and mode == "think":
-                text += think[0] + held
-            if text:
-                out.append(("text", text))
-            if done and mode == "tool":
-                out.append(("call", held))
+            mode, held, emitted, seq = self.state.get() if self.state.exists() else ("text", "", 0, 0)
+            for n, content, last in zip(batch["seq"].tolist(), batch["content"].tolist(), batch["is_last"].tolist()):
+                if n >= seq:
+                    self.waiting.updateValue((n,), (content, bool(last)))
+            done = False
+            while not done and self.waiting.containsKey((seq,)):
+                content, done = self.waiting.getValue((seq,))
+                held += content or ""
+                self.waiting.removeKey((seq,))
+                seq += 1
+            out, mode, held = parse(mode, held, done)
             if done:
-                self.state.clear()
+                self._finish()
             else:
-                self.state.update((mode, held, emitted + len(out)))
-            yield pd.DataFrame({"k": [key[0]] * len(out), "out_seq": range(emitted, emitted + len(out)),
-                                "kind": pd.Series([o[0] for o in out], dtype="object"),
-                                "content": pd.Series([o[1] for o in out], dtype="object")}).astype({"out_seq": "int64"})
+                self.state.update((mode, held, emitted + len(out), seq))
+                if idle_seconds:
+                    for timer in list(self.handle.listTimers()):
+                        self.handle.deleteTimer(timer)
+                    self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + idle_seconds * 1000)
+            yield self._rows(key, out, emitted)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            out, emitted = [], 0
+            if self.state.exists():
+                mode, held, emitted, _ = self.state.get()
+                late = sorted((k[0], v[0]) for k, v in self.waiting.iterator())
+                out, _, _ = parse(mode, held + "".join(c or "" for _, c in late), True)
+            self._finish()
+            yield self._rows(key, out, emitted)
 
         def close(self):
             pass
 
-    rows = chunks.select(F.col(key).alias("k"), "seq", "content", "is_last")
+    rows = chunks.select(F.col(key).alias("k"), F.col("seq").cast("bigint").alias("seq"), "content", "is_last")
     out = rows.groupBy("k").transformWithStateInPandas(
-        statefulProcessor=Parser(), outputStructType="k bigint, out_seq bigint, kind string, content string", outputMode="append", timeMode="none")
+        statefulProcessor=Parser(), outputStructType=f"k {rows.schema['k'].dataType.simpleString()}, out_seq bigint, kind string, content string",
+        outputMode="append", timeMode="ProcessingTime" if idle_seconds else "none")
     return out.withColumnRenamed("k", key)
 
 
 def stream_dead_letters(completions: DataFrame, keys, text="completion"):
-    """Run call parsing over a stream into two tables: (good calls, messages standing in for bad ones)."""
+    """Run call parsing over a stream into two tables: (good calls, messages standing in for bad ones).
+
+    Each micro-batch is parsed once, into one table of calls; both results read that. A stream without rows gives empty tables.
+    """
     spark = completions.sparkSession
-    good_path, bad_path = stage_dir(spark), stage_dir(spark)
+    path = stage_dir(spark)
+    parsed = lambda batch: normalize_tool_calls(explode_calls(extract_blocks(batch, text), *keys))
 
     def save(batch, batch_id):
-        calls = normalize_tool_calls(explode_calls(extract_blocks(batch, text), *keys))
-        good, bad = dead_letter_calls(calls, [*keys, "call_pos"])
-        good.select(*keys, "call_pos", "tool_name", "args").write.mode("overwrite").parquet(f"{good_path}/batch_id={batch_id}")
-        bad.write.mode("overwrite").parquet(f"{bad_path}/batch_id={batch_id}")
+        parsed(batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
     query = completions.writeStream.option("checkpointLocation", stage_dir(spark)).trigger(availableNow=True).foreachBatch(save).start()
     query.awaitTermination()
-    return spark.read.parquet(good_path).drop("batch_id"), spark.read.parquet(bad_path).drop("batch_id")
+    schema = parsed(spark.createDataFrame([], completions.schema)).schema
+    parsed_none = spark.createDataFrame([], schema)
+    parsed_none.write.parquet(f"{path}/batch_id=-1")
+    good, bad = dead_letter_calls(spark.read.schema(schema).parquet(path), [*keys, "call_pos"])
+    return good.select(*keys, "call_pos", "tool_name", "args"), bad
 
 
 def use_rocksdb(spark: SparkSession) -> None:
