@@ -228,7 +228,7 @@ def g5_refusal_examples(spark, sf_dir):
 
 def g6_build_sft(spark, sf_dir):
     entries, _ = G.build_sft(piles(spark, sf_dir))
-    return entries.select("row_id", "persona", "copy", "language", "kind", F.array_join("available_tools", ",").alias("tools"), "messages")
+    return entries.select("row_id", "persona", "copy", "language", "kind", F.array_join("available_tools", ",").alias("available"), "tools", "messages")
 
 
 def g6_missing_responses(spark, sf_dir):

@@ -10,6 +10,7 @@ from dialoom.operators import extend as E
 from dialoom.operators import generate as G
 from dialoom.operators import render as R
 from dialoom.operators import scoring as S
+from dialoom.operators import validate as V
 from dialoom.sources import piles, sft
 from dialoom.streaming import streams
 
@@ -106,3 +107,25 @@ def test_streams_without_rows(spark):
     spark.createDataFrame([], "msg_id string, completion string").write.parquet(path)
     good, bad = streams.stream_dead_letters(spark.readStream.schema("msg_id string, completion string").parquet(path), ["msg_id"])
     assert good.count() == bad.count() == 0
+
+
+def test_entries_offer_tools(spark):
+    every = json.loads(one(spark, V.tools_json()))
+    assert len(every) == 19 and every[3]["function"]["parameters"]["properties"]["position"] == {"type": "integer", "description": "Position from 0-100", "minimum": 0, "maximum": 100}
+    some = json.loads(one(spark, V.tools_json(F.array(F.lit("HassTurnOff"), F.lit("unknown"), F.lit("HassToggle")))))
+    assert [t["function"]["name"] for t in some] == ["HassTurnOff", "HassToggle"]
+    services = json.loads(one(spark, V.tools_json(service_names=True)))
+    assert len(services) == 36 and services[0]["function"]["parameters"]["required"] == ["target_device"]
+
+
+def test_service_tools_are_checked(spark):
+    calls = spark.createDataFrame([("light.turn_on", '{"target_device": "light.a", "brightness": 3}'), ("todo.add_item", '{"target_device": "todo.a"}'), ("climate.set_humidity", '{"target_device": "c", "humidity": 101}')],
+                                  "tool_name string, args string")
+    got = {r["tool_name"]: r["errors"] for r in V.validate_tool_calls(calls, V.intent_catalog(spark).union(V.service_catalog(spark))).collect()}
+    assert got == {"light.turn_on": None, "todo.add_item": "required key not provided @ item", "climate.set_humidity": "value too large @ humidity"}
+
+
+def test_model_rules_from_a_table(spark):
+    table = spark.createDataFrame([(1, "home-", "tool_call_prefix", "<<"), (1, "home-", "context_length", "4096"), (2, "llama", None, None)], "pos int, key string, option string, value string")
+    got = V.apply_model_rules(spark.createDataFrame([("My-Home-Llama",), ("llama-3",)], "model string"), rules=V.rules_from_table(table)).collect()
+    assert [r["rule"] for r in got] == ["home-", "llama"] and got[0]["options"]["context_length"] == "4096"
