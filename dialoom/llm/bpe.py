@@ -12,16 +12,23 @@ Null text: no ids (and decodes to no bytes). Texts of any length are handled in
 working memory besides the text and its ids. Rows and other columns are untouched.
 """
 import base64
+import functools
+import struct
 from collections.abc import Iterator
 from itertools import islice
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CACHE, CACHED_BYTES, RUN = 200_000, 48, 100_000
+CACHE, CACHED_BYTES, PAIRS, RUN = 120_000, 48, 400_000, 100_000
+
+
+def pack_ids(ids: list) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class Vocabulary:
@@ -32,7 +39,8 @@ class Vocabulary:
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
-        self.longest = max(map(len, ranks))
+        self.sizes = [len(t) for t in self.tokens]
+        self.longest = max(self.sizes)
         self.pair: dict = {}
         self.split = [(i, i) for i in range(len(self.tokens))]
         self.parts: dict = {}
@@ -50,6 +58,18 @@ class Vocabulary:
                     break
         self.known.clear()
 
+    @functools.cached_property
+    def finder(self) -> ahocorasick.Automaton:
+        """Finds all tokens in a text, read as Latin-1; at each end the longest first."""
+        automaton = ahocorasick.Automaton()
+        for token, rank in self.parts.items():
+            automaton.add_word(token.decode("latin-1"), (rank, len(token)))
+        automaton.make_automaton()
+        return automaton
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "finder"} | {"known": {}}
+
     @staticmethod
     def from_ranks(path: str) -> "Vocabulary":
         """Read lines of `base64 rank`."""
@@ -79,7 +99,7 @@ class Vocabulary:
         key = a << 32 | b
         known = self.known.get(key)
         if known is None:
-            if len(self.known) >= 1_000_000:
+            if len(self.known) >= PAIRS:
                 self.known.clear()
             known = self.known[key] = self._fits(a, b)
         return known
@@ -93,17 +113,21 @@ class Prefixes:
         self.append(data)
 
     def append(self, more: bytes) -> "Prefixes":
-        v, done = self.vocabulary, len(self.data)
-        self.data = data = self.data + more
-        parts, fits, last, longest = v.parts, v.fits, self.last, v.longest
-        for end in range(done + 1, len(data) + 1):
-            for start in range(max(0, end - longest), end):
-                token = parts.get(data[start:end])
-                if token is not None and (start == 0 or fits(last[start], token)):
+        v, last, begin = self.vocabulary, self.last, len(self.last)
+        self.data += more
+        known, fits = v.known.get, v.fits
+        for end, (token, size) in v.finder.iter(self.data.decode("latin-1"), max(0, begin - v.longest)):
+            end += 1
+            if end == len(last):  # neither an old prefix nor one whose token is found
+                start = end - size
+                if start == 0:
                     last.append(token)
-                    break
-            else:
-                raise ValueError("the vocabulary lacks a byte")
+                else:
+                    good = known(last[start] << 32 | token)
+                    if good or good is None and fits(last[start], token):
+                        last.append(token)
+        if len(last) != len(self.data) + 1:
+            raise ValueError("the vocabulary lacks a byte")
         return self
 
     def edit(self, start: int, end: int, new: bytes) -> "Prefixes":
@@ -113,28 +137,34 @@ class Prefixes:
         return self.append(new + rest)
 
     def ids(self) -> list:
-        out, end = [], len(self.data)
+        out, end, last, sizes = [], len(self.data), self.last, self.vocabulary.sizes
         while end:
-            out.append(self.last[end])
-            end -= len(self.vocabulary.tokens[out[-1]])
-        return out[::-1]
+            token = last[end]
+            out.append(token)
+            end -= sizes[token]
+        out.reverse()
+        return out
 
 
 class Encoder(dict):
-    """Piece -> packed ids; remembers short pieces only, and a bounded number of them."""
+    """Piece -> packed ids. Remembers short pieces; when CACHE of them are held, those not used since the last time go."""
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         super().__init__()
-        self.vocabulary, self.pattern = vocabulary, regex.compile(pattern)
+        self.vocabulary, self.pattern, self.older = vocabulary, regex.compile(pattern), {}
 
     def __missing__(self, piece: str) -> bytes:
-        data = piece.encode("utf-8")
-        whole = self.vocabulary.ranks.get(data)
-        ids = np.array([whole] if whole is not None else Prefixes(self.vocabulary, data).ids(), dtype="<u4").tobytes()
-        if len(data) <= CACHED_BYTES:
-            if len(self) >= CACHE:
-                self.clear()
-            self[piece] = ids
+        ids = self.older.get(piece)
+        if ids is None:
+            data = piece.encode("utf-8")
+            whole = self.vocabulary.ranks.get(data)
+            ids = pack_ids([whole] if whole is not None else Prefixes(self.vocabulary, data).ids())
+            if len(data) > CACHED_BYTES:
+                return ids
+        if len(self) >= CACHE:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = ids
         return ids
 
     def encode(self, text: str, start=0) -> bytes:
