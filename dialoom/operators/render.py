@@ -50,10 +50,15 @@ def format_arguments(args: Column) -> Column:
     return F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit(":"), e["value"])), ",")
 
 
-def render_pieces(messages: DataFrame, style: str, tools_text: str | None = None, key="conv_id", pos="pos",
+def render_pieces(messages: DataFrame, style: str, tools_text: str | Column | None = None, key="conv_id", pos="pos",
                   fence="```tool") -> DataFrame:
-    """Add `piece`, the text each message contributes; an opening tools text goes before the first."""
+    """Add `piece`, the text each message contributes; an opening tools text goes before the first.
+
+    `tools_text` is one text for all conversations, or a column that says it per conversation (NULL: no tools).
+    """
     start, mid, end, _ = TURNS[style]
+    tools = tools_text if isinstance(tools_text, Column) else F.lit(tools_text).cast("string")
+    has_tools = tools.isNotNull()
     calls_n = F.coalesce(F.size("tool_calls"), F.lit(0))
     tool_role = F.col("role") == "tool_result"
     state = F.struct(tool_role.alias("tool"), (calls_n > 0).alias("calls"), F.col("role").alias("role"),
@@ -79,13 +84,9 @@ def render_pieces(messages: DataFrame, style: str, tools_text: str | None = None
                         F.lit("\n<tool_response>\n"), F.col("tool_result"), F.lit("\n</tool_response>"),
                         F.when(before_tool, "").otherwise(end))
         head = start + "system" + mid
-        if tools_text is None:
-            body = F.when(system_first, F.concat(F.lit(head), text, F.lit("\n" + fixed.NO_TOOLS_TEXT + end)))
-            lead = F.lit("")
-        else:
-            body = F.when(system_first, F.lit(""))
-            lead = F.when(first, F.concat(F.lit(head), F.when(system_first, F.concat(text, F.lit("\n\n"))).otherwise(""),
-                                          F.lit("Tools:\n" + tools_text + CALL_HELP + end))).otherwise("")
+        body = F.when(system_first, F.when(has_tools, "").otherwise(F.concat(F.lit(head), text, F.lit("\n" + fixed.NO_TOOLS_TEXT + end))))
+        lead = F.when(first & has_tools, F.concat(F.lit(head), F.when(system_first, F.concat(text, F.lit("\n\n"))).otherwise(""),
+                                                  F.lit("Tools:\n"), tools, F.lit(CALL_HELP + end))).otherwise("")
         body = body.when(F.col("role").isin("user", "system"), F.concat(opening, text, F.lit(end))) \
             .when(F.col("role") == "assistant", said).when(tool_role, tool)
         piece = F.concat(lead, body)
@@ -93,16 +94,16 @@ def render_pieces(messages: DataFrame, style: str, tools_text: str | None = None
         block = lambda c: F.concat(F.lit('{"name": "'), c["name"], F.lit('", "arguments": '), c["args"], F.lit("}\n"))
         fenced = F.when(calls_n > 0, F.concat(F.lit("\n" + fence + "\n"), calls(block), F.lit("```"))).otherwise(
             F.when(F.col("role") == "assistant", "\n").otherwise(""))
-        services = F.when(F.col("role") == "system", "\nServices:" + (tools_text or "")).otherwise("")
+        services = F.when(F.col("role") == "system", F.concat(F.lit("\nServices:"), F.coalesce(tools, F.lit("")))).otherwise("")
         content = F.when(tool_role, F.col("tool_result")).otherwise(text)
         piece = F.concat(opening, content, services, fenced, F.lit(end))
     elif style == "gemma3":
-        head = fixed.NO_TOOLS_TEXT if tools_text is None else "Tools:\n" + tools_text
+        head = F.coalesce(F.concat(F.lit("Tools:\n"), tools), F.lit(fixed.NO_TOOLS_TEXT))
         block = lambda c: F.concat(F.lit('\n<tool_call>{"name": "'), c["name"], F.lit('", "arguments": '), c["args"], F.lit("}</tool_call>"))
         content = F.when(tool_role, F.concat(F.lit("<tool_result>"), strip_ws(F.col("tool_result")), F.lit("</tool_result>"))).otherwise(strip_ws(text))
         piece = F.concat(F.when(first, head).otherwise(""), opening, content, calls(block), F.lit(end))
     else:
-        head = start + "developer" + mid + ((DEVELOPER_TOOLS + tools_text) if tools_text else DEVELOPER_NONE) + end
+        head = F.concat(F.lit(start + "developer" + mid), F.when(F.coalesce(tools, F.lit("")) != "", F.concat(F.lit(DEVELOPER_TOOLS), tools)).otherwise(DEVELOPER_NONE), F.lit(end))
         block = lambda c: F.concat(F.lit("<start_function_call>call:"), c["name"], F.lit("{"), format_arguments(c["args"]), F.lit("}<end_function_call>"))
         # a leading system text moves into the turn that follows it
         moved = F.when(F.col("_prev.role") == "system", F.concat(strip_ws(F.col("_prev.text")), F.lit("\n"))).otherwise("")

@@ -83,7 +83,8 @@ def p23_build_localized_prompt(spark, sf_dir):
     template = "<persona>\n<tools>, <services>, <area>\n<devices>:\n<current_date>\n<user_instruction>: "
     docs = spark_input(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 50 == 0, "xx").otherwise(F.col("lang")).alias("lang"),
                                                           F.concat(F.lit(template), "text").alias("template"))
-    return S.build_localized_prompt(docs, clock=F.lit("NOW")).select("doc_id", F.md5("prompt").alias("digest"), F.length("prompt").cast("bigint").alias("chars"))
+    docs = docs.withColumn("ts", F.expr("timestampadd(MINUTE, doc_id * 7777, TIMESTAMP_NTZ'2024-01-01 00:00:00')"))
+    return S.build_localized_prompt(docs, clock=K.live_clock(F.col("ts"), F.col("_lang"))).select("doc_id", F.md5("prompt").alias("digest"), F.length("prompt").cast("bigint").alias("chars"))
 
 
 def j6_enrich_entities(spark, sf_dir):
@@ -126,6 +127,19 @@ QUERIES = {f.__name__: f for f in (
     p15_format_entity_line, p16_slugify_names, p23_build_localized_prompt, j6_enrich_entities, j7_exposed_domains, j8_explode_aliases,
     a2_entities_block, a3_prompt_by_area, w5_order_by_recency, w11_sort_tools)}
 
+def _live(lang):
+    """The live clock of one language in DuckDB."""
+    q = lambda t: "'" + t.replace("'", "''") + "'"
+    names = lambda table: "[" + ", ".join(q(n) for n in table[lang].split(" ")) + "]"
+    day, month = f"{names(fixed.LIVE_DAY_NAMES)}[isodow(ts)]", f"{names(fixed.LIVE_MONTH_NAMES)}[month(ts)]"
+    marks = {"{h}": "strftime(ts, '%I')", "{H}": "strftime(ts, '%H')", "{m}": "strftime(ts, '%M')", "{a}": "strftime(ts, '%p')", "{day}": day, "{d}": "day(ts)::VARCHAR",
+             "{dd}": "strftime(ts, '%d')", "{month}": month, "{y}": "year(ts)::VARCHAR"}
+    text = q(fixed.LIVE_CLOCK_PATTERNS[lang])
+    for mark, value in marks.items():
+        text = f"replace({text}, '{mark}', {value})"
+    return f"WHEN '{lang}' THEN {text}"
+
+
 COLORS = "colors AS (SELECT * FROM (VALUES " + ", ".join(f"({o}, '{n}', {r}, {g}, {b})" for o, n, r, g, b in fixed.color_rows()) + ") v(ord, name, r, g, b))"
 _dist = lambda r, g, b: f"(c.r - {r}) * (c.r - {r}) + (c.g - {g}) * (c.g - {g}) + (c.b - {b}) * (c.b - {b})"
 SNAP = COLORS + f""",
@@ -171,7 +185,8 @@ ORACLES = {
     "p15_format_entity_line": S_ + "SELECT home_id, pos, line FROM lines",
     "p16_slugify_names": """SELECT p_partkey, lower('bobs_' || replace(p_name, ' ', '_') || '_a-' || p_brand) AS synthetic, lower('bob''s_' || replace(p_name, ' ', '_') || '_a_' || p_brand) AS translated FROM part""",
     "p23_build_localized_prompt": f"""WITH q AS (SELECT doc_id, text, CASE WHEN doc_id % 50 = 0 THEN 'en' ELSE lang END AS lg FROM documents),
-      r AS (SELECT doc_id, {_replace_all("('<persona>' || chr(10) || '<tools>, <services>, <area>' || chr(10) || '<devices>:' || chr(10) || 'NOW' || chr(10) || '<user_instruction>: ' || text)", 'lg')} AS prompt FROM q)
+      c AS (SELECT *, CASE lg {' '.join(_live(l) for l in fixed.PROMPT_LANGUAGES)} END AS now FROM (SELECT *, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(doc_id * 7777 AS BIGINT)) AS ts FROM q)),
+      r AS (SELECT doc_id, {_replace_all("('<persona>' || chr(10) || '<tools>, <services>, <area>' || chr(10) || '<devices>:' || chr(10) || now || chr(10) || '<user_instruction>: ' || text)", 'lg')} AS prompt FROM c)
       SELECT doc_id, md5(prompt) AS digest, length(prompt) AS chars FROM r""",
     "j6_enrich_entities": S_ + "SELECT entity_id, home_id, full_state AS state, area_id, area_name, concat_ws('|', alias1, alias2) AS aliases FROM e",
     "j7_exposed_domains": S_ + "SELECT DISTINCT domain FROM registry WHERE exposed",

@@ -129,3 +129,12 @@ def test_model_rules_from_a_table(spark):
     table = spark.createDataFrame([(1, "home-", "tool_call_prefix", "<<"), (1, "home-", "context_length", "4096"), (2, "llama", None, None)], "pos int, key string, option string, value string")
     got = V.apply_model_rules(spark.createDataFrame([("My-Home-Llama",), ("llama-3",)], "model string"), rules=V.rules_from_table(table)).collect()
     assert [r["rule"] for r in got] == ["home-", "llama"] and got[0]["options"]["context_length"] == "4096"
+
+
+@pytest.mark.parametrize("style", ["chatml", "zephyr", "gemma3", "functiongemma", "zephyr_legacy"])
+def test_tools_per_conversation(spark, style):
+    rows = spark.createDataFrame([(1, 0, "system", "Be kind", "T1"), (1, 1, "user", "Hi", "T1"), (2, 0, "system", "Be kind", None), (2, 1, "user", "Hi", None)], "conv_id int, pos int, role string, text string, own string")
+    rows = rows.withColumns({"tool_calls": F.lit(None).cast("array<struct<id:string,name:string,args:string>>"), "tool_name": F.lit(None).cast("string"), "tool_result": F.lit(None).cast("string")})
+    got = {r["conv_id"]: r["text"] for r in R.render_chat(rows, style, F.col("own")).collect()}
+    single = lambda k, t: R.render_chat(rows.where(F.col("conv_id") == k), style, t).collect()[0]["text"]
+    assert got == {1: single(1, "T1"), 2: single(2, None)} and "T1" in got[1]
