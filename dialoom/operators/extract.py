@@ -37,15 +37,22 @@ RESPONSES = ("struct<object:string,id:string,status:string,error:struct<message:
 LOCAL = "struct<message:struct<content:string,tool_calls:array<struct<function:struct<name:string,arguments:string>>>>>"
 
 
+def _message_text(payload: Column, path: str, plain: Column) -> Column:
+    """The text at `path`: as it is, or the texts of a list of strings and {text} items joined."""
+    value = F.try_variant_get(payload, path, "variant")
+    item = lambda v: F.coalesce(F.try_variant_get(v, "$.text", "string"), F.when(F.schema_of_variant(v) == "STRING", v.try_cast("string")), F.lit(""))
+    return F.when(F.schema_of_variant(value).startswith("ARRAY"), F.array_join(F.transform(value.try_cast("array<variant>"), item), "")).otherwise(plain)
+
+
 def extract_provider_responses(df: DataFrame, body="body", provider="provider") -> DataFrame:
     """Add content, tool_calls (JSON), error and unfinished for chat, responses and local payloads."""
     keys = F.json_object_keys(F.col(body))
-    df = compute_once(df, _c=F.from_json(body, CHAT), _r=F.from_json(body, RESPONSES), _l=F.from_json(body, LOCAL), _k=keys)
+    df = compute_once(df, _c=F.from_json(body, CHAT), _r=F.from_json(body, RESPONSES), _l=F.from_json(body, LOCAL), _k=keys, _v=F.try_parse_json(body))
     kind = F.col(provider)
     choice = F.try_element_at("_c.choices", F.lit(1))
     no_choice = F.coalesce(F.size("_c.choices"), F.lit(0)) < 1
     whole, chunk = F.col("_c.object") == "chat.completion", F.col("_c.object") == "chat.completion.chunk"
-    chat_text = F.when(whole, choice["message"]["content"]).when(chunk, F.coalesce(choice["delta"]["content"], F.lit(""))).otherwise(choice["text"])
+    chat_text = F.when(whole, _message_text(F.col("_v"), "$.choices[0].message.content", choice["message"]["content"])).when(chunk, F.coalesce(choice["delta"]["content"], F.lit(""))).otherwise(choice["text"])
     calls = F.when(chunk, F.to_json(F.transform(choice["delta"]["tool_calls"], lambda c: c["function"])))
     output = F.try_element_at("_r.output", F.lit(1))
     item = F.try_element_at(output["content"], F.lit(1))
@@ -61,11 +68,11 @@ def extract_provider_responses(df: DataFrame, body="body", provider="provider")
     chat, resp, local = kind == "chat", kind == "responses", kind == "local"
     return df.withColumns({
         "error": F.when(chat & no_choice, "missing or empty 'choices'").when(resp, r_error),
-        "content": F.when(chat & ~no_choice, chat_text).when(resp & r_error.isNull(), r_text).when(local, F.col("_l.message.content")),
+        "content": F.when(chat & ~no_choice, chat_text).when(resp & r_error.isNull(), r_text).when(local, _message_text(F.col("_v"), "$.message.content", F.col("_l.message.content"))),
         "tool_calls": F.when(chat & ~no_choice, calls).when(local & (F.size("_l.message.tool_calls") > 0), F.to_json("_l.message.tool_calls")),
         "unfinished": F.coalesce(F.when(chat, choice["finish_reason"].isin("length", "content_filter"))
                                  .when(resp & r_error.isNull(), F.col("_r.status") != "completed"), F.lit(False)),
-    }).drop("_c", "_r", "_l", "_k")
+    }).drop("_c", "_r", "_l", "_k", "_v")
 
 
 def parse_sse_lines(lines: DataFrame, stream="stream_id", pos="line_no", line="line"):

@@ -98,18 +98,25 @@ def to_openai_messages(messages: DataFrame, args_as_str=True, result_as_str=True
                        content_as_list=False) -> DataFrame:
     """Add `message`, the chat-completions JSON of each row.
 
-    `keep_plain=False` leaves out assistant rows without calls.
+    `keep_plain=False` leaves out assistant rows without calls. A column attachments ARRAY<STRUCT<mime_type, data>> adds
+    the images (base64) of user messages, and a column `error` for rows with attachments of another kind.
     """
+    attached = "attachments" in messages.columns
+    pictures = F.filter("attachments", lambda a: a["mime_type"].startswith("image/")) if attached else None
     has_calls = F.coalesce(F.size("tool_calls"), F.lit(0)) > 0
     text = json_string(F.coalesce("text", F.lit("")))
     args = (lambda c: json_string(c["args"])) if args_as_str else (lambda c: c["args"])
     call = lambda c: F.concat(F.lit('{"type":"function","id":'), json_string(F.coalesce(c["id"], F.lit(""))),
                               F.lit(',"function":{"arguments":'), args(c), F.lit(',"name":'), json_string(c["name"]), F.lit("}}"))
-    user = F.concat(F.lit('[{"type":"text","text":'), text, F.lit("}]")) if content_as_list else text
+    shown = F.transform(pictures, lambda a: F.concat(F.lit(',{"type":"image_url","image_url":{"url":'), json_string(a["data"]), F.lit("}}"))) if attached else F.array(F.lit(""))
+    user = F.concat(F.lit('[{"type":"text","text":'), text, F.lit("}"), F.coalesce(F.array_join(shown, ""), F.lit("")), F.lit("]")) if content_as_list else text
+    images = F.lit("")
+    if attached and not content_as_list:
+        images = F.when(F.size(pictures) > 0, F.concat(F.lit(',"images":['), F.array_join(F.transform(pictures, lambda a: json_string(a["data"])), ","), F.lit("]"))).otherwise("")
     result = json_string(F.col("tool_result")) if result_as_str else F.concat(
         F.lit('{"name":'), json_string(F.col("tool_name")), F.lit(',"response":{"result":'), F.col("tool_result"), F.lit("}}"))
     message = (F.when(F.col("role") == "system", F.concat(F.lit('{"role":"system","content":'), text, F.lit("}")))
-               .when(F.col("role") == "user", F.concat(F.lit('{"role":"user","content":'), user, F.lit("}")))
+               .when(F.col("role") == "user", F.concat(F.lit('{"role":"user","content":'), user, images, F.lit("}")))
                .when((F.col("role") == "assistant") & has_calls, F.concat(
                    F.lit('{"role":"assistant","content":'), text, F.lit(',"tool_calls":['), _calls(call), F.lit("]}")))
                .when(F.col("role") == "assistant", F.concat(F.lit('{"role":"assistant","content":'), text, F.lit("}")))
@@ -117,6 +124,10 @@ def to_openai_messages(messages: DataFrame, args_as_str=True, result_as_str=True
                    F.lit('{"role":"tool","content":'), result, F.lit(',"tool_call_id":'),
                    json_string(F.coalesce("tool_call_id", F.lit(""))), F.lit("}"))))
     rows = messages if keep_plain else messages.filter((F.col("role") != "assistant") | has_calls)
+    if attached:
+        refused = (F.col("role") == "user") & F.exists("attachments", lambda a: ~a["mime_type"].startswith("image/"))
+        refused = F.coalesce(refused, F.lit(False))
+        return rows.withColumns({"message": F.when(~refused, message), "error": F.when(refused, "unsupported attachment type")})
     return rows.withColumn("message", message)
 
 

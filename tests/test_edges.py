@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from dialoom.functions.args import canonical_args, json_object
 from dialoom.functions.stage import stage_dir
 from dialoom.operators import extend as E
+from dialoom.operators import extract as X
 from dialoom.operators import generate as G
+from dialoom.operators import messages as M
 from dialoom.operators import render as R
 from dialoom.operators import scoring as S
 from dialoom.operators import validate as V
@@ -138,3 +140,21 @@ def test_tools_per_conversation(spark, style):
     got = {r["conv_id"]: r["text"] for r in R.render_chat(rows, style, F.col("own")).collect()}
     single = lambda k, t: R.render_chat(rows.where(F.col("conv_id") == k), style, t).collect()[0]["text"]
     assert got == {1: single(1, "T1"), 2: single(2, None)} and "T1" in got[1]
+
+
+def test_contents_given_as_lists(spark):
+    rows = spark.createDataFrame([("chat", '{"object":"chat.completion","choices":[{"message":{"content":[{"type":"text","text":"a"},"b",{"x":1}]}}]}'), ("local", '{"message":{"content":["c",{"text":"d"}]}}'),
+                                  ("chat", '{"object":"chat.completion","choices":[{"message":{"content":"[not a list"}}]}')], "provider string, body string")
+    assert [r["content"] for r in X.extract_provider_responses(rows).collect()] == ["ab", "cd", "[not a list"]
+
+
+def test_attachments(spark):
+    rows = spark.createDataFrame([(0, "user", "hi", [("image/png", "QQ")]), (1, "user", "no", [("text/plain", "QQ")]), (2, "user", "bare", None), (3, "system", "s", None)],
+                                 "pos int, role string, text string, attachments array<struct<mime_type:string,data:string>>").coalesce(1).sortWithinPartitions("pos")
+    rows = rows.withColumns({"tool_calls": F.lit(None).cast("array<struct<id:string,name:string,args:string>>"), "tool_call_id": F.lit(""), "tool_name": F.lit(""), "tool_result": F.lit("")})
+    got = M.to_openai_messages(rows, content_as_list=True).collect()
+    assert json.loads(got[0]["message"])["content"] == [{"type": "text", "text": "hi"}, {"type": "image_url", "image_url": {"url": "QQ"}}]
+    assert got[1]["message"] is None and got[1]["error"] and json.loads(got[2]["message"])["content"] == [{"type": "text", "text": "bare"}]
+    flat = M.to_openai_messages(rows).collect()
+    assert json.loads(flat[0]["message"]) == {"role": "user", "content": "hi", "images": ["QQ"]} and json.loads(flat[2]["message"]) == {"role": "user", "content": "bare"}
+    assert json.loads(flat[3]["message"])["role"] == "system"
