@@ -54,7 +54,8 @@ def render_pieces(messages: DataFrame, style: str, tools_text: str | Column | No
                   fence="```tool") -> DataFrame:
     """Add `piece`, the text each message contributes; an opening tools text goes before the first.
 
-    `tools_text` is one text for all conversations, or a column that says it per conversation (NULL: no tools).
+    `tools_text` is one text for all conversations, or a column that says it per conversation (NULL: no tools). A column
+    tool_results ARRAY<STRUCT<tool_name, tool_result>> holds several results of one tool message (the gemma styles).
     """
     start, mid, end, _ = TURNS[style]
     tools = tools_text if isinstance(tools_text, Column) else F.lit(tools_text).cast("string")
@@ -76,6 +77,9 @@ def render_pieces(messages: DataFrame, style: str, tools_text: str | Column | No
     calls = lambda f, sep="": F.array_join(F.transform(F.coalesce("tool_calls", F.expr(
         "cast(array() as array<struct<id:string,name:string,args:string>>)")), f), sep)
     system_first = first & (F.col("role") == "system")
+    results = F.array(F.struct("tool_name", "tool_result"))
+    if "tool_results" in messages.columns:
+        results = F.when(F.size("tool_results") > 0, F.transform("tool_results", lambda r: F.struct(r["tool_name"].alias("tool_name"), r["tool_result"].alias("tool_result")))).otherwise(results)
 
     if style in ("chatml", "zephyr"):
         block = lambda c: F.concat(F.lit('<tool_call>\n{"name": "'), c["name"], F.lit('", "arguments": '), c["args"], F.lit("}\n</tool_call>"))
@@ -100,7 +104,8 @@ def render_pieces(messages: DataFrame, style: str, tools_text: str | Column | No
     elif style == "gemma3":
         head = F.coalesce(F.concat(F.lit("Tools:\n"), tools), F.lit(fixed.NO_TOOLS_TEXT))
         block = lambda c: F.concat(F.lit('\n<tool_call>{"name": "'), c["name"], F.lit('", "arguments": '), c["args"], F.lit("}</tool_call>"))
-        content = F.when(tool_role, F.concat(F.lit("<tool_result>"), strip_ws(F.col("tool_result")), F.lit("</tool_result>"))).otherwise(strip_ws(text))
+        content = F.when(tool_role, F.concat(F.lit("<tool_result>"), F.array_join(F.transform(
+            results, lambda r: strip_ws(r["tool_result"])), "</tool_result>\n<tool_result>"), F.lit("</tool_result>"))).otherwise(strip_ws(text))
         piece = F.concat(F.when(first, head).otherwise(""), opening, content, calls(block), F.lit(end))
     else:
         head = F.concat(F.lit(start + "developer" + mid), F.when(F.coalesce(tools, F.lit("")) != "", F.concat(F.lit(DEVELOPER_TOOLS), tools)).otherwise(DEVELOPER_NONE), F.lit(end))
@@ -111,8 +116,8 @@ def render_pieces(messages: DataFrame, style: str, tools_text: str | Column | No
         said = F.concat(F.when(after_tool, "").otherwise(opening), F.when(second, moved).otherwise(""), strip_ws(text), calls(block),
                         F.when((calls_n > 0) & last, "<start_function_response>").otherwise(""),
                         F.when(calls_n > 0, "").otherwise(end))
-        response = F.concat(F.lit("<start_function_response>response:"), F.trim("tool_name"), F.lit("{"),
-                            format_arguments(F.col("tool_result")), F.lit("}<end_function_response>"))
+        response = F.array_join(F.transform(results, lambda r: F.concat(
+            F.lit("<start_function_response>response:"), F.trim(r["tool_name"]), F.lit("{"), format_arguments(r["tool_result"]), F.lit("}<end_function_response>"))), "")
         piece = F.concat(F.when(first, head).otherwise(""),
                          F.when(system_first, "").when(tool_role, response).otherwise(said))
     return rows.withColumn("piece", piece).drop("_prev", "_next", "_first", "_last", "_start")

@@ -213,10 +213,12 @@ def s9_write_eval_report(spark, sf_dir):
 
 
 def s10_load_images_base64(spark, sf_dir):
-    """The given files themselves; parquet files count as images here, so that all content passes."""
-    kinds = spark.createDataFrame([("parquet", "image/x-parquet")], "extension string, mime_type string")
-    good, bad = sft.load_images_base64(spark, sf_dir, kinds)
-    return good.select(F.element_at(F.split("path", "/"), -1).alias("name"), "mime_type", F.md5(F.unbase64("data")).alias("digest"))
+    """Pages written as files of some dozens each, which count as images here."""
+    path = stage_dir(spark)
+    spark_input(spark, sf_dir, "pages").select("html").write.option("maxRecordsPerFile", 50).text(path)
+    kinds = spark.createDataFrame([("txt", "image/x-page")], "extension string, mime_type string")
+    good, bad = sft.load_images_base64(spark, path, kinds)
+    return good.select("mime_type", F.md5(F.unbase64("data")).alias("digest")).unionByName(bad.select("mime_type", F.lit(None).cast("string").alias("digest")))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -262,7 +264,7 @@ ORACLES = {
     "x11_build_generation_prompts": with_inputs("services") + " UNION ALL ".join([
         f"SELECT o_orderkey, 'phrase' AS kind, {_fmt(E.PHRASE_TEXT, service='service_name', data='service_data', **_who)} AS prompt FROM services",
         f"SELECT o_orderkey, 'status', {_fmt(E.STATUS_TEXT, attribute=chr(39) + 'state' + chr(39), **_who)} FROM services",
-        f"SELECT o_orderkey, 'failed', {_fmt(E.FAILED_TEXT, service='service_name', action=_DESCRIBE, **_who)} FROM services",
+        f"SELECT o_orderkey, 'failed', {_fmt(E.FAILED_TEXT, service='service_name', action=_DESCRIBE, **_who)} || CASE WHEN service_name = 'climate.set_temperature' THEN {_fmt(E.TEMPERATURE_RULE)} ELSE '' END FROM services",
         f"SELECT o_orderkey, 'not_available', {_fmt(E.REFUSAL_TEXT, language=_who['language'], service='service_name', action=_DESCRIBE, reason=_lost)} FROM services",
         f"SELECT o_orderkey, 'already_state', {_fmt(E.REFUSAL_TEXT, language=_who['language'], service='service_name', action=_DESCRIBE, reason=f'CASE WHEN {_STATE} = {chr(39)*2} THEN {_lost} ELSE {chr(39)}Explain that the device is already {chr(39)} || {_STATE} || {chr(39)} and no change is needed.{chr(39)} END')} FROM services"]),
     "x12_check_generated_rows": with_inputs("answers") + f""", j AS (SELECT *, {_JSON} AS j FROM answers), f AS (SELECT *, trim(coalesce(j->>'$.phrase', '')) AS p0, trim(coalesce(j->>'$.response', '')) AS r FROM j), t AS (SELECT *, {_TEMPL('p0')} AS p FROM f),

@@ -158,3 +158,34 @@ def test_attachments(spark):
     flat = M.to_openai_messages(rows).collect()
     assert json.loads(flat[0]["message"]) == {"role": "user", "content": "hi", "images": ["QQ"]} and json.loads(flat[2]["message"]) == {"role": "user", "content": "bare"}
     assert json.loads(flat[3]["message"])["role"] == "system"
+
+
+def test_generated_names_personas_and_failures(spark):
+    def complete(talks):
+        return ["Hall Lamp\n\n Bob's Fan " if "names" in t[0]["content"] else '"You are P"' for t in talks]
+    names = E.generate_device_names(spark.createDataFrame([("light",)], "type string"), complete).collect()
+    assert {tuple(r) for r in names} == {("light.hall_lamp", "Hall Lamp"), ("light.bobs_fan", "Bob's Fan")}
+    people = E.generate_persona_prompts(spark.createDataFrame([("pirate", "salty")], "persona string, about string"), complete).collect()
+    assert [tuple(r) for r in people] == [("pirate", "You are P")]
+    rows = spark.createDataFrame([("lock.lock", "lock.door", "the door", '{"phrase": "Lock it", "bad_device": "lock.dor", "retry_prompt": "Again"}'), ("lock.lock", "lock.b", "b", '{"phrase": "x"}')],
+                                 "service_name string, device_name string, description string, answer string")
+    good, bad = E.failed_call_rows(rows)
+    row = good.collect()[0]
+    assert row["bad_device_name"] == "lock.dor" and "lock.dor" in row["error_result"] and row["correct_device_name"] == "lock.door" and bad.count() == 1
+    asked = E.build_generation_prompts(rows.withColumn("candidates", F.array(F.lit("lock.a"))), "failed", F.lit("german")).collect()[0]["prompt"]
+    assert asked.endswith("lock.a")
+
+
+def test_a_pile_in_another_language(spark):
+    rows = spark.createDataFrame([("light.lamp", "the lamp"), ("sensor.x", "the x")], "device_name string, description string")
+    table = spark.createDataFrame([("lamp", "Große Lampe"), ("the lamp", "die Lampe")], "source string, translated string")
+    assert [tuple(r)[:2] for r in E.translate_pile(rows, "device_names", table).collect()] == [("light.große_lampe", "die Lampe")]
+
+
+def test_several_results_in_one_message(spark):
+    rows = spark.createDataFrame([(1, 0, "user", "Hi", None), (1, 1, "tool_result", None, [("a", '{"x":1}'), ("b", '{"y":2}')])],
+                                 "conv_id int, pos int, role string, text string, tool_results array<struct<tool_name:string,tool_result:string>>")
+    rows = rows.withColumns({"tool_calls": F.lit(None).cast("array<struct<id:string,name:string,args:string>>"), "tool_name": F.lit(None).cast("string"), "tool_result": F.lit(None).cast("string")})
+    text = lambda style: R.render_chat(rows, style).collect()[0]["text"]
+    assert '<tool_result>{"x":1}</tool_result>\n<tool_result>{"y":2}</tool_result>' in text("gemma3")
+    assert "response:a{x:1}<end_function_response><start_function_response>response:b{y:2}<end_function_response>" in text("functiongemma")
