@@ -1,4 +1,6 @@
 """Small helpers of the document operators."""
+import ctypes
+import gc
 import zlib
 
 import numpy as np
@@ -54,5 +56,22 @@ def mix(x: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def tidy() -> None:
+    """Give memory back to the system at a task's end: idle Python workers of one executor share its memory with busy ones."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def small_batches(spark: SparkSession, rows=2000) -> None:
+    """Let Arrow hand documents to Python in smaller batches; long texts make the default of 10,000 rows large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def crc(data: bytes) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF

@@ -165,4 +165,4 @@ def with_verdict(docs: DataFrame) -> DataFrame:
 
 def op10(docs: DataFrame) -> DataFrame:
     found = with_verdict(docs.select("doc_id", "text", "lang"))
-    return found.select("doc_id", "quality_rules.*")
+    return found.select("doc_id", *[F.col(f"quality_rules.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])

@@ -2,7 +2,7 @@
 import public_tokenizers
 
 from dialoom.llm import bpe, fingerprints, language_id, line_dedup, packing, quality_classifier, quality_rules, simhash, suffix_dedup, toxicity
-from dialoom.llm.common import documents, labels
+from dialoom.llm.common import documents, labels, small_batches
 
 
 def op1_toxicity(spark, sf_dir):
@@ -26,10 +26,12 @@ def op5_quality_classifier(spark, sf_dir):
 
 
 def op6_suffix_dedup(spark, sf_dir):
+    small_batches(spark)
     return suffix_dedup.op6(documents(spark, sf_dir))
 
 
 def op7_byte_bpe(spark, sf_dir):
+    small_batches(spark)
     return bpe.op7(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
@@ -58,4 +60,43 @@ common AS (SELECT lower_key FROM lines WHERE length(lower_key) >= 1 GROUP BY 1 H
 SELECT l.doc_id, count(*) AS n_lines, count(c.lower_key) AS n_dropped,
        sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (WHERE c.lower_key IS NULL), '')) AS kept_sha256
 FROM lines l LEFT JOIN common c ON l.lower_key = c.lower_key GROUP BY l.doc_id""",
+    "op10_quality_rules": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, text AS given, coalesce(text, '') AS text FROM documents),
+base AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+    regexp_extract_all(translate(text, '.,;:!?''"()-ABCDEFGHIJKLMNOPQRSTUVWXYZ', '           abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS plain,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+starts AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, w) AS times
+    FROM (SELECT r, i, array_to_string(words[i:i + 7], ' ') AS w FROM (SELECT r, words, unnest(range(1, len(words) - 6)) AS i FROM base WHERE len(words) > 8))) WHERE times > 1),
+repeated AS (SELECT r, count(DISTINCT i + k) AS n FROM starts, range(8) AS g(k) GROUP BY r),
+rules AS (
+  SELECT base.*, len(words) AS n_words, list_sum(list_transform(words, lambda w: length(w))) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words FROM base LEFT JOIN repeated USING (r)),
+counted AS (
+  SELECT r, lang, strlen(text) AS size, given IS NOT NULL AS there, length(text) - length(regexp_replace(text, '[a-z]', '', 'g')) AS c0, length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS c1,
+    length(text) - length(regexp_replace(text, '[0-9]', '', 'g')) AS c2, length(text) - length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS c3,
+    length(text) - length(regexp_replace(text, '[.,;:!?''"()\-]', '', 'g')) AS c4, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS c5,
+    length(regexp_replace(text, '[^\x00-\x7F]', '', 'g')) AS ascii FROM d),
+classes AS (SELECT r, lang, size, k, v FROM (SELECT r, lang, size, there, unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS k,
+    unnest([c0, c1, c2, c3, c4, c5, ascii - c0 - c1 - c2 - c3 - c4 - c5, size - ascii]) AS v FROM counted) WHERE there),
+class_ref AS (SELECT lang, k, sum(v) / greatest(1, sum(sum(v)) OVER (PARTITION BY lang)) AS q FROM classes WHERE lang IS NOT NULL GROUP BY lang, k),
+langs AS (SELECT DISTINCT lang FROM class_ref),
+js AS (SELECT r, f.lang, sqrt(least(1, greatest(0, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2))) AS far
+  FROM (SELECT r, k, v / size AS p FROM classes WHERE size >= 300) c JOIN class_ref f USING (k) GROUP BY r, f.lang),
+tokens AS (SELECT r, lang, unnest(plain) AS w FROM base WHERE given IS NOT NULL),
+word_ref AS (SELECT lang, w, n / total AS q FROM (SELECT lang, w, count(*) AS n, sum(count(*)) OVER (PARTITION BY lang) AS total, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, w) AS place
+  FROM tokens WHERE lang IS NOT NULL GROUP BY lang, w) WHERE place <= 100),
+judged AS (SELECT r, len(plain) AS n FROM rules WHERE n_words >= 80 AND len(plain) >= 80),
+met AS (SELECT r, f.lang, f.q, t.c / n AS p FROM (SELECT r, w, count(*) AS c FROM tokens GROUP BY r, w) t JOIN judged USING (r) JOIN word_ref f USING (w)),
+known AS (SELECT lang, sum(q) AS q FROM word_ref GROUP BY lang),
+sums AS (SELECT j.r, k.lang, coalesce(sum(m.p), 0) AS p, coalesce(sum(m.q), 0) AS q_met, any_value(k.q) AS q_all,
+    coalesce(sum(m.p * log2(m.p / ((m.p + m.q) / 2)) + m.q * log2(m.q / ((m.p + m.q) / 2))), 0) AS s FROM judged j CROSS JOIN known k LEFT JOIN met m ON m.r = j.r AND m.lang = k.lang GROUP BY j.r, k.lang),
+jw AS (SELECT r, lang, sqrt(least(1, greatest(0, (s + (q_all - q_met) + CASE WHEN po > 0 THEN po * log2(po / ((po + qo) / 2)) ELSE 0 END + CASE WHEN qo > 0 THEN qo * log2(qo / ((po + qo) / 2)) ELSE 0 END) / 2))) AS far
+  FROM (SELECT *, 1 - p AS po, greatest(0, 1 - q_all) AS qo FROM sums)),
+best AS (SELECT rules.r, arg_min(coalesce(js.far, 0), coalesce(js.far, 0) + coalesce(jw.far, 0)) AS by_char, arg_min(coalesce(jw.far, 0), coalesce(js.far, 0) + coalesce(jw.far, 0)) AS by_word
+  FROM rules CROSS JOIN langs l LEFT JOIN js ON js.r = rules.r AND js.lang = l.lang LEFT JOIN jw ON jw.r = rules.r AND jw.lang = l.lang GROUP BY rules.r)
+SELECT doc_id, n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND coalesce(by_char, 0) <= 0.30 AND coalesce(by_word, 0) <= 0.50 AS kept
+FROM rules LEFT JOIN best USING (r)""",
 }
