@@ -24,7 +24,9 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CACHE, CACHED_BYTES, PAIRS, RUN = 120_000, 48, 400_000, 100_000
+from dialoom.llm.common import tidy
+
+CACHE, CACHED_BYTES, PAIRS, RUN = 120_000, 48, 300_000, 100_000
 
 
 def pack_ids(ids: list) -> bytes:
@@ -208,6 +210,9 @@ def encode(spark, vocabulary: Vocabulary, pattern: str, text: Column) -> Column:
         encoder = Encoder(*shared.value)
         for batch in batches:
             yield pa.array([encoder.encode(t.as_py() or "") for t in batch], pa.binary())
+        encoder.clear()
+        encoder.older.clear()
+        tidy()
 
     return run(text)
 
@@ -221,6 +226,7 @@ def decode(spark, vocabulary: Vocabulary, ids: Column) -> Column:
         token = shared.value.tokens.__getitem__
         for batch in batches:
             yield pa.array([b"".join(map(token, np.frombuffer(x.as_py() or b"", "<u4").tolist())) for x in batch], pa.binary())
+        tidy()
 
     return run(ids)
 
