@@ -22,34 +22,38 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import byte_texts, fresh, stage, text_key
+from dialoom.llm.common import byte_texts, fresh, mix, stage, text_key, tidy
 from dialoom.llm.components import components
 
 AT_ONCE = 100_000  # shingles whose bits are counted together
 
 
-def simhash(text: bytes | None, words_per_shingle: int) -> int:
+def simhash(text: bytes | None, words_per_shingle: int, size=1) -> list:
+    """`size` fingerprints of 64 bits: the first of the hashes themselves, each further one of the hashes mixed anew."""
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return [0] * size
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.append(0, ends[:-1] + 1)
     k = min(words_per_shingle, len(words))
     a, b = starts[:len(words) - k + 1].tolist(), ends[k - 1:].tolist()
-    ones, h = np.zeros(64, np.int64), xxhash.xxh64_intdigest
+    ones, h = np.zeros((size, 64), np.int64), xxhash.xxh64_intdigest
     for i in range(0, len(a), AT_ONCE):
         values = np.array([h(joined[s:e], 42) for s, e in zip(a[i:i + AT_ONCE], b[i:i + AT_ONCE])], dtype="<u8")
-        ones += np.unpackbits(values.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(a), bitorder="little").view("<i8")[0])
+        for j in range(size):
+            bits = values if j == 0 else mix(values, j)
+            ones[j] += np.unpackbits(bits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(a), axis=1, bitorder="little").view("<i8").ravel().tolist()
 
 
-def fingerprint(text: Column, words_per_shingle: int) -> Column:
-    """The 64 fingerprint bits as bigint."""
-    @F.arrow_udf("bigint")
+def fingerprint(text: Column, words_per_shingle: int, size=1) -> Column:
+    """The fingerprint bits as `size` bigints."""
+    @F.arrow_udf("array<bigint>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([simhash(t, words_per_shingle) for t in byte_texts(batch)], pa.int64())
+            yield pa.array([simhash(t, words_per_shingle, size) for t in byte_texts(batch)], pa.list_(pa.int64()))
+        tidy()
 
     return run(text)
 
@@ -77,6 +81,16 @@ def _stars(adjacent: np.ndarray) -> list:
     return out
 
 
+def _in_blocks(members: DataFrame, block: int, held_together) -> DataFrame:
+    """a, b from held_together() on every pair of blocks of every bucket (s, key); a task holds two blocks."""
+    blocks = members.groupBy("s", "key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    paired = members.join(blocks, ["s", "key"]).select(*members.columns, own.alias("own"), other.alias("other"))
+    paired = paired.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    return paired.groupBy("s", "key", "i", "j").applyInPandas(held_together, "a bigint, b bigint")
+
+
 def links(prints: DataFrame, distance=4, segments: int | None = None, bucket=64, block=1024) -> DataFrame:
     """a, b: links that connect all fingerprints (column fp, distinct) at most `distance` bits apart.
 
@@ -102,11 +116,6 @@ def links(prints: DataFrame, distance=4, segments: int | None = None, bucket=64,
             .select(F.col("p.fp").alias("a"), F.col("t.fp").alias("b")))
 
     members = stage(probes.join(sizes.select("s", "key"), ["s", "key"]))
-    blocks = members.groupBy("s", "key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    paired = (members.join(blocks, ["s", "key"]).select("s", "key", "fp", "home", own.alias("own"), other.alias("other"))
-              .withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}))
 
     def held_together(group: pd.DataFrame) -> pd.DataFrame:
         fp, home = group["fp"].to_numpy().view(np.uint64), group["home"].to_numpy()
@@ -115,35 +124,73 @@ def links(prints: DataFrame, distance=4, segments: int | None = None, bucket=64,
         pairs = np.array(_stars(adjacent), dtype=np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": fp[pairs[:, 0]].view(np.int64), "b": fp[pairs[:, 1]].view(np.int64)})
 
-    dense = paired.groupBy("s", "key", "i", "j").applyInPandas(held_together, "a bigint, b bigint")
-    return near.union(dense)
+    return near.union(_in_blocks(members, block, held_together))
+
+
+def loose_links(prints: DataFrame, distance=48, first=20, width=20, bucket=64, block=512) -> DataFrame:
+    """a, b: links between wide fingerprints (fp, the first word, distinct; words, all of them) at most `distance` bits apart.
+
+    At such distances no ball can be small and complete, so this finds pairs by chance: each word gives 64 // width
+    segments, and a pair is found if any segment differs by one bit at most (and the first words by `first` at most). Copies
+    whose five-word shingles are alike by 0.8 differ in about 15 % of the bits: with four words and 20 bits nine in ten are found.
+    Of two values one bit apart one has an even number of bits, so only even values look around.
+    """
+    per, low = 64 // width, (1 << width) - 1
+    masks = [F.struct(F.lit(w * per + i).alias("s"), F.lit(w).alias("w"), F.lit(i * width).alias("shift"), F.lit(m).cast("bigint").alias("mask"))
+             for w in range(4) for i in range(per) for m in _ball(width, 1)]
+    every = prints.select("fp", "words", F.explode(F.array(*masks)).alias("x")).withColumn("value", F.expr(f"shiftrightunsigned(words[x.w], x.shift) & {low}L"))
+    probes = every.where("x.mask = 0 or bit_count(value) % 2 = 0").select("x.s", F.expr("value ^ x.mask").alias("key"), (F.col("x.mask") == 0).alias("home"), "fp")
+    table = probes.where("home").select("s", "key", "fp")
+    sizes = stage(table.groupBy("s", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket))
+
+    met = probes.alias("p").join(table.join(sizes, ["s", "key"], "left_anti").alias("t"), (F.col("p.s") == F.col("t.s")) & (F.col("p.key") == F.col("t.key"))
+                                 & (F.col("p.fp") != F.col("t.fp")) & (F.bit_count(F.col("p.fp").bitwiseXOR(F.col("t.fp"))) <= first))
+    pairs = met.select(F.least("p.fp", "t.fp").alias("a"), F.greatest("p.fp", "t.fp").alias("b")).distinct()
+    full = pairs.join(prints.select(F.col("fp").alias("a"), F.col("words").alias("wa")), "a").join(prints.select(F.col("fp").alias("b"), F.col("words").alias("wb")), "b")
+    near = full.where(F.expr(f"aggregate(zip_with(wa, wb, (x, y) -> bit_count(x ^ y)), 0, (n, x) -> n + x) <= {distance}")).select("a", "b")
+
+    members = probes.join(sizes.select("s", "key"), ["s", "key"]).join(prints, "fp")
+
+    def held_together(group: pd.DataFrame) -> pd.DataFrame:
+        words, home = np.array(group["words"].tolist(), dtype=np.int64).view(np.uint64), group["home"].to_numpy()
+        apart = [np.bitwise_count(words[:, i][:, None] ^ words[:, i][None, :]) for i in range(words.shape[1])]
+        adjacent = (sum(x.astype(np.int16) for x in apart) <= distance) & (apart[0] <= first) & (home[:, None] | home[None, :])
+        stars = np.array(_stars(adjacent), dtype=np.int64).reshape(-1, 2)
+        fp = words[:, 0].view(np.int64)
+        return pd.DataFrame({"a": fp[stars[:, 0]], "b": fp[stars[:, 1]]})
+
+    return near.union(_in_blocks(stage(members.select("s", "key", "home", "fp", "words")), block, held_together))
 
 
-def groups(prints: DataFrame, distance=4, fp="fp", doc_id="doc_id") -> DataFrame:
-    """fp, component_id for each distinct fingerprint of `prints` (a staged table): the smallest doc_id reachable."""
+def groups(prints: DataFrame, linked: DataFrame, fp="fp", doc_id="doc_id") -> DataFrame:
+    """fp, component_id for each distinct fingerprint of `prints` (a staged table): the smallest doc_id reachable over `linked`."""
     distinct = prints.groupBy(F.col(fp).alias("fp")).agg(F.min(doc_id).alias("first"))
-    roots = components(links(distinct.select("fp"), distance), "a", "b")
+    roots = components(linked, "a", "b")
     placed = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     return placed.join(least, "root").select("fp", "component_id", "root")
 
 
-def drop_near_duplicates(docs: DataFrame, words_per_shingle=5, distance=5) -> DataFrame:
-    """One document of each group: the one with the smallest doc_id (of equal doc_ids the one with the smallest text key)."""
-    row, fp = fresh(docs, "near_row"), fresh(docs, "near_fp")
+def drop_near_duplicates(docs: DataFrame, words_per_shingle=5, distance=48) -> DataFrame:
+    """One document of each group: the one with the smallest doc_id (of equal doc_ids the one with the smallest text key).
+
+    Fingerprints have 256 bits here, of which `distance` may differ: shingles alike by about 0.8 or more.
+    """
+    row, times = fresh(docs, "near_row"), fresh(docs, "near_times")
     keyed = docs.withColumn(row, text_key("doc_id", "text"))
-    prints = stage(keyed.select("doc_id", F.col(row).alias("row"), fingerprint(F.col("text"), words_per_shingle).alias("fp")))
-    kept = (prints.join(groups(prints, distance).select("fp", "root"), "fp").groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("first"))
-            .select(F.col("first.row").alias("row")))
-    times = prints.groupBy("row").agg(F.count(F.lit(1)).alias("times"))
-    kept = stage(kept.join(times, "row").select(F.col("row").alias(row), F.col("times").alias(fp)))
+    prints = stage(keyed.select("doc_id", F.col(row).alias("row"), fingerprint(F.col("text"), words_per_shingle, 4).alias("words")).withColumn("fp", F.col("words")[0]))
+    distinct = stage(prints.groupBy("fp").agg(F.min("words").alias("words")))
+    kept = (prints.select("doc_id", "row", "fp").join(groups(prints, loose_links(distinct, distance)).select("fp", "root"), "fp").groupBy("root")
+            .agg(F.min(F.struct("doc_id", "row")).alias("first")).select(F.col("first.row").alias("row")))
+    counted = prints.groupBy("row").agg(F.count(F.lit(1)).alias("times"))
+    kept = stage(kept.join(counted, "row").select(F.col("row").alias(row), F.col("times").alias(times)))
     stay = keyed.join(kept, row)
-    single = stay.where(F.col(fp) == 1)
-    repeated = stay.where(F.col(fp) > 1).dropDuplicates([row])  # equal rows of the table itself
+    single = stay.where(F.col(times) == 1)
+    repeated = stay.where(F.col(times) > 1).dropDuplicates([row])  # equal rows of the table itself
     return single.union(repeated).select(*docs.columns)
 
 
 def op4(docs: DataFrame) -> DataFrame:
-    prints = stage(docs.select("doc_id", fingerprint(F.col("text"), 4).alias("fp")))
-    found = groups(prints, distance=4)
+    prints = stage(docs.select("doc_id", fingerprint(F.col("text"), 4)[0].alias("fp")))
+    found = groups(prints, links(prints.select("fp").distinct(), distance=4))
     return prints.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
