@@ -20,9 +20,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import fresh, id_remainder, mix
+from dialoom.llm.common import fresh, id_remainder, mix, tidy
 
-LIMIT = 1 << 20  # characters handled at once inside a task
+LIMIT = 1 << 18  # characters handled at once inside a task
 
 
 @functools.cache
@@ -75,6 +75,7 @@ def trigram_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
                 keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
                 n = np.bincount(at, np.concatenate([n for _, n in parts])).astype(np.int64)
                 yield pa.record_batch([pa.array([l] * len(keys), pa.string()), pa.array(keys.astype(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
+        tidy()
 
     seen = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     return seen.mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -150,6 +151,7 @@ def predict(spark, model: Model, text: Column) -> Column:
             names = [m.langs[i] if k else "und" for i, k in zip(np.minimum(order[:, 0], max(0, len(m.langs) - 1)), known)]
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(np.where(known, top, 0.0))],
                                              names=["lang_pred", "score", "coverage"])
+        tidy()
 
     return run(text)
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import byte_texts, fresh, stage, text_key, with_text
+from dialoom.llm.common import byte_texts, fresh, stage, text_key, tidy, with_text
 
 SPACE = b" \t\n\v\f\r"
 SLOTS = 4  # per bucket
@@ -153,6 +153,7 @@ class LineStore:
                     for digest in line_digests(text, min_chars).values():
                         counts[digest] = counts.get(digest, 0) + 1
                 yield pa.record_batch([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], names=["key", "n"])
+            tidy()
 
         change = docs.select("text").mapInArrow(keys, "key binary, n bigint").select(
             F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"), "key", (F.col("n") * sign).alias("n"), F.lit(0).cast("bigint").alias("before"))
@@ -189,6 +190,7 @@ class LineStore:
                     hits = iter(hit)
                     found = [[d for d in ds if next(hits)] for ds in found]
                 yield pa.array(found, pa.list_(pa.binary()))
+            tidy()
 
         return run(text)
 
@@ -204,7 +206,12 @@ class LineStore:
 def without_lines(text: Column, drop: Column) -> Column:
     """struct(text, n_lines, n_dropped): the text without the lines whose digest is in `drop`, and the line counts."""
     @F.arrow_udf("struct<text: string, n_lines: bigint, n_dropped: bigint>")
-    def run(texts: pa.Array, drop: pa.Array) -> pa.Array:
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, drop in batches:
+            yield cleaned(texts, drop)
+        tidy()
+
+    def cleaned(texts: pa.Array, drop: pa.Array) -> pa.Array:
         out, n_lines, n_dropped = [], [], []
         for text, gone in zip(byte_texts(texts), drop.to_pylist()):
             lines = (text or b"").split(b"\n")

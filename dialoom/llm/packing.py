@@ -20,7 +20,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import crc, stage
+from dialoom.llm.common import crc, stage, tidy
 
 PIECE = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
@@ -147,6 +147,7 @@ def pieces(docs: DataFrame, path: str, pattern: str, window: int, end_id: int, w
                 out.append([{"start": s, "length": len(p), "ids_crc32": crc(p.tobytes()), "doc_tokens": len(ids)} | ({"ids": p.astype(np.int32)} if with_ids else {}) for s, p in parts])
             kind = [pa.field(n, pa.int64()) for n in ("start", "length", "ids_crc32", "doc_tokens")] + ([pa.field("ids", pa.list_(pa.int32()))] if with_ids else [])
             yield pa.array(out, pa.list_(pa.struct(kind)))
+        tidy()
 
     return docs.withColumn("piece", F.explode(cut(F.col("text"))))
 

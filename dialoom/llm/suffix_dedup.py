@@ -30,9 +30,9 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import byte_texts, fresh, mix, stage, with_text
+from dialoom.llm.common import byte_texts, fresh, mix, stage, tidy, with_text
 
-CHUNK = 1 << 20  # bytes whose windows are looked at together; positions inside fit 20 bits
+CHUNK = 1 << 18  # bytes whose windows are looked at together; positions inside fit 18 bits
 ITEM = "h bigint, c bigint, d bigint, t int, w bigint, more array<struct<d: bigint, t: int, w: bigint>>"
 NAMES = ["h", "c", "d", "t", "w"]
 
@@ -157,6 +157,7 @@ def _resolve(batches):
         first, known = tuple(np.array([x[last]], dtype=x.dtype) for x in (h, c, d, t, w)), known_now
         yield from out
         out.clear()
+    tidy()
 
 
 def _rank(x: np.ndarray) -> np.ndarray:
@@ -214,15 +215,28 @@ def _factors(length: int, at_once: int):
                 last = h
         if held:
             yield settle()
+        tidy()
     return run
 
 
+def _portions(batches, column: int, size=4 << 20):
+    """Slices of the batches with about `size` bytes of text at most (or one row)."""
+    for batch in batches:
+        ends = np.cumsum([x.as_buffer().size if x.is_valid else 0 for x in batch.column(column).cast(pa.binary())])
+        begin = 0
+        while begin < batch.num_rows:
+            until = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + size, side="right")))
+            yield batch.slice(begin, until - begin)
+            begin = until
+
+
 def _zipped(text: Column) -> Column:
     @F.arrow_udf("binary")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         z = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             yield pa.array([z.compress(x or b"") for x in byte_texts(batch)], pa.binary())
+        tidy()
 
     return run(text)
 
@@ -233,15 +247,16 @@ def _keyed(docs: DataFrame) -> list:
             F.shiftright(F.xxhash64(F.coalesce("text", F.lit(""))), 32).cast("int").alias("t")]
 
 
-def repeated_runs(docs: DataFrame, length: int, k: int, at_once=1 << 20, spread=8192) -> DataFrame:
+def repeated_runs(docs: DataFrame, length: int, k: int, at_once=1 << 19, spread=8192) -> DataFrame:
     """d, t, w: runs of windows (see pack_run) that repeat earlier ones. Anchors with over `spread` surroundings are dealt window by window."""
     keyed = docs.select(*_keyed(docs), "text")
 
     def items(batches):
-        for batch in batches:
+        for batch in _portions(batches, 2):
             d, t = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
             h, c, doc, w = anchors(byte_texts(batch.column(2)), length, k)
             yield _collapsed(h, c, d[doc], t[doc], w)
+        tidy()
 
     def settled(found):
         dealt = found.repartition("h").sortWithinPartitions("h", "c", "d", "t", "w")
@@ -261,6 +276,7 @@ def repeated_runs(docs: DataFrame, length: int, k: int, at_once=1 << 20, spread=
                 text = z.decompress(text)
                 rows = [(x["h"], d, t, x["w"], text[x["w"] >> 16:(x["w"] >> 16) + (x["w"] >> 8 & 255) - 1 + length], x["hot"]) for x in own]
                 yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.bool_()))], names=["h", "d", "t", "w", "text", "hot"])
+        tidy()
 
     fetched = stage(texts.mapInArrow(contexts, "h bigint, d bigint, t int, w bigint, text binary, hot boolean"))
     dealt = fetched.where("not hot").select("h", "d", "t", "w", "text").repartition("h").sortWithinPartitions("h", "d", "t", "w")
@@ -290,34 +306,38 @@ def removed(text: bytes, runs: list, length: int) -> tuple:
     return np.frombuffer(text, np.uint8)[~gone].tobytes(), int(gone.sum()), int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
 
 
-def dedup(docs: DataFrame, length=100, k=32, **more) -> DataFrame:
-    """All columns of `docs` but text, plus suffix_dedup: kept (binary), n_bytes, n_removed, n_spans."""
+def dedup(docs: DataFrame, length=100, k=32, as_text=False, **more) -> DataFrame:
+    """All columns of `docs` but text, plus suffix_dedup: kept (binary), n_bytes, n_removed, n_spans.
+
+    With `as_text` kept is a string; where a cut splits a character, its remaining bytes go too.
+    """
     d, t, z, w, out = (fresh(docs, f"suffix_{x}") for x in ("d", "t", "z", "w", "dedup"))
     runs = repeated_runs(docs, length, k, **more).groupBy("d", "t").agg(F.collect_list("w").alias("runs")).select(F.col("d").alias(d), F.col("t").alias(t), F.col("runs").alias(w))
     key_d, key_t = _keyed(docs)
     packed = docs.select(*[c for c in docs.columns if c != "text"], key_d.alias(d), key_t.alias(t), _zipped(F.col("text")).alias(z))
 
-    @F.arrow_udf("struct<kept: binary, n_bytes: bigint, n_removed: bigint, n_spans: bigint>")
-    def apply(texts: pa.Array, found: pa.Array) -> pa.Array:
+    kind = pa.string() if as_text else pa.binary()
+
+    @F.arrow_udf(f"struct<kept: {'string' if as_text else 'binary'}, n_bytes: bigint, n_removed: bigint, n_spans: bigint>")
+    def apply(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         unzip = zstandard.ZstdDecompressor()
-        rows = []
-        for text, own in zip(texts, found):
-            text, own = unzip.decompress(text.as_py()), own.as_py()
-            rows.append((text, len(text), 0, 0) if not own else (lambda x: (x[0], len(text), x[1], x[2]))(removed(text, own, length)))
-        cols = list(zip(*rows)) if rows else [[]] * 4
-        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.binary(), pa.int64(), pa.int64(), pa.int64()))], names=["kept", "n_bytes", "n_removed", "n_spans"])
+        for texts, found in batches:
+            rows = []
+            for text, own in zip(texts, found):
+                text, own = unzip.decompress(text.as_py()), own.as_py()
+                kept, gone, spans = removed(text, own, length) if own else (text, 0, 0)
+                rows.append((kept.decode("utf-8", "ignore") if as_text else kept, len(text), gone, spans))
+            cols = list(zip(*rows)) if rows else [[]] * 4
+            yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cols, (kind, pa.int64(), pa.int64(), pa.int64()))], names=["kept", "n_bytes", "n_removed", "n_spans"])
+        tidy()
 
     return packed.join(runs, [d, t], "left").withColumn(out, apply(F.col(z), F.col(w))).drop(d, t, z, w)
 
 
 def drop_repeated_passages(docs: DataFrame, length=100) -> DataFrame:
-    """`docs` with later copies of repeated strings taken out. Where a cut splits a character, its remaining bytes go too."""
-    @F.arrow_udf("string")
-    def whole_characters(batch: pa.Array) -> pa.Array:
-        return pa.array([(x or b"").decode("utf-8", "ignore") for x in batch.to_pylist()], pa.string())
-
-    done = dedup(docs, length)
-    return with_text(done, whole_characters(F.col(done.columns[-1])["kept"])).select(*docs.columns)
+    """`docs` with later copies of repeated strings taken out."""
+    done = dedup(docs, length, as_text=True)
+    return with_text(done, F.col(done.columns[-1])["kept"]).select(*docs.columns)
 
 
 def op6(docs: DataFrame) -> DataFrame:
