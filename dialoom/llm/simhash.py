@@ -127,7 +127,7 @@ def links(prints: DataFrame, distance=4, segments: int | None = None, bucket=64,
     return near.union(_in_blocks(members, block, held_together))
 
 
-def loose_links(prints: DataFrame, distance=48, first=20, width=20, bucket=8, block=512) -> DataFrame:
+def loose_links(prints: DataFrame, distance=48, first=20, width=20, bucket=5, block=512) -> DataFrame:
     """a, b: links between wide fingerprints (fp, the first word, distinct; words, all of them) at most `distance` bits apart.
 
     At such distances no ball can be small and complete, so this finds pairs by chance: each word gives 64 // width
