@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dialoom.llm import minhash
 from dialoom.llm.common import byte_texts, fresh, mix, stage, text_key, tidy
 from dialoom.llm.components import components
 
@@ -171,16 +172,22 @@ def groups(prints: DataFrame, linked: DataFrame, fp="fp", doc_id="doc_id") -> Da
     return placed.join(least, "root").select("fp", "component_id", "root")
 
 
-def drop_near_duplicates(docs: DataFrame, words_per_shingle=5, distance=48) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, words_per_shingle=5) -> DataFrame:
     """One document of each group: the one with the smallest doc_id (of equal doc_ids the one with the smallest text key).
 
-    Fingerprints have 256 bits here, of which `distance` may differ: shingles alike by about 0.8 or more.
+    Documents are linked if their sets of different shingles have a Jaccard similarity of 0.8 or more.
     """
     row, times = fresh(docs, "near_row"), fresh(docs, "near_times")
     keyed = docs.withColumn(row, text_key("doc_id", "text"))
-    prints = stage(keyed.select("doc_id", F.col(row).alias("row"), fingerprint(F.col("text"), words_per_shingle, 4).alias("words")).withColumn("fp", F.col("words")[0]))
-    distinct = stage(prints.groupBy("fp").agg(F.min("words").alias("words")))
-    kept = (prints.select("doc_id", "row", "fp").join(groups(prints, loose_links(distinct, distance)).select("fp", "root"), "fp").groupBy("root")
+    sketched = keyed.select("doc_id", F.col(row).alias("row"), minhash.sketched(F.col("text"), words_per_shingle).alias("x"))
+    prints = stage(sketched.select("doc_id", "row", F.col("x.node").alias("node"), F.col("x.keys").alias("keys")))
+
+    def texts(nodes: DataFrame) -> DataFrame:
+        one = prints.select("node", "row").join(nodes, "node").groupBy("node").agg(F.min("row").alias("row"))
+        return one.join(keyed.select(F.col(row).alias("row"), "text"), "row").dropDuplicates(["node"]).select("node", "text")
+
+    linked = stage(minhash.links(prints.select("node", "keys").dropDuplicates(["node"]), texts, words_per_shingle))
+    kept = (prints.select("doc_id", "row", F.col("node").alias("fp")).join(groups(prints, linked, "node").select("fp", "root"), "fp").groupBy("root")
             .agg(F.min(F.struct("doc_id", "row")).alias("first")).select(F.col("first.row").alias("row")))
     counted = prints.groupBy("row").agg(F.count(F.lit(1)).alias("times"))
     kept = stage(kept.join(counted, "row").select(F.col("row").alias(row), F.col("times").alias(times)))
