@@ -128,41 +128,6 @@ def links(prints: DataFrame, distance=4, segments: int | None = None, bucket=64,
     return near.union(_in_blocks(members, block, held_together))
 
 
-def loose_links(prints: DataFrame, distance=48, first=20, width=20, bucket=5, block=512) -> DataFrame:
-    """a, b: links between wide fingerprints (fp, the first word, distinct; words, all of them) at most `distance` bits apart.
-
-    At such distances no ball can be small and complete, so this finds pairs by chance: each word gives 64 // width
-    segments, and a pair is found if any segment differs by one bit at most (and the first words by `first` at most). Copies
-    whose five-word shingles are alike by 0.8 differ in about 15 % of the bits: with four words and 20 bits nine in ten are found.
-    Of two values one bit apart one has an even number of bits, so only even values look around.
-    """
-    per, low = 64 // width, (1 << width) - 1
-    masks = [F.struct(F.lit(w * per + i).alias("s"), F.lit(w).alias("w"), F.lit(i * width).alias("shift"), F.lit(m).cast("bigint").alias("mask"))
-             for w in range(4) for i in range(per) for m in _ball(width, 1)]
-    every = prints.select("fp", "words", F.explode(F.array(*masks)).alias("x")).withColumn("value", F.expr(f"shiftrightunsigned(words[x.w], x.shift) & {low}L"))
-    probes = every.where("x.mask = 0 or bit_count(value) % 2 = 0").select("x.s", F.expr("value ^ x.mask").alias("key"), (F.col("x.mask") == 0).alias("home"), "fp")
-    table = probes.where("home").select("s", "key", "fp")
-    sizes = stage(table.groupBy("s", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket))
-
-    met = probes.alias("p").join(table.join(sizes, ["s", "key"], "left_anti").alias("t"), (F.col("p.s") == F.col("t.s")) & (F.col("p.key") == F.col("t.key"))
-                                 & (F.col("p.fp") != F.col("t.fp")) & (F.bit_count(F.col("p.fp").bitwiseXOR(F.col("t.fp"))) <= first))
-    pairs = met.select(F.least("p.fp", "t.fp").alias("a"), F.greatest("p.fp", "t.fp").alias("b")).distinct()
-    full = pairs.join(prints.select(F.col("fp").alias("a"), F.col("words").alias("wa")), "a").join(prints.select(F.col("fp").alias("b"), F.col("words").alias("wb")), "b")
-    near = full.where(F.expr(f"aggregate(zip_with(wa, wb, (x, y) -> bit_count(x ^ y)), 0, (n, x) -> n + x) <= {distance}")).select("a", "b")
-
-    members = probes.join(sizes.select("s", "key"), ["s", "key"]).join(prints, "fp")
-
-    def held_together(group: pd.DataFrame) -> pd.DataFrame:
-        words, home = np.array(group["words"].tolist(), dtype=np.int64).view(np.uint64), group["home"].to_numpy()
-        apart = [np.bitwise_count(words[:, i][:, None] ^ words[:, i][None, :]) for i in range(words.shape[1])]
-        adjacent = (sum(x.astype(np.int16) for x in apart) <= distance) & (apart[0] <= first) & (home[:, None] | home[None, :])
-        stars = np.array(_stars(adjacent), dtype=np.int64).reshape(-1, 2)
-        fp = words[:, 0].view(np.int64)
-        return pd.DataFrame({"a": fp[stars[:, 0]], "b": fp[stars[:, 1]]})
-
-    return near.union(_in_blocks(stage(members.select("s", "key", "home", "fp", "words")), block, held_together))
-
-
 def groups(prints: DataFrame, linked: DataFrame, fp="fp", doc_id="doc_id") -> DataFrame:
     """fp, component_id for each distinct fingerprint of `prints` (a staged table): the smallest doc_id reachable over `linked`."""
     distinct = prints.groupBy(F.col(fp).alias("fp")).agg(F.min(doc_id).alias("first"))

@@ -92,51 +92,25 @@ def near_groups(prints, distance):
     return [find(i) for i in range(len(f))]
 
 
-def loose_groups(prints, distance=48, first=20, width=20):
-    """Groups of wide fingerprints by all pairs, each of which has a segment that differs by one bit at most."""
-    f = np.array(prints, np.int64).view(np.uint64)
-    apart = np.bitwise_count(f[:, None, :] ^ f[None, :, :])
-    low = np.uint64((1 << width) - 1)
-    close = np.zeros(apart.shape[:2], bool)
-    for w in range(4):
-        for s in range(64 // width):
-            v = f[:, w] >> np.uint64(s * width) & low
-            close |= np.bitwise_count(v[:, None] ^ v[None, :]) <= 1
-    linked = close & (apart.sum(axis=2, dtype=int) <= distance) & (apart[:, :, 0] <= first)
-    root = list(range(len(f)))
+def jaccard_groups(texts, k=5):
+    """Groups by all pairs of equal or alike sets of word shingles, similarity 0.8 or more."""
+    sets = []
+    for t in texts:
+        words = [w.lower() for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
+        sets.append({" ".join(words[i:i + k]) for i in range(max(1, len(words) - k + 1))} if words else set())
+    root = list(range(len(sets)))
 
     def find(i):
         while root[i] != i:
             i = root[i]
         return i
 
-    for i, j in zip(*np.nonzero(np.triu(linked, 1))):
-        a, b = find(i), find(j)
-        root[max(a, b)] = min(a, b)
-    return [find(i) for i in range(len(f))]
-
-
-@pytest.mark.parametrize("bucket, block", [(64, 512), (2, 6)])
-def test_near_copies_with_changed_words(spark, table, bucket, block):
-    r = random.Random(9)
-    rows = []
-    for g in range(12):
-        words = [f"w{r.randrange(5000)}" for _ in range(150)]
-        for _ in range(8):
-            copy = list(words)
-            copy[r.randrange(150)] = f"v{r.randrange(10**6)}"  # any two copies are alike by 0.87
-            rows.append((len(rows), " ".join(copy), "en"))
-    prints = [simhash.simhash(t.encode(), 5, 4) for _, t, _ in rows]
-    df = spark.createDataFrame([(p[0], p) for p in {tuple(p): p for p in prints}.values()], "fp bigint, words array<bigint>")
-    got = {x["node"]: x["root"] for x in components.components(simhash.loose_links(df, bucket=bucket, block=block), "a", "b").collect()}
-    want = loose_groups(prints)
-    mine = {}
-    for p, w in zip(prints, want):
-        mine.setdefault(w, set()).add(got.get(p[0], p[0]))
-    assert all(len(x) == 1 for x in mine.values()) and len({min(x) for x in mine.values()}) == len(mine)
-    assert len(mine) <= 16  # nearly all copies are found
-    kept = simhash.drop_near_duplicates(table(rows)).count()
-    assert kept == len(mine)
+    for i in range(len(sets)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) * 9 >= (len(sets[i]) + len(sets[j])) * 4:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(sets))]
 
 
 @pytest.mark.parametrize("bucket, block, segments", [(64, 1024, None), (2, 5, 3), (3, 8, 2), (2, 4, 5)])
@@ -223,7 +197,7 @@ def test_pipeline_equals_brute_force(spark, sf_dir):
     assert lines.text.tolist() == want and key("Ab ") == "ab" and (lines.n_chars == lines.text.str.len()).all()
 
     near = corpus_pipeline.near_dedup(spark, read(lines), sf_dir).toPandas().sort_values("doc_id")
-    groups = loose_groups([simhash.simhash(t.encode(), 5, 4) for t in lines.text])
+    groups = jaccard_groups(lines.text)
     ids = lines.doc_id.tolist()
     assert near.doc_id.tolist() == [ids[i] for i in sorted(set(groups))]
 

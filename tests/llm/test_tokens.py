@@ -91,10 +91,11 @@ def test_plan_is_best_fit_decreasing():
 
 def test_ids_equal_the_tokenizers_library(spark):
     library = Tokenizer.from_file(JSON)
-    library.encode_special_tokens = True
     own = packing._encoding(JSON, P.PATTERN)
-    many = [*texts(1500, 9), "", "a<|endoftext|>b", "\x00"]
-    assert [x.ids for x in library.encode_batch(many, add_special_tokens=False)] == [own.encode_ordinary(t) for t in many]
+    many = [*texts(1500, 9), "", "a<|endoftext|>b", "<|endoftext|>", "x <|endoftext|><|endoftext|>\n<|endoftext", "\x00"]
+    many += [t[:len(t) // 2] + "<|endoftext|>" + t[len(t) // 2:] for t in texts(300, 10)]
+    assert [x.ids for x in library.encode_batch(many, add_special_tokens=False)] == [packing.encoded(own, t) for t in many]
+    assert packing.encoded(own, "a<|endoftext|>b")[1] == 50256
 
 
 def test_packing(spark, odd, none):
