@@ -1,7 +1,7 @@
 """The registered queries of the document operators and their SQL, where SQL can express them."""
 import public_tokenizers
 
-from dialoom.llm import bpe, fingerprints, language_id, line_dedup, packing, quality_classifier, quality_rules, simhash, suffix_dedup, toxicity
+from dialoom.llm import bpe, fill_in_middle, fingerprints, language_id, line_dedup, packing, quality_classifier, quality_rules, simhash, suffix_dedup, toxicity
 from dialoom.llm.common import documents, labels, small_batches
 
 
@@ -47,7 +47,14 @@ def op10_quality_rules(spark, sf_dir):
     return quality_rules.op10(documents(spark, sf_dir))
 
 
-QUERIES = {q.__name__: q for q in (op1_toxicity, op2_fingerprints, op3_packing, op4_simhash, op5_quality_classifier, op6_suffix_dedup, op7_byte_bpe, op8_line_dedup, op9_language_id, op10_quality_rules)}
+def op12_fill_in_middle(spark, sf_dir):
+    """Every document cut into prefix, middle and suffix, with digests of the output and of the text rebuilt from it."""
+    small_batches(spark)
+    return fill_in_middle.op12(documents(spark, sf_dir))
+
+
+QUERIES = {q.__name__: q for q in (op1_toxicity, op2_fingerprints, op3_packing, op4_simhash, op5_quality_classifier, op6_suffix_dedup, op7_byte_bpe, op8_line_dedup, op9_language_id, op10_quality_rules,
+                                   op12_fill_in_middle)}
 ORACLES = {
     # XXH3 digests and the cuckoo filters only decide which lines are looked up; the result is plain counting.
     "op8_line_dedup": r"""
@@ -99,4 +106,15 @@ best AS (SELECT rules.r, arg_min(coalesce(js.far, 0), coalesce(js.far, 0) + coal
 SELECT doc_id, n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND coalesce(by_char, 0) <= 0.30 AND coalesce(by_word, 0) <= 0.50 AS kept
 FROM rules LEFT JOIN best USING (r)""",
+    # Cut by code points; the markers are told apart from the text by the rule that a text with a marker stays plain.
+    "op12_fill_in_middle": r"""
+WITH drawn AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s FROM documents),
+h AS (SELECT *, ('0x' || substr(s, 1, 8))::BIGINT % (n + 1) AS x, ('0x' || substr(s, 9, 8))::BIGINT % (n + 1) AS y,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || substr(s, 17, 8))::BIGINT % 100 >= 90 THEN 'plain'
+       WHEN ('0x' || substr(s, 25, 8))::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+cut AS (SELECT *, least(x, y) AS a, greatest(x, y) AS b FROM h),
+parts AS (SELECT *, substr(t, 1, a) AS prefix, substr(t, a + 1, b - a) AS middle, substr(t, b + 1, n - b) AS suffix FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM parts""",
 }
