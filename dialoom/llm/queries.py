@@ -1,7 +1,7 @@
 """The registered queries of the document operators and their SQL, where SQL can express them."""
 import public_tokenizers
 
-from dialoom.llm import bpe, fill_in_middle, fingerprints, language_id, line_dedup, packing, quality_classifier, quality_rules, simhash, suffix_dedup, toxicity
+from dialoom.llm import bpe, fill_in_middle, fingerprints, language_id, line_dedup, packing, prefix_trie, quality_classifier, quality_rules, simhash, suffix_dedup, toxicity
 from dialoom.llm.common import documents, labels, small_batches
 
 
@@ -47,6 +47,11 @@ def op10_quality_rules(spark, sf_dir):
     return quality_rules.op10(documents(spark, sf_dir))
 
 
+def op11_prefix_trie(spark, sf_dir):
+    """All nodes of the prefix trie of the rebuilt conversations."""
+    return prefix_trie.op11(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op12_fill_in_middle(spark, sf_dir):
     """Every document cut into prefix, middle and suffix, with digests of the output and of the text rebuilt from it."""
     small_batches(spark)
@@ -54,7 +59,7 @@ def op12_fill_in_middle(spark, sf_dir):
 
 
 QUERIES = {q.__name__: q for q in (op1_toxicity, op2_fingerprints, op3_packing, op4_simhash, op5_quality_classifier, op6_suffix_dedup, op7_byte_bpe, op8_line_dedup, op9_language_id, op10_quality_rules,
-                                   op12_fill_in_middle)}
+                                   op11_prefix_trie, op12_fill_in_middle)}
 ORACLES = {
     # XXH3 digests and the cuckoo filters only decide which lines are looked up; the result is plain counting.
     "op8_line_dedup": r"""
@@ -106,6 +111,22 @@ best AS (SELECT rules.r, arg_min(coalesce(js.far, 0), coalesce(js.far, 0) + coal
 SELECT doc_id, n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND coalesce(by_char, 0) <= 0.30 AND coalesce(by_word, 0) <= 0.50 AS kept
 FROM rules LEFT JOIN best USING (r)""",
+    # Rebuilt conversations as lists, crc32 bit by bit; fingerprints are only a shorter name for a list.
+    "op11_prefix_trie": r"""
+WITH ids AS (SELECT conv_id AS c, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)),
+    lambda a, b: list_reduce(list_concat([xor(a, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda v, z: xor(v >> 1, 3988292384::BIGINT * (v & 1)))) AS r
+  FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL)),
+given AS (SELECT conv_id AS c, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS own FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+drawn AS (SELECT g.c, own, xor(r, 4294967295::BIGINT) % 6 AS h FROM given g JOIN ids USING (c)),
+full_seq AS (SELECT d.c, list_concat(coalesce(b.own, [])[1:d.h], d.own[d.h + 1:]) AS seq FROM drawn d LEFT JOIN given b ON b.c = d.c - d.c % 100),
+members AS (SELECT c, k AS d, seq[1:k] AS prefix, len(seq) = k AS is_end FROM (SELECT c, seq, unnest(range(0, len(seq) + 1)) AS k FROM full_seq)),
+nodes AS (SELECT d, prefix, min(c) AS conv_id, count(*) AS n_convs, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE is_end) AS ends FROM members GROUP BY d, prefix),
+kids AS (SELECT d - 1 AS d, prefix[1:d - 1] AS prefix, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+valued AS (SELECT n.*, coalesce(k.n, 0) AS n_children, CASE WHEN n.d > 0 THEN (n_convs - 1) * length(n.prefix[n.d].text) ELSE 0 END AS saved FROM nodes n LEFT JOIN kids k ON k.d = n.d AND k.prefix = n.prefix),
+above AS (SELECT k AS d, prefix[1:k] AS prefix, saved, n_children FROM (SELECT *, unnest(range(0, d + 1)) AS k FROM valued)),
+sums AS (SELECT d, prefix, sum(saved) AS saved_tokens, count(*) FILTER (WHERE n_children = 0) AS n_leaves FROM above GROUP BY d, prefix)
+SELECT v.conv_id, v.d AS depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children, s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(v.ends, '')) AS ends_sha256
+FROM valued v JOIN sums s ON s.d = v.d AND s.prefix = v.prefix LEFT JOIN nodes p ON p.d = v.d - 1 AND p.prefix = v.prefix[1:v.d - 1]""",
     # Cut by code points; the markers are told apart from the text by the rule that a text with a marker stays plain.
     "op12_fill_in_middle": r"""
 WITH drawn AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s FROM documents),
