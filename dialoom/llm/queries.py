@@ -1,7 +1,7 @@
 """The registered queries of the document operators and their SQL, where SQL can express them."""
 import public_tokenizers
 
-from dialoom.llm import bpe, fill_in_middle, fingerprints, language_id, line_dedup, packing, prefix_trie, quality_classifier, quality_rules, simhash, suffix_dedup, toxicity
+from dialoom.llm import bpe, fill_in_middle, fingerprints, jaccard_join, language_id, line_dedup, packing, prefix_trie, quality_classifier, quality_rules, simhash, suffix_dedup, toxicity
 from dialoom.llm.common import documents, labels, small_batches
 
 
@@ -58,8 +58,14 @@ def op12_fill_in_middle(spark, sf_dir):
     return fill_in_middle.op12(documents(spark, sf_dir))
 
 
+def op13_jaccard_join(spark, sf_dir):
+    """Shingle sets of all documents joined at a Jaccard similarity of 0.85, as components."""
+    small_batches(spark)
+    return jaccard_join.op13(documents(spark, sf_dir))
+
+
 QUERIES = {q.__name__: q for q in (op1_toxicity, op2_fingerprints, op3_packing, op4_simhash, op5_quality_classifier, op6_suffix_dedup, op7_byte_bpe, op8_line_dedup, op9_language_id, op10_quality_rules,
-                                   op11_prefix_trie, op12_fill_in_middle)}
+                                   op11_prefix_trie, op12_fill_in_middle, op13_jaccard_join)}
 ORACLES = {
     # XXH3 digests and the cuckoo filters only decide which lines are looked up; the result is plain counting.
     "op8_line_dedup": r"""
@@ -138,4 +144,12 @@ parts AS (SELECT *, substr(t, 1, a) AS prefix, substr(t, a + 1, b - a) AS middle
 SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
   sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
   sha256(t) AS restored_sha256 FROM parts""",
+    # All pairs that share a shingle, without any filter; components by closure.
+    "op13_jaccard_join": r"""
+WITH RECURSIVE split AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(1, len(w) - 3) + 1), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM split),
+rows_of AS (SELECT r, len(s) AS n, unnest(s) AS x FROM sets),
+links AS (SELECT a.r AS u, b.r AS v FROM rows_of a JOIN rows_of b ON a.x = b.x AND a.r <> b.r GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach AS (SELECT r AS u, r AS v FROM sets UNION SELECT p.u, l.v FROM reach p JOIN links l ON p.v = l.u)
+SELECT any_value(s.doc_id) AS doc_id, any_value(len(s.s)) AS n_shingles, min(t.doc_id) AS component_id FROM reach p JOIN sets s ON s.r = p.u JOIN sets t ON t.r = p.v GROUP BY p.u""",
 }
