@@ -8,13 +8,7 @@ from pyspark.sql import functions as F
 
 from dialoom import fixed
 from dialoom.functions.args import json_string
-from dialoom.functions.ordered import running_total
-
-CHUNK = 10_000  # positions solved together by the ordered helpers; no result depends on it
-
-
-def chunk_of(pos="pos", size=CHUNK) -> Column:
-    return F.floor(F.col(pos) / F.lit(size)).cast("bigint")
+from dialoom.functions.scan import scan
 
 
 def join_pieces(df: DataFrame, keys, pos: str, piece: str, out="text", sep="") -> DataFrame:
@@ -33,7 +27,7 @@ def number_tool_calls(messages: DataFrame, key="conv_id", pos="pos") -> DataFram
     The counter also advances for calls that bring their own id.
     """
     calls = messages.select(key, pos, F.posexplode("tool_calls").alias("call_pos", "c"))
-    n = running_total(calls, [key], [pos, "call_pos"], F.lit(1), "n", chunk_of(pos))
+    n = scan(calls, [key], [pos, "call_pos"], sums={"n": F.lit(1)})
     return n.select(key, pos, "call_pos", F.coalesce(F.col("c.id"), F.concat(F.lit("call_"), F.col("n"))).alias("call_id"),
                     F.col("c.name").alias("tool_name"), F.col("c.args").alias("args"))
 
@@ -239,6 +233,6 @@ def assemble_messages(examples: DataFrame, system_role=True, instruction=None, s
 
 def training_mask(pieces: DataFrame, key="conv_id", pos="pos", piece="piece", flag="train_on_turn") -> DataFrame:
     """Character span of every rendered piece and whether it is trained on."""
-    spans = running_total(pieces, [key], [pos], F.length(piece), "char_end", chunk_of(pos))
+    spans = scan(pieces, [key], [pos], sums={"char_end": F.length(piece)})
     return spans.withColumns({"char_start": F.col("char_end") - F.length(piece),
                               "trainable": F.coalesce(F.col(flag), F.lit(False))})

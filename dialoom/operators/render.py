@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from dialoom import fixed
 from dialoom.functions.args import json_object, json_string, value_json
-from dialoom.functions.ordered import neighbours
+from dialoom.functions.scan import scan
 from dialoom.functions.text import strip_ws
-from dialoom.operators.messages import chunk_of, join_pieces
+from dialoom.operators.messages import join_pieces
 
 # fixed values: per style the texts that open and close a turn and that ask for an answer
 TURNS = {
@@ -62,13 +62,12 @@ def render_pieces(messages: DataFrame, style: str, tools_text: str | Column | No
     has_tools = tools.isNotNull()
     calls_n = F.coalesce(F.size("tool_calls"), F.lit(0))
     tool_role = F.col("role") == "tool_result"
-    state = F.struct(tool_role.alias("tool"), (calls_n > 0).alias("calls"), F.col("role").alias("role"),
-                     F.col("text").alias("text"))
+    state = F.struct(tool_role.alias("tool"), F.col("role").alias("role"))
     if style == "functiongemma":
         starts = messages.groupBy(key).agg(F.min(pos).alias("_start"))
         messages = messages.join(starts, key)
-        state = state.withField("opens", F.col(pos) == F.col("_start"))
-    rows = neighbours(messages, [key], [pos], state, chunk_of(pos))
+        state = F.struct(tool_role.alias("tool"), F.col("role").alias("role"), F.col("text").alias("text"), (F.col(pos) == F.col("_start")).alias("opens"))
+    rows = scan(messages, [key], [pos], previous={"_prev": state}, following={"_next": F.struct(tool_role.alias("tool"))})
     first, last = F.col("_prev").isNull(), F.col("_next").isNull()
     after_tool, before_tool = F.coalesce(F.col("_prev.tool"), F.lit(False)), F.coalesce(F.col("_next.tool"), F.lit(False))
     text = F.coalesce(F.col("text"), F.lit(""))

@@ -124,22 +124,25 @@ def pick_target_devices(slots: DataFrame, stacks: DataFrame, seed, keys) -> Data
     return drawn.join(own, [*lang, "type", "idx"]).drop("idx")
 
 
-def _name_similarity():
-    """Pandas UDF: largest matching-block ratio of any of the names to another name; 0 for no names."""
-    from pyspark.sql.types import DoubleType
-    seen = {}
-
-    def alike(a, b):
+def likeness_bound(a: Column, b: Column) -> Column:
+    """At least the matching-block ratio of two texts: twice the characters they have in common, whatever their order, by their lengths together."""
+    letters = F.array_distinct(F.split(a, ""))
+    times = lambda text, c: F.length(text) - F.length(F.replace(text, c, F.lit("")))
+    common = F.aggregate(letters, F.lit(0), lambda n, c: n + F.when(c == "", 0).otherwise(F.least(times(a, c), times(b, c))))
+    both = F.length(a) + F.length(b)
+    return F.when(both == 0, F.lit(1.0)).otherwise(F.lit(2.0) * common / both)
+
+
+def alike_names(pairs: DataFrame, a: str, b: str, limit: float) -> DataFrame:
+    """The distinct pairs whose matching-block ratio is `limit` or more; only those that the bound lets through are matched."""
+    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
         from difflib import SequenceMatcher
-        if (a, b) not in seen:
-            if len(seen) > 200_000:  # the memo is only a shortcut; it starts over when large
-                seen.clear()
-            seen[a, b] = SequenceMatcher(None, a, b).ratio()
-        return seen[a, b]
+        return pd.Series([SequenceMatcher(None, s, t).ratio() for s, t in zip(x, y)], dtype="float64")
 
-    def best(names: pd.Series, other: pd.Series) -> pd.Series:
-        return pd.Series([max((alike(n, o) for n in ns), default=0.0) for ns, o in zip(names, other)], dtype="float64")
-    return F.pandas_udf(best, DoubleType())
+    length = F.greatest(F.length(a) + F.length(b), F.lit(1))
+    near = pairs.select(a, b).distinct().where(F.lit(2.0) * F.least(F.length(a), F.length(b)) / length >= F.when(F.length(a) + F.length(b) == 0, 0.0).otherwise(limit))
+    near = near.where(likeness_bound(F.col(a), F.col(b)) >= limit)
+    return near.where(F.pandas_udf(ratio, "double")(F.col(a), F.col(b)) >= limit)
 
 
 def sample_context_devices(examples: DataFrame, devices: DataFrame, seed, keys, max_devices=128, avoid="avoid", similar=SIMILAR) -> DataFrame:
@@ -148,13 +151,15 @@ def sample_context_devices(examples: DataFrame, devices: DataFrame, seed, keys,
     An example walks the device index with a stride coprime to its size, so no place repeats.
     Devices alike to an avoided name (ARRAY<STRING> of device names) of their own type are
     rejected, as are further climate devices when one is avoided; with `similar=None` only the
-    avoided names themselves are. A first walk of twice the need serves nearly every example. Those
+    avoided names themselves are. A first walk of somewhat more than the need serves nearly every example. Those
     it leaves short walk four times as far, and so on, until they have enough or have seen all.
+    Names are compared once for each distinct pair that walks meet (`alike_names`).
     """
+    spare = F.expr("_want div 4 + 8") if similar is None else F.expr("_want + 16")
     lang = by_language(examples, devices)
     pool = devices.select(*lang, "device_name", "description")
     pool = dense_index(pool, lang, "device_name").drop("n") if lang else number_all(pool, "device_name")
-    pool = stage(pool).hint("merge")  # an exploded walk looks small to the planner, so neither side is sent around
+    pool = stage(pool).hint("shuffle_hash")  # an exploded walk looks small to the planner, so neither side is sent around
     if lang:
         sizes = devices.groupBy("language").agg(F.count(F.lit(1)).alias("n"))
         size = F.coalesce(F.try_element_at(sizes.select(F.map_from_entries(F.collect_list(F.struct("language", "n")))).scalar(), F.col("language")), F.lit(0))
@@ -166,7 +171,7 @@ def sample_context_devices(examples: DataFrame, devices: DataFrame, seed, keys,
         "_want": F.least(draw_int(seed, keys, "context:n", 2, max_devices), F.col("_size")),
         "_from": draw(seed, keys, "context:from", F.col("_size")),
         "_step": F.element_at("_strides", (draw(seed, keys, "context:step", F.size("_strides")) + 1).cast("int")) % F.col("_size"),
-        "_near": F.array_distinct(F.transform(avoid, domain_of))}).withColumn("_length", F.least(2 * F.col("_want") + 16, F.col("_size"))).drop("_strides")
+        "_near": F.array_distinct(F.transform(avoid, domain_of))}).withColumn("_length", F.least(F.col("_want") + spare, F.col("_size"))).drop("_strides")
 
     def walk(rows):
         steps = rows.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_length") - 1)).alias("_k"))
@@ -175,8 +180,11 @@ def sample_context_devices(examples: DataFrame, devices: DataFrame, seed, keys,
         met = met.filter(~(F.array_contains("_near", "climate") & (F.col("type") == "climate")))
         if similar is None:
             return met.filter(~F.array_contains(avoid, F.col("device_name")))
-        close = F.filter(avoid, lambda a: domain_of(a) == F.col("type"))
-        return met.withColumn("_sim", _name_similarity()(close, suffix_of(F.col("device_name")))).filter(F.col("_sim") < similar)
+        close = F.array_distinct(F.filter(avoid, lambda a: domain_of(a) == F.col("type")))
+        met = stage(met.withColumns({"_close": close, "_name": suffix_of(F.col("device_name"))}))
+        alike = alike_names(met.select(F.explode("_close").alias("_avoided"), "_name"), "_avoided", "_name", similar)
+        like = (met["_name"] == alike["_name"]) & F.array_contains(met["_close"], alike["_avoided"])
+        return met.join(alike, like, "left_anti").drop("_close", "_name")
 
     parts, left = [], start
     while True:

@@ -2,16 +2,15 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialoom.functions.ordered import previous_value, running_total
+from dialoom.functions.scan import scan
 
 
 def link_sessions(df: DataFrame, key: str, ts: str, limit_seconds: int, tie: str) -> DataFrame:
     """Add `linked` (the gap to the row before is below the limit) and a running `session` number.
 
-    Days serve as chunks, so a key with very many rows is worked on by many tasks.
+    Rows are dealt out by ranges of (key, ts), so a key with very many rows, even on one day, is worked on by many tasks.
     """
-    day = F.to_date(ts)
-    seen = previous_value(df, [key], [ts, tie], ts, "_before", day)
-    gap = F.timestamp_diff("MICROSECOND", F.col("_before"), F.col(ts))
-    linked = seen.withColumn("linked", F.coalesce(gap < F.lit(limit_seconds * 1_000_000), F.lit(False))).drop("_before")
-    return running_total(linked, [key], [ts, tie], F.when(F.col("linked"), 0).otherwise(1), "session", day)
+    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast(df.schema[ts].dataType), F.col(ts))
+    limit = limit_seconds * 1_000_000
+    seen = scan(df, [key], [ts, tie], previous={"_before": micros}, gaps={"session": (micros, limit)})
+    return seen.withColumn("linked", F.coalesce(micros - F.col("_before") < limit, F.lit(False))).drop("_before")

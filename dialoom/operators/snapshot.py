@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from dialoom import fixed
 from dialoom.functions.colors import nearest_color
-from dialoom.functions.ordered import running_total
+from dialoom.functions.scan import scan
 from dialoom.functions.text import domain_of, lookup
 from dialoom.operators.messages import join_pieces
 
@@ -108,9 +108,7 @@ def order_by_recency(entities: DataFrame, updates: DataFrame, scope, entity="ent
     """Entities (named by text) with their last update and `place`: never updated first by name, then oldest to newest."""
     latest = updates.groupBy(*scope, entity).agg(F.max(ts).alias("last_update"))
     rows = entities.join(latest, [*scope, entity], "left")
-    chunk = F.when(F.col("last_update").isNull(), F.concat(F.lit("0"), F.substring(entity, 1, 16))) \
-        .otherwise(F.concat(F.lit("1"), F.date_format("last_update", "yyyy-MM-dd HH")))
-    return running_total(rows, list(scope), [F.asc_nulls_first("last_update"), F.col(entity)], F.lit(1), "place", chunk)
+    return scan(rows, scope, [F.asc_nulls_first("last_update"), F.col(entity)], sums={"place": F.lit(1)})
 
 
 def build_localized_prompt(df: DataFrame, template="template", lang="lang", clock: Column | None = None, out="prompt") -> DataFrame:

@@ -1,4 +1,7 @@
 """Queries: growing and translating piles, in-context examples, files."""
+import hashlib
+import json
+
 from pyspark.sql import functions as F
 
 from dialoom import fixed
@@ -189,12 +192,34 @@ def s5_s6_sft_jsonl(spark, sf_dir):
 
 
 def s7_append_pile(spark, sf_dir):
-    path = stage_dir(spark)
-    rows = spark_input(spark, sf_dir, "documents").select("doc_id", "source", "lang")
-    P.append_pile(rows, path)
-    P.append_pile(rows.filter("lang = 'fr'"), path)
-    P.append_pile(rows.filter("lang = 'none'"), path)
-    return spark.read.schema("doc_id bigint, source string, lang string").csv(path, header=True)
+    """Appended, evolved and read through the pile's log; the doubled batch and the empty one leave nothing."""
+    root, names = stage_dir(spark), ["doc_id", "source", "n_chars"]
+    rows = spark_input(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars")
+    P.append_pile(rows.drop("n_chars"), root, "documents", "first")
+    P.append_pile(rows.filter("lang = 'fr'"), root, "documents", "second")
+    P.append_pile(rows.filter("lang = 'fr'"), root, "documents", "second")
+    P.append_pile(rows.filter("lang = 'none'"), root, "documents")
+    got = P.read_pile(spark, root, "documents", names)
+    return got.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", "lang", F.col("n_chars").cast("bigint").alias("n_chars"))
+
+
+def w14_accept_until(spark, sf_dir):
+    """30 accepted answers per language from a stand-in model that answers some prompts with nothing useful."""
+    from dialoom.operators.accept import accept_until
+
+    def model(talks):
+        out = []
+        for talk in talks:
+            h = int(hashlib.md5(talk[-1]["content"].encode()).hexdigest()[:8], 16)
+            out.append(json.dumps({"phrase": f"phrase {h}"}) if h % 4 == 0 else "no JSON" if h % 4 == 1 else '{"phrase": " "}' if h % 4 == 2 else '{"other": 1}')
+        return out
+
+    def generate(rows):
+        asked = E.complete_batch(rows.withColumn("prompt", F.concat(F.lit("document "), "doc_id")), model, max_attempts=1)
+        return E.check_generated_rows(asked, ["phrase"])[0].select("doc_id", "phrase")
+
+    docs = spark_input(spark, sf_dir, "documents").select("doc_id", "lang")
+    return accept_until(docs, generate, 30, 42, ["doc_id"], ["lang"]).rows
 
 
 def s8_evolve_pile_schema(spark, sf_dir):
@@ -224,7 +249,7 @@ def s10_load_images_base64(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     p1_filter_supported_domains, p17_desired_state, p18_describe_service, p19_clean_completion_text, p20_extract_json_object, p21_templatize_phrase,
     p22_parse_tagged_lines, x10_complete_batch, x11_build_generation_prompts, x12_check_generated_rows, x12_match_error, g7_extend_persona, g8_split_responses,
-    j9_pick_icl_examples, j9_pick_eval_icl_examples, j16_translate_piles, j16_distinct_phrases, s1_read_pile, s2_read_lines, s3_read_optional_pile, s4_read_icl_examples, s5_s6_sft_jsonl, s7_append_pile,
+    j9_pick_icl_examples, j9_pick_eval_icl_examples, j16_translate_piles, j16_distinct_phrases, s1_read_pile, s2_read_lines, s3_read_optional_pile, s4_read_icl_examples, s5_s6_sft_jsonl, s7_append_pile, w14_accept_until,
     s8_evolve_pile_schema, s9_write_eval_report, s10_load_images_base64)}
 
 _map = lambda col, d: f"CASE {col} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in d.items()) + " END"
@@ -298,7 +323,9 @@ ORACLES = {
     "s4_read_icl_examples": "SELECT 'light' AS type, p_partkey::VARCHAR AS request, p_brand AS tool, p_name AS response FROM part",
     "s5_s6_sft_jsonl": "WITH e AS (" + _a1_sql(True, False, False, True) + """), m AS (SELECT example_id, unnest(json_extract(messages, '$[*]')) AS m, generate_subscripts(json_extract(messages, '$[*]'), 1) - 1 AS pos FROM e)
       SELECT example_id, pos, m->>'$.role' AS role, array_to_string(list_transform(json_extract(m, '$.content[*].text'), lambda x: x->>'$'), chr(10)) AS text FROM m""",
-    "s7_append_pile": "SELECT doc_id, source, lang FROM documents UNION ALL SELECT doc_id, source, lang FROM documents WHERE lang = 'fr'",
+    "s7_append_pile": "SELECT doc_id, source, lang, NULL::BIGINT AS n_chars FROM documents UNION ALL SELECT doc_id, source, lang, CAST(n_chars AS BIGINT) FROM documents WHERE lang = 'fr'",
+    "w14_accept_until": f"""WITH a AS (SELECT doc_id, lang, ('0x' || substr(md5('document ' || doc_id), 1, 8))::BIGINT AS h FROM documents)
+      SELECT doc_id, lang, 'phrase ' || h AS phrase FROM a WHERE h % 4 = 0 QUALIFY row_number() OVER (PARTITION BY lang ORDER BY {H('accept', 'doc_id')}, doc_id) <= 30""",
     "s8_evolve_pile_schema": with_inputs("pile_actions") + "SELECT row_id, service_name, phrase, NULL AS arguments FROM pile_actions UNION ALL SELECT row_id, service_name, phrase, arguments FROM pile_actions",
 }
 from dialoom.plans.scoring import ORACLES as _SCORING  # noqa: E402

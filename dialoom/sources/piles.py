@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dialoom.functions.text import strip_ws
+from dialoom.sources.pile_log import PileLog
 
 # fixed values: columns of the pile files
 PILES = {
@@ -35,7 +36,8 @@ def read_pile(spark: SparkSession, root: str, pile: str, columns=None, line_brea
 
     Columns are found by the names in each language's header: their order doesn't matter, further ones are
     ignored and missing ones are NULL. Values with line breaks need `line_breaks=True`, which reads each file in
-    one task. No language with the file: an empty table.
+    one task. Rows that were appended through the pile's log (`append_pile`) come after those of the files. No
+    language with the file and no log: an empty table.
     """
     names = columns or PILES[pile].split(" ")
     parts = []
@@ -43,6 +45,10 @@ def read_pile(spark: SparkSession, root: str, pile: str, columns=None, line_brea
         rows = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=line_breaks)
         have = {c.lstrip("\ufeff").strip(): c for c in rows.columns}
         parts.append(rows.select(*[(F.col(f"`{have[c]}`") if c in have else F.lit(None)).cast("string").alias(c) for c in names], F.lit(lang).alias("lang")))
+    log = PileLog(spark, root, pile)
+    if log.version():
+        rows = log.read()
+        parts.append(rows.select(*[(F.col(f"`{c}`") if c in rows.columns else F.lit(None)).cast("string").alias(c) for c in names], "lang"))
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema_of([*names, "lang"]))
 
 
@@ -72,10 +78,9 @@ def read_icl_examples(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*ICL_COLUMNS)
 
 
-def append_pile(rows: DataFrame, path: str) -> None:
-    """Append rows as CSV, one folder per language; nothing is written for an empty table."""
-    if not rows.isEmpty():
-        rows.write.mode("append").partitionBy("lang").csv(path, header=True, quote='"', escape='"')
+def append_pile(rows: DataFrame, root: str, pile: str, batch: str | None = None) -> int:
+    """Append rows (with `lang`) to a pile as one commit that `read_pile` sees as a whole; an empty table commits nothing. See `PileLog.append`."""
+    return PileLog(rows.sparkSession, root, pile).append(rows, batch)
 
 
 def evolve_pile_schema(old: DataFrame, new: DataFrame) -> DataFrame:

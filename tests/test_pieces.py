@@ -1,5 +1,7 @@
 """Smaller operators on literal rows, file sources, and independence from partitioning."""
 import json
+import random
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -62,8 +64,6 @@ def test_running_total_over_hot_key(spark):
     for r in got:
         run += r["v"]
         assert r["t"] == run
-    near = ordered.neighbours(df, ["k"], ["pos"], F.col("pos"), F.floor(F.col("pos") / 100)).orderBy("pos").collect()
-    assert [r["_prev"] for r in near] == [None, *range(4999)] and [r["_next"] for r in near] == [*range(1, 5000), None]
 
 
 def test_one_text_per_conversation_whatever_its_positions(spark):
@@ -71,6 +71,33 @@ def test_one_text_per_conversation_whatever_its_positions(spark):
     assert [r["text"] for r in M.join_pieces(df, ["k"], "pos", "t", sep=",").collect()] == [",".join(map(str, range(25)))]
 
 
+def test_name_likeness_is_bounded_in_the_jvm(spark):
+    """The bound never lies below the exact ratio, and the pairs that are refused are those of the exact ratio alone."""
+    r = random.Random(2)
+    names = ["", "a", "kitchen_lamp", "kitchen lamp 2", "öl lampe", "lamp", *("".join(r.choice("abcdef_ é") for _ in range(r.randint(1, 14))) for _ in range(40)), "x" * 250]
+    pairs = spark.createDataFrame([(a, b) for a in names for b in names], "a string, b string")
+    for row in pairs.withColumn("bound", S.likeness_bound(F.col("a"), F.col("b"))).collect():
+        assert row.bound >= SequenceMatcher(None, row.a, row.b).ratio() - 1e-12
+    for limit in (0.4, 0.75):
+        alike = {(x.a, x.b) for x in S.alike_names(pairs, "a", "b", limit).collect()}
+        assert alike == {(a, b) for a in names for b in names if SequenceMatcher(None, a, b).ratio() >= limit}
+
+
+def test_context_devices_avoid_alike_names(spark):
+    """Against difflib on every walked pair: nothing alike gets in, and whoever is left out has to be."""
+    kinds = ["light", "fan"]
+    names = [f"{k}.{w}_{n}" for k in kinds for w in ("kitchen", "kitchens", "garage", "bed_room", "zz") for n in ("lamp", "one", "q")]
+    devices = spark.createDataFrame([(n, n) for n in names], "device_name string, description string")
+    examples = spark.createDataFrame([(i, [names[i % len(names)], names[i * 7 % len(names)]]) for i in range(40)], "k bigint, avoid array<string>")
+    got = {}
+    for x in S.sample_context_devices(examples, devices, 4, ["k"], 64).collect():
+        got.setdefault(x["k"], set()).add(x["device_name"])
+    for x in examples.collect():
+        fits = {n for n in names if all(a.split(".")[0] != n.split(".")[0] or SequenceMatcher(None, a, n.split(".")[1]).ratio() < 0.4 for a in x.avoid)}
+        mine = got.get(x.k, set())
+        assert mine <= fits and (mine == fits or len(mine) >= 2)
+
+
 def test_walks_over_the_device_index_find_enough(spark):
     devices = spark.range(300).select(F.concat(F.when(F.col("id") % 60 == 0, "fan.").otherwise("light."), F.lit("d"), "id").alias("device_name"), F.lit("x").alias("description"))
     examples = spark.range(50).select(F.col("id").alias("k"), F.array(F.lit("light.d4")).alias("avoid"))
