@@ -107,108 +107,141 @@ def throttle_refresh(changes: DataFrame, key: str, ts: str, interval_seconds: in
 
 
 def parse_completion_stream(chunks: DataFrame, key="conv_id", think=("<think>", "</think>"), tool=("<tool_call>", "</tool_call>"),
-                            idle_seconds: int | None = None) -> DataFrame:
+                            idle_seconds: int | None = None, gap_seconds: int | None = None, most_waiting=10_000) -> DataFrame:
     """Text and call rows out of completion chunks (key, seq from 0 without gaps, content, is_last).
 
     A chunk waits until all with a smaller seq are there, also over micro-batches. Thinking is hidden, but calls inside it
     count, as in the batch parser; call blocks are held back until they close, also when a marker is split over chunks.
-    The last chunk flushes what is open: a call counts as closed, thinking without an end is text. With `idle_seconds`
-    a key that gets no chunk for so long is flushed too and its state dropped. Output rows are numbered per key by `out_seq`.
-    """
-    import re
+    The last chunk flushes what is open: a call counts as closed, thinking without an end is text. Output rows are numbered
+    per key by `out_seq`. Every chunk is read once (`Markers`); open blocks lie in the state in pieces.
 
+    A gap is given up when `most_waiting` chunks wait behind it, or when no chunk has come for `gap_seconds`, which gives a row of
+    kind `gap` with the missing numbers; a chunk of a given-up gap that comes after all gives a row of kind `late`.
+    A key without chunks for `idle_seconds` is flushed and forgotten. Both are processing times and need a query that goes on
+    running: with timers Spark plans batches without end, so `availableNow` would never stop. A chunk that comes twice counts once.
+    """
     from pyspark.sql.streaming import StatefulProcessor
 
-    block = re.compile(re.escape(tool[0]) + "(.*?)" + re.escape(tool[1]), re.S)
-    starts, ends = {think[0]: "think", tool[0]: "tool"}, {"think": think[1], "tool": tool[1]}
-
-    def parse(mode, held, done):
-        """Rows, and what stays open."""
-        out, text = [], ""
-
-        def said(kind, content):
-            nonlocal text
-            if text:
-                out.append(("text", text))
-                text = ""
-            out.append((kind, content))
-
-        while True:
-            if mode == "text":
-                found = sorted((held.find(m), m) for m in starts if m in held)
-                if found:
-                    at, mark = found[0]
-                    text, held, mode = text + held[:at], held[at + len(mark):], starts[mark]
-                    continue
-                # keep back only what may still become a marker
-                keep = 0 if done else max((n for m in starts for n in range(1, len(m)) if held.endswith(m[:n])), default=0)
-                text, held = text + held[:len(held) - keep], held[len(held) - keep:]
-                break
-            at = held.find(ends[mode])
-            if at < 0:
-                break
-            for call in block.findall(held[:at]) if mode == "think" else [held[:at]]:
-                said("call", call)
-            held, mode = held[at + len(ends[mode]):], "text"
-        if done and mode == "think":
-            text += think[0] + block.sub("", held)
-            for call in block.findall(held):
-                said("call", call)
-        if text:
-            out.append(("text", text))
-        if done and mode == "tool":
-            out.append(("call", held))
-        return out, mode, held
+    from dialoom.streaming.markers import Markers
+
+    open_fields = ["mode", "tail", "open_think", "open_tool", "n_think", "n_tool"]
+    timed = idle_seconds is not None or gap_seconds is not None
 
     class Parser(StatefulProcessor):
         def init(self, handle):
             self.handle = handle
-            self.state = handle.getValueState("open", "mode string, held string, emitted bigint, next_seq bigint")
+            self.state = handle.getValueState("open", "mode string, tail string, open_think string, open_tool string, n_think bigint, n_tool bigint, emitted bigint, next_seq bigint, last_at bigint, n_waiting bigint")
             self.waiting = handle.getMapState("waiting", "seq bigint", "content string, is_last boolean")
+            self.pieces = handle.getMapState("pieces", "block string, number bigint", "content string")
+            self.skipped = handle.getMapState("skipped", "first bigint", "last bigint")
+
+        # the store of Markers
+        def put(self, block, number, text):
+            self.pieces.updateValue((block, number), (text,))
 
-        def _rows(self, key, out, emitted):
+        def take(self, block, count):
+            taken = []
+            for n in range(count):
+                taken.append(self.pieces.getValue((block, n))[0])
+                self.pieces.removeKey((block, n))
+            return taken
+
+        def _load(self):
+            if self.state.exists():
+                *held, self.emitted, self.seq, self.last_at, self.n_waiting = self.state.get()
+                self.markers = Markers(think, tool, **dict(zip(open_fields, held)))
+            else:
+                self.markers, self.emitted, self.seq, self.last_at, self.n_waiting = Markers(think, tool), 0, 0, 0, 0
+            self.out, self.text, self.done = [], [], False
+
+        def _said(self, kind, content):
+            if kind == "text":
+                self.text.append(content)
+                return
+            if self.text:
+                self.out.append(("text", "".join(self.text)))
+                self.text = []
+            self.out.append((kind, content))
+
+        def _take_chunk(self, content, last):
+            self.markers.feed(self, content or "", self._said)
+            self.seq += 1
+            self.done = last
+
+        def _take_waiting(self):
+            while self.n_waiting and not self.done and self.waiting.containsKey((self.seq,)):
+                content, last = self.waiting.getValue((self.seq,))
+                self.waiting.removeKey((self.seq,))
+                self.n_waiting -= 1
+                self._take_chunk(content, last)
+
+        def _give_up_gap(self):
+            first = min(k[0] for k in self.waiting.keys())
+            self.skipped.updateValue((self.seq,), (first - 1,))
+            self._said("gap", f"{self.seq}-{first - 1}")
+            self.seq = first
+            self._take_waiting()
+
+        def _rows(self, key):
             import pandas as pd
-            return pd.DataFrame({"k": pd.Series([key[0]] * len(out), dtype="object"), "out_seq": range(emitted, emitted + len(out)), "kind": pd.Series([o[0] for o in out], dtype="object"),
+            if self.done:
+                self.markers.finish(self, self._said)
+            if self.text:
+                self.out.append(("text", "".join(self.text)))
+            out, start = self.out, self.emitted
+            return pd.DataFrame({"k": pd.Series([key[0]] * len(out), dtype="object"), "out_seq": range(start, start + len(out)), "kind": pd.Series([o[0] for o in out], dtype="object"),
                                  "content": pd.Series([o[1] for o in out], dtype="object")}).astype({"out_seq": "int64"})
 
-        def _finish(self):
-            self.state.clear()
-            self.waiting.clear()
-            for timer in list(self.handle.listTimers()) if idle_seconds else []:
+        def _save(self, now):
+            for timer in list(self.handle.listTimers()) if timed else []:
                 self.handle.deleteTimer(timer)
+            if self.done:
+                for state in (self.state, self.waiting, self.pieces, self.skipped):
+                    state.clear()
+                return
+            self.state.update((*(getattr(self.markers, f) for f in open_fields), self.emitted + len(self.out), self.seq, self.last_at, self.n_waiting))
+            waits = [s for s, on in ((gap_seconds, self.n_waiting > 0), (idle_seconds, True)) if s is not None and on]
+            if waits:
+                self.handle.registerTimer(max(now + 1, self.last_at + min(waits) * 1000))
 
         def handleInputRows(self, key, rows, timerValues):
             import pandas as pd
-            batch = pd.concat(list(rows)).sort_values("seq")
-            mode, held, emitted, seq = self.state.get() if self.state.exists() else ("text", "", 0, 0)
+            batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
+            self._load()
+            self.last_at = timerValues.getCurrentProcessingTimeInMs() if timed else 0
             for n, content, last in zip(batch["seq"].tolist(), batch["content"].tolist(), batch["is_last"].tolist()):
-                if n >= seq:
+                if self.done:
+                    break
+                if n == self.seq:
+                    self._take_chunk(content, bool(last))
+                    self._take_waiting()
+                elif n < self.seq:
+                    gap = next(((a[0], b[0]) for a, b in self.skipped.iterator() if a[0] <= n <= b[0]), None)
+                    if gap:  # the numbers around it stay missing
+                        self._said("late", content)
+                        self.skipped.removeKey((gap[0],))
+                        for a, b in ((gap[0], n - 1), (n + 1, gap[1])):
+                            if a <= b:
+                                self.skipped.updateValue((a,), (b,))
+                elif not self.waiting.containsKey((n,)):
                     self.waiting.updateValue((n,), (content, bool(last)))
-            done = False
-            while not done and self.waiting.containsKey((seq,)):
-                content, done = self.waiting.getValue((seq,))
-                held += content or ""
-                self.waiting.removeKey((seq,))
-                seq += 1
-            out, mode, held = parse(mode, held, done)
-            if done:
-                self._finish()
-            else:
-                self.state.update((mode, held, emitted + len(out), seq))
-                if idle_seconds:
-                    for timer in list(self.handle.listTimers()):
-                        self.handle.deleteTimer(timer)
-                    self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + idle_seconds * 1000)
-            yield self._rows(key, out, emitted)
+                    self.n_waiting += 1
+                    if most_waiting is not None and self.n_waiting > most_waiting:
+                        self._give_up_gap()
+            result = self._rows(key)
+            self._save(self.last_at)
+            yield result
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-            out, emitted = [], 0
-            if self.state.exists():
-                mode, held, emitted, _ = self.state.get()
-                late = sorted((k[0], v[0]) for k, v in self.waiting.iterator())
-                out, _, _ = parse(mode, held + "".join(c or "" for _, c in late), True)
-            self._finish()
-            yield self._rows(key, out, emitted)
+            self._load()
+            now = timerValues.getCurrentProcessingTimeInMs()
+            over = idle_seconds is not None and now >= self.last_at + idle_seconds * 1000
+            while self.n_waiting and not self.done and (over or (gap_seconds is not None and now >= self.last_at + gap_seconds * 1000)):
+                self._give_up_gap()
+            self.done = self.done or over
+            result = self._rows(key)
+            self._save(now)
+            yield result
 
         def close(self):
             pass
@@ -216,7 +249,7 @@ def parse_completion_stream(chunks: DataFrame, key="conv_id", think=("<think>",
     rows = chunks.select(F.col(key).alias("k"), F.col("seq").cast("bigint").alias("seq"), "content", "is_last")
     out = rows.groupBy("k").transformWithStateInPandas(
         statefulProcessor=Parser(), outputStructType=f"k {rows.schema['k'].dataType.simpleString()}, out_seq bigint, kind string, content string",
-        outputMode="append", timeMode="ProcessingTime" if idle_seconds else "none")
+        outputMode="append", timeMode="ProcessingTime" if timed else "none")
     return out.withColumnRenamed("k", key)
 
 
