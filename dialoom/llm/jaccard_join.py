@@ -16,7 +16,7 @@ documents; those in more than a threshold of sets come last, and at most 2^20 of
 
 Candidates: each list (or pair of shingles) names its smallest node as hub, and each node is compared with the likeliest of its hubs, so
 a family of near copies costs one comparison a member instead of all pairs. Nodes which that leaves apart meet wherever a list holds
-several groups, with bounds of size and place, so no link between groups is lost. Bitmaps (parities of shingle hashes)
+several groups, with bounds of size and place, so no link between groups is lost; long lists are compared block by block inside tasks. Bitmaps (parities of shingle hashes)
 bound the overlap of a pair from above; the rest is decided on the shingles of both texts. Components join what is linked.
 
 Null, empty and blank texts have no shingle and are linked with nothing. Fewer words than a shingle: one shingle of them all. Two
@@ -43,6 +43,7 @@ FREQUENT, HOT_MOST = 32, 1 << 20
 PAIRS_MOST = 1000  # the boundary stays below, so that a set has at most some ten thousand pairs
 BITS_PER_SHINGLE, BITMAP_MOST = 4, 1 << 16
 SEEN = 100_000  # sets a task remembers, so as not to write copies again
+CROWDED, BLOCK = 64, 1024  # nodes of a list
 KEY = (1 << 48) - 1
 
 
@@ -138,7 +139,7 @@ def entries(text: Column, shared, boundary: int) -> Column:
                     rows.append((name, n, None, 0, None, None, None))
                     continue
                 arranged, cold = order.arranged(found)
-                lists = _signed(arranged[:begin(n, 1, True)] & np.uint64(KEY)) if n >= in_lists else None
+                lists = _signed(arranged[:begin(n, 1, True)]) if n >= in_lists else None
                 keys, places = pairs_of(arranged[:begin(n, 2, True)]) if n <= boundary else (None, None)
                 rows.append((name, n, lists, cold, None if keys is None else _signed(keys & np.uint64(KEY)), None if keys is None else places.astype(np.int32), bitmap(found)))
             yield pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows) if rows else [[]] * 7, kind)], names=[k for k, _ in kind])
@@ -191,7 +192,7 @@ def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _lists(sets: DataFrame) -> DataFrame:
     """key, node, n, at (place of the shingle, or of the later one of a pair), two (pairs): all entries of lists with several nodes."""
-    single = sets.select("node", "n", "cold", F.posexplode("lists").alias("at", "key")).select("key", "node", "n", (F.col("at") + 1).alias("at"), F.lit(False).alias("two"), (F.col("at") >= F.col("cold")).alias("hot"))
+    single = sets.select("node", "n", "cold", F.posexplode("lists").alias("at", "key")).select(F.col("key").bitwiseAND(F.lit(KEY)).alias("key"), "node", "n", (F.col("at") + 1).alias("at"), F.lit(False).alias("two"), (F.col("at") >= F.col("cold")).alias("hot"))
     two = sets.select("node", "n", F.explode(F.arrays_zip("pairs", "places")).alias("x")).select("x.pairs", "node", "n", "x.places", F.lit(True), F.lit(False))
     rows = single.union(two)
     columns = ["key", "node", "n", "at", "two"]
@@ -263,15 +264,70 @@ def _to_hubs(lists: DataFrame, sets: DataFrame) -> DataFrame:
     return best.select("a", F.col("x.b").alias("b"))
 
 
-def _across(lists: DataFrame, rooted: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes of different groups that meet in a list within the bounds."""
+def _across(lists: DataFrame, rooted: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes of different groups that meet in a list within all bounds.
+
+    Entries of lists with up to CROWDED nodes are joined. Longer lists are cut into blocks, and a task compares the
+    bitmaps of two blocks, so that of a crowd only pairs that may link leave it, from the first list they share.
+    """
     rows = stage(lists.join(rooted, "node"))
     counted = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("members"))
-    main = counted.groupBy("key").agg(F.max_by("root", "members").alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("key", "main")
+    main = counted.groupBy("key").agg(F.max_by("root", "members").alias("main"), F.count(F.lit(1)).alias("roots"), F.sum("members").alias("total")).where("roots > 1").select("key", "main", "total")
     torn = stage(rows.join(stage(main), "key"))
-    other = torn.where("root <> main")
-    met = other.alias("x").join(torn.alias("y"), F.expr(f"x.key = y.key and x.root <> y.root and {_possible('x', 'y')}"))
-    return met.select(*_ordered_pair("x.node", "y.node")).distinct()
+    few = torn.where(F.col("total") <= CROWDED)
+    met = few.where("root <> main").alias("x").join(few.alias("y"), F.expr(f"x.key = y.key and x.root <> y.root and {_possible('x', 'y')}"))
+    met = met.select(*_ordered_pair("x.node", "y.node")).distinct()
+
+    known = sets.where("bits is not null").select("node", "lists", "bits").dropDuplicates(["node"])
+    blocks = F.ceil(F.col("total") / BLOCK).cast("int")
+    crowd = torn.where(F.col("total") > CROWDED).join(known, "node")
+    placed = crowd.withColumns({"own": F.pmod(F.xxhash64("node"), blocks).cast("int"), "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
+    dealt = placed.select("key", *[f("own", "other").alias(n) for f, n in ((F.least, "i"), (F.greatest, "j"))], "own", "node", "n", "at", "two", "root", "lists", "bits")
+    crowded = dealt.groupBy("key", "i", "j").applyInArrow(_meet_in_blocks, "a bigint, b bigint")
+    return _bounded(met, sets).select("a", "b").union(crowded.distinct())
+
+
+def _meet_in_blocks(group: pa.Table) -> pa.Table:
+    """Pairs of one list within the bounds of size, place and bitmaps whose first common shingle is that of the list."""
+    group = group.combine_chunks()
+    name, n, at, root, own = (group.column(c).to_numpy() for c in ("node", "n", "at", "root", "own"))
+    both = 2 if group.column("two")[0].as_py() else 1
+    words = np.array([len(x) for x in group.column("bits")])
+    earlier = [[] if both == 2 or x is None else x[:p - 1] for x, p in zip(group.column("lists").to_pylist(), at.tolist())]
+    found = []
+    for w in np.unique(words):
+        for v in (w, 2 * w):  # sets that can link have bitmaps of the same size or of twice that
+            x, y = np.flatnonzero(words == w), np.flatnonzero(words == v)
+            if not len(y):
+                continue
+            left, right = (np.array([group.column("bits")[int(k)].as_py() for k in z], np.int64).reshape(len(z), -1) for z in (x, y))
+            right = right if v == w else right[:, :w] ^ right[:, w:]
+            apart = np.zeros((len(x), len(y)), np.int32)
+            for k in range(w):
+                apart += np.bitwise_count((left[:, k, None] ^ right[None, :, k]).view(np.uint64))
+            a, b = n[x][:, None].astype(np.int64), n[y][None, :].astype(np.int64)
+            size = a + b
+            near = (size - apart) * SHARE[1] >= 2 * size * SHARE[0]
+            near &= (both + np.minimum(a - at[x][:, None], b - at[y][None, :])) * SHARE[1] >= size * SHARE[0]
+            near &= (np.minimum(a, b) * 20 >= np.maximum(a, b) * 17) & (root[x][:, None] != root[y][None, :])
+            if (group.column("i")[0] != group.column("j")[0]):
+                near &= own[x][:, None] != own[y][None, :]
+            if v == w:
+                near &= name[x][:, None] < name[y][None, :]
+            i, j = np.nonzero(near)
+            if len(i) and both == 1:
+                column = {s: c for c, s in enumerate({s for k in (*x, *y) for s in earlier[k]})}
+                has = []
+                for z in (x, y):
+                    m = np.zeros((len(z), len(column)), np.float32)
+                    for r, k in enumerate(z):
+                        m[r, [column[s] for s in earlier[k]]] = 1
+                    has.append(m)
+                first = ~((has[0] @ has[1].T) > 0)[i, j]
+                i, j = i[first], j[first]
+            found.append((name[x][i], name[y][j]))
+    a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+    return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
 
 def links(sets: DataFrame, docs: DataFrame) -> DataFrame:
@@ -280,7 +336,7 @@ def links(sets: DataFrame, docs: DataFrame) -> DataFrame:
     near = stage(_decided(stage(_to_hubs(lists, sets)), sets, docs))
     met = lists.select("node").distinct()
     rooted = stage(met.join(components(near, "a", "b"), "node", "left").select("node", F.coalesce("root", "node").alias("root")))
-    across = stage(_bounded(_across(lists, rooted), sets).select("a", "b"))
+    across = stage(_across(lists, rooted, sets))
     return near.union(_decided(across, sets, docs)) if across.limit(1).count() else near
 
 

@@ -61,9 +61,10 @@ def made(seed, families=14, size=9):
     return rows
 
 
-@pytest.mark.parametrize("seed, pairs_up_to", [(1, None), (2, 0), (3, 70), (4, 500)])
-def test_join_equals_all_pairs(table, seed, pairs_up_to, monkeypatch):
-    monkeypatch.setattr(jj, "FREQUENT", 5)
+@pytest.mark.parametrize("seed, pairs_up_to, crowded, block", [(1, None, 64, 1024), (2, 0, 2, 4), (3, 70, 3, 1024), (4, 500, 2, 5)])
+def test_join_equals_all_pairs(table, seed, pairs_up_to, crowded, block, monkeypatch):
+    for name, value in (("FREQUENT", 5), ("CROWDED", crowded), ("BLOCK", block)):
+        monkeypatch.setattr(jj, name, value)
     rows = made(seed)
     got = jj.jaccard_join(table(rows), pairs_up_to=pairs_up_to).drop("node")
     assert sorted(repr(tuple(r)) for r in got.collect()) == slow(rows)
