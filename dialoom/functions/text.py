@@ -62,6 +62,6 @@ def strip_ws(text: Column) -> Column:
 
 
 def lookup(key: Column, table: dict) -> Column:
-    """Look a string up in a short fixed table; NULL when absent."""
+    """Look a string up in a short fixed table of values or lists; NULL when absent."""
     m = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
     return F.try_element_at(m, key)

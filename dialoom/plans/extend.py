@@ -270,7 +270,7 @@ def _fmt(text, **kv):
 
 
 _who = dict(language="'german'", name="'Unit ' || o_orderkey", device="'d.' || o_orderkey")
-_lost = "'Explain that the assistant cannot locate that device in the home.'"
+_lost = "'No device of that name is to be found in this home.'"
 _COLORS_SORTED = L([c[1] for c in fixed.color_rows()])
 _ik = ("home_id", "type", "request")
 _stub_sql = lambda t, k: f"CASE WHEN contains({t}, 'fail') THEN {t} ELSE '{k}: ' || {t} END"
@@ -291,7 +291,7 @@ ORACLES = {
         f"SELECT o_orderkey, 'status', {_fmt(E.STATUS_TEXT, attribute=chr(39) + 'state' + chr(39), **_who)} FROM services",
         f"SELECT o_orderkey, 'failed', {_fmt(E.FAILED_TEXT, service='service_name', action=_DESCRIBE, **_who)} || CASE WHEN service_name = 'climate.set_temperature' THEN {_fmt(E.TEMPERATURE_RULE)} ELSE '' END FROM services",
         f"SELECT o_orderkey, 'not_available', {_fmt(E.REFUSAL_TEXT, language=_who['language'], service='service_name', action=_DESCRIBE, reason=_lost)} FROM services",
-        f"SELECT o_orderkey, 'already_state', {_fmt(E.REFUSAL_TEXT, language=_who['language'], service='service_name', action=_DESCRIBE, reason=f'CASE WHEN {_STATE} = {chr(39)*2} THEN {_lost} ELSE {chr(39)}Explain that the device is already {chr(39)} || {_STATE} || {chr(39)} and no change is needed.{chr(39)} END')} FROM services"]),
+        f"SELECT o_orderkey, 'already_state', {_fmt(E.REFUSAL_TEXT, language=_who['language'], service='service_name', action=_DESCRIBE, reason=f'CASE WHEN {_STATE} = {chr(39)*2} THEN {_lost} ELSE {chr(39)}The device is {chr(39)} || {_STATE} || {chr(39)} as it is, so there is nothing to do.{chr(39)} END')} FROM services"]),
     "x12_check_generated_rows": with_inputs("answers") + f""", j AS (SELECT *, {_JSON} AS j FROM answers), f AS (SELECT *, trim(coalesce(j->>'$.phrase', '')) AS p0, trim(coalesce(j->>'$.response', '')) AS r FROM j), t AS (SELECT *, {_TEMPL('p0')} AS p FROM f),
       c AS (SELECT *, CASE WHEN j IS NULL THEN 'no JSON object' WHEN p = '' OR r = '' THEN 'blank: ' || concat_ws(',', CASE WHEN p = '' THEN 'phrase' END, CASE WHEN r = '' THEN 'response' END) WHEN NOT contains(p, '<device_name>') THEN 'no placeholder' END AS reason FROM t)
       SELECT p_partkey, CASE WHEN reason IS NULL THEN p END AS phrase, CASE WHEN reason IS NULL THEN r END AS response, reason FROM c""",

@@ -130,7 +130,7 @@ QUERIES = {f.__name__: f for f in (
 def _live(lang):
     """The live clock of one language in DuckDB."""
     q = lambda t: "'" + t.replace("'", "''") + "'"
-    names = lambda table: "[" + ", ".join(q(n) for n in table[lang].split(" ")) + "]"
+    names = lambda table: "[" + ", ".join(q(n) for n in table[lang]) + "]"
     day, month = f"{names(fixed.LIVE_DAY_NAMES)}[isodow(ts)]", f"{names(fixed.LIVE_MONTH_NAMES)}[month(ts)]"
     marks = {"{h}": "strftime(ts, '%I')", "{H}": "strftime(ts, '%H')", "{m}": "strftime(ts, '%M')", "{a}": "strftime(ts, '%p')", "{day}": day, "{d}": "day(ts)::VARCHAR",
              "{dd}": "strftime(ts, '%d')", "{month}": month, "{y}": "year(ts)::VARCHAR"}
@@ -162,7 +162,7 @@ def _case(table, f=lambda v: "'" + v.replace("'", "''") + "'", col="lang"):
     return f"CASE {col} " + " ".join(f"WHEN '{k}' THEN {f(v)}" for k, v in table.items()) + " END"
 
 
-_names = lambda v: "[" + ",".join("'" + x + "'" for x in v.split(" ")) + "]"
+_names = lambda v: "[" + ",".join("'" + x + "'" for x in v) + "]"
 _replace_all = lambda text, lang: __import__("functools").reduce(lambda t, kv: f"replace({t}, '<{kv[0]}>', {_case(kv[1], col=lang)})", [
     ("persona", fixed.PERSONA_WORDS), ("devices", fixed.DEVICES_WORDS), ("services", fixed.SERVICES_WORDS), ("tools", fixed.TOOLS_WORDS),
     ("area", fixed.AREA_WORDS), ("user_instruction", fixed.INSTRUCTION_WORDS)], text)
