@@ -1,5 +1,4 @@
 """Structured content out of completion, prompt and response-log text."""
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +12,7 @@ ENTITY_ID = r"(\b\w+\.\w+)(?=\s'|\s=)"  # fixed value: an id before a quoted nam
 SERVICE_CALL = r"\b(\w+\.\w+)\([^)]*\)"  # fixed value: a service with its parameters
 # fixed value: a dotted host name with a top level of two letters or more
 HOST_NAME = r"^[a-z0-9]([a-z0-9\-]{0,61}[a-z0-9])?(\.[a-z0-9]([a-z0-9\-]{0,61}[a-z0-9])?)*\.[a-z]{2,}$"
+HEXTETS = "[0-9a-f]{1,4}(:[0-9a-f]{1,4}){0,7}"
 IPV4 = r"^((25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)$"
 
 
@@ -102,30 +102,25 @@ def extract_structured_output(df: DataFrame, validated: Column, method="method",
                 .when(kind == "tool", F.concat(F.lit(fixed.SCHEMA_ERRORS_TEXT), validated))})
 
 
-def _is_ipv6():
-    from pyspark.sql.types import BooleanType
-
-    def check(hosts: pd.Series) -> pd.Series:
-        import ipaddress
-
-        def one(h):
-            try:
-                ipaddress.IPv6Address(h)
-                return True
-            except ValueError:
-                return False
-        return hosts.map(one)
-    return F.pandas_udf(check, BooleanType())
+def is_ipv6(host: Column) -> Column:
+    """Whether a lower-case text is an IPv6 address, with a zone after % or an IPv4 address as its end allowed."""
+    zone = F.split(host, "%", -1)
+    address = F.regexp_replace(F.get(zone, F.lit(0)), ":" + IPV4.strip("^$") + r"\z", ":0:0")
+    halves = F.split(address, "::", -1)
+    full = (F.size(halves) == 1) & F.regexp_like(address, F.lit(rf"\A{HEXTETS}\z")) & (F.size(F.split(address, ":")) == 8)
+    # one :: stands for at least one group; a third colon stays with a half, which then doesn't match
+    groups = F.filter(F.flatten(F.transform(halves, lambda x: F.split(x, ":"))), lambda x: x != "")
+    short = (F.size(halves) == 2) & F.forall(halves, lambda x: (x == "") | F.regexp_like(x, F.lit(rf"\A{HEXTETS}\z"))) & (F.size(groups) <= 7)
+    zoned = (F.size(zone) == 1) | ((F.size(zone) == 2) & (F.get(zone, F.lit(1)) != ""))
+    return (full | short) & zoned & ~F.contains(host, F.lit("/"))
 
 
 def flag_valid_hosts(df: DataFrame, host="host") -> DataFrame:
-    """Add `valid_host`. Only hosts with a colon, possible IPv6 addresses, pass through Python."""
+    """Add `valid_host`, by expressions on the row alone."""
     h = F.lower(strip_ws(F.coalesce(F.col(host), F.lit(""))))
-    df = df.withColumn("_h", h)
-    plain = df.filter(~F.col("_h").contains(":")).withColumn("valid_host", F.coalesce(
-        (F.col("_h") == "localhost") | F.regexp_like("_h", F.lit(IPV4)) | F.regexp_like("_h", F.lit(HOST_NAME)), F.lit(False)))
-    colon = df.filter(F.col("_h").contains(":")).withColumn("valid_host", _is_ipv6()("_h"))
-    return plain.unionByName(colon).drop("_h")
+    df = compute_once(df, _h=h)
+    plain = (F.col("_h") == "localhost") | F.regexp_like("_h", F.lit(IPV4)) | F.regexp_like("_h", F.lit(HOST_NAME))
+    return df.withColumn("valid_host", F.coalesce(F.when(F.contains("_h", F.lit(":")), is_ipv6(F.col("_h"))).otherwise(plain), F.lit(False))).drop("_h")
 
 
 def host_of(url: Column) -> Column:

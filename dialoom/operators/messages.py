@@ -162,13 +162,17 @@ def split_marked_text(text: Column, marker: str):
     return F.concat(parts[0], F.lit(marker)), F.try_element_at(parts, F.lit(2))
 
 
-def context_budget_flags(prompts: DataFrame, limits: DataFrame, model="model", text="prompt",
-                         tokens_per_word=1.5) -> DataFrame:
-    """Flag prompts whose estimated token count passes the model's context size."""
-    words = F.size(F.filter(F.split(F.col(text), r"\s+"), lambda w: w != ""))
-    estimate = F.ceil(words * F.lit(tokens_per_word)).cast("bigint")
-    return prompts.join(limits, model, "left").withColumns({
-        "estimate": estimate, "too_long": F.coalesce(estimate > F.col("context_length"), F.lit(False))})
+def context_budget_flags(prompts: DataFrame, limits: DataFrame, model="model", text="prompt", tokens_per_word=1.5, tokens: Column | None = None) -> DataFrame:
+    """Flag prompts that pass the model's context size.
+
+    `tokens` is a tokenizer's count of the prompt, a column or a function's result; without it, or where it is null, the
+    count is estimated from the words. A null prompt has no tokens; a model without a limit flags nothing.
+    """
+    words = F.size(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda w: w != ""))
+    guess = F.ceil(words * F.lit(tokens_per_word)).cast("bigint")
+    estimate = guess if tokens is None else F.coalesce(tokens.cast("bigint"), guess)
+    counted = prompts.withColumn("estimate", estimate)  # before the join, so that the limits' columns can't hide those of `tokens`
+    return counted.join(limits, model, "left").withColumn("too_long", F.coalesce(F.col("estimate") > F.col("context_length"), F.lit(False)))
 
 
 def format_tool_results(results: DataFrame, style="text") -> DataFrame:

@@ -14,6 +14,7 @@ from dialoom import fixed
 from dialoom.functions.colors import nearest_color
 from dialoom.functions.draws import draw, draw_choice, draw_fraction, draw_hash, draw_int
 from dialoom.functions.ordered import dense_index, number_all
+from dialoom.functions.scan import scan
 from dialoom.functions.stage import stage
 from dialoom.functions.text import domain_of, lookup, placeholders, suffix_of
 
@@ -301,6 +302,21 @@ def merge_external_set(own_train: DataFrame, own_test: DataFrame, external: Data
     return mixed(own_train, external.filter(~held)), mixed(own_test, external.filter(held))
 
 
+def shuffled_shards(rows: DataFrame, seed, keys, shards: int) -> DataFrame:
+    """All rows in one seeded order: `position` from 0, and `shard`, 0 to shards - 1, of which no two differ by more than a row.
+
+    The order depends on the seed and the keys alone, not on partitions, files or retries: it is that of two 32-bit hashes
+    of the keys, then of the keys themselves. Rows with equal keys stand beside each other in any order. The rows are dealt
+    out by ranges of the hashes, so every task gets its share; no task sees all. Writing with partitionBy("shard") gives the files.
+    """
+    first, second = "_shuffle_1", "_shuffle_2"
+    dealt = rows.withColumns({first: draw_hash(seed, keys, "shuffle"), second: draw_hash(seed, keys, "shuffle2")})
+    placed = scan(dealt, [], [first, second, *keys], sums={"position": F.lit(1)}).drop(first, second).withColumn("position", F.col("position") - 1)
+    total = placed.agg(F.count(F.lit(1))).first()[0]
+    # in decimals, as position * shards may pass 64 bits
+    return placed.withColumn("shard", F.expr(f"CAST(CAST(position AS DECIMAL(20,0)) * {int(shards)} DIV {max(total, 1)} AS INT)"))
+
+
 def union_languages(*sets: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sets)
 

@@ -193,6 +193,10 @@ def w13_merge_external_set(spark, sf_dir):
     return digest(train, "train").unionByName(digest(test, "test"))
 
 
+def w13_shuffled_shards(spark, sf_dir):
+    return S.shuffled_shards(spark_input(spark, sf_dir, "documents").select("doc_id"), 42, ["doc_id"], 7)
+
+
 def w14_top_n_accepted(spark, sf_dir):
     rows = spark_input(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
     return S.top_n_accepted(rows, F.col("n_chars") > 200, 20, 42, ["doc_id"], ["lang"])
@@ -242,7 +246,7 @@ QUERIES = {f.__name__: f for f in (
     p9_compose_state, p25_sample_contexts, j1_pick_response, j2_report_missing_responses, j3_cross_personas, j4_pick_target_devices,
     j5_sample_context_devices, j5_sample_context_devices_similar, j10_map_service_to_tool, j11_tools_per_example, a7_stack_devices,
     a8_distinct_services, a9_expand_mix_factors, a10_mix_report, a11_join_sub_answers, w9_insert_at_position, w10_ordered_dedup,
-    w12_union_languages, w13_merge_external_set, w14_top_n_accepted, g1_static_examples, g2_templated_examples, g3_status_examples,
+    w12_union_languages, w13_merge_external_set, w13_shuffled_shards, w14_top_n_accepted, g1_static_examples, g2_templated_examples, g3_status_examples,
     g4_failure_examples, g5_refusal_examples, g6_build_sft, g6_missing_responses)}
 
 
@@ -398,6 +402,8 @@ ORACLES = {
     "w13_merge_external_set": f"""WITH q AS (SELECT doc_id, text, CASE WHEN {FR('split', 'doc_id')} < 0.1::DOUBLE THEN 'test' ELSE 'train' END AS split FROM documents
         UNION ALL SELECT item_id + 1000000, text, 'train' FROM benchmark UNION ALL SELECT page_id + 2000000, html, 'test' FROM pages)
       SELECT doc_id, md5(text) AS digest, {H('shuffle', 'doc_id')} AS shuffle_key, split FROM q""",
+    "w13_shuffled_shards": f"""SELECT doc_id, position, (position * 7 // n)::INT AS shard
+      FROM (SELECT doc_id, row_number() OVER (ORDER BY {H('shuffle', 'doc_id')}, {H('shuffle2', 'doc_id')}, doc_id) - 1 AS position, count(*) OVER () AS n FROM documents)""",
     "w14_top_n_accepted": f"SELECT doc_id, lang, n_chars FROM documents WHERE n_chars > 200 QUALIFY row_number() OVER (PARTITION BY lang ORDER BY {H('accept', 'doc_id')}, doc_id) <= 20",
     "g1_static_examples": with_inputs("pile_actions", "pile_responses", tail=RESP + f""", base AS (SELECT *, split_part(service_name, '.', 1) || '.' || device_name AS target, service_name AS service, 0 AS short, '' AS vars, {TOOL} AS tool FROM pile_actions),
       picked AS ({_pick('base', ('w.row_id',), 'w.*')})""") + f"""SELECT row_id, lower(replace({'replace(phrase, ' + chr(39) + '<temp_c>' + chr(39) + ', ' + P('temp_c', RI) + ')'}, '<device_name>', target)) AS question,

@@ -54,6 +54,18 @@ def t4_session_stream(spark, sf_dir):
     return got.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("last_event").cast("timestamp_ntz").alias("last_event"), "n")
 
 
+def t4_sessions_keeping_late(spark, sf_dir):
+    """Every tenth event comes in a second run, most of them too late for their sessions."""
+    T.use_rocksdb(spark)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    source, folder = stage_dir(spark), stage_dir(spark)
+    for part in (events.where("event_id % 10 <> 0"), events.where("event_id % 10 = 0")):
+        part.write.mode("append").parquet(source)
+        got = T.run_to_table(T.session_stream_keeping_late(spark.readStream.schema(events.schema).parquet(source), "user_id", "ts", 6 * 3600, "1 hour"), folder=folder)
+    return got.select("user_id", "kind", F.col("start").cast("timestamp_ntz").alias("start"), F.col("last_event").cast("timestamp_ntz").alias("last_event"), "n",
+                      F.get_json_object("row", "$.event_id").cast("bigint").alias("event_id"))
+
+
 def t5_stream_dead_letters(spark, sf_dir):
     good, bad = T.stream_dead_letters(_stream_of(spark_input(spark, sf_dir, "stream_texts")), ["msg_id"])
     return good.select("msg_id", "call_pos", "tool_name", "args").unionByName(bad.select("msg_id", "call_pos", "part", "role", "content"), allowMissingColumns=True)
@@ -64,11 +76,17 @@ def w8_link_sessions(spark, sf_dir):
     return link_sessions(rows, "user_id", "ts", 3 * 3600, "event_id")
 
 
-QUERIES = {f.__name__: f for f in (w8_link_sessions, t1_latest_state_stream, t2_throttle_refresh, t3_parse_completion_stream, t4_session_stream, t5_stream_dead_letters)}
+QUERIES = {f.__name__: f for f in (w8_link_sessions, t1_latest_state_stream, t2_throttle_refresh, t3_parse_completion_stream, t4_session_stream, t4_sessions_keeping_late, t5_stream_dead_letters)}
 
 _OPEN = "completion || CASE WHEN contains(regexp_replace(completion, '<tool_call>(.*?)</tool_call>', '', 'gs'), '<tool_call>') THEN '</tool_call>' ELSE '' END"
 _T5 = BLOCKS.replace("conv_id, turn", "msg_id").replace("CASE WHEN has_api THEN ", "").replace(" ELSE [] END AS raw_calls", " AS raw_calls").replace("FROM completions", "FROM stream_texts") \
     + "," + sql_normalize("calls", keep="msg_id, call_pos, raw_call")
+def _numbered(rows):
+    """`sid` numbers the stretches of a user's events that are less than six hours apart, in DuckDB."""
+    apart = "CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOURS THEN 0 ELSE 1 END"
+    return f"SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts) AS sid FROM (SELECT *, {apart} AS b FROM ({rows}))"
+
+
 ORACLES = {
     "w8_link_sessions": """WITH l AS (SELECT event_id, user_id, ts, coalesce(ts - lag(ts) OVER w < INTERVAL 3 HOURS, false) AS linked FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
       SELECT *, CAST(sum(CASE WHEN linked THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS session FROM l""",
@@ -82,6 +100,13 @@ ORACLES = {
     "t4_session_stream": """WITH l AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOURS THEN 0 ELSE 1 END AS b FROM events),
       s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts) AS sid FROM l)
       SELECT user_id, min(ts) AS start, max(ts) AS last_event, count(*) AS n FROM s GROUP BY user_id, sid HAVING max(ts) + INTERVAL 6 HOURS <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
+    "t4_sessions_keeping_late": f"""WITH seen AS (SELECT max(ts) FILTER (WHERE event_id % 10 <> 0) - INTERVAL 1 HOUR AS w1, max(ts) - INTERVAL 1 HOUR AS w2 FROM events),
+      e AS (SELECT event_id, user_id, ts, event_id % 10 = 0 AS second, event_id % 10 = 0 AND ts + INTERVAL 6 HOURS <= w1 AS late, w1, w2 FROM events, seen),
+      first_run AS (SELECT *, max(ts) OVER (PARTITION BY user_id, sid) + INTERVAL 6 HOURS <= w1 AS closed FROM ({_numbered("SELECT * FROM e WHERE NOT second")})),
+      still AS (SELECT user_id, ts, w2 FROM first_run WHERE NOT closed UNION ALL SELECT user_id, ts, w2 FROM e WHERE second AND NOT late)
+      SELECT user_id, 'session' AS kind, min(ts) AS start, max(ts) AS last_event, count(*) AS n, NULL::BIGINT AS event_id FROM first_run WHERE closed GROUP BY user_id, sid
+      UNION ALL SELECT user_id, 'session', min(ts), max(ts), count(*), NULL FROM ({_numbered("SELECT * FROM still")}) GROUP BY user_id, sid, w2 HAVING max(ts) + INTERVAL 6 HOURS <= w2
+      UNION ALL SELECT user_id, 'late', ts, ts, 1, event_id FROM e WHERE late""",
     "t5_stream_dead_letters": with_inputs("stream_texts", tail=_T5) + """SELECT msg_id, call_pos, tool_name, args, NULL AS part, NULL AS role, NULL AS content FROM normalized WHERE error IS NULL
       UNION ALL SELECT msg_id, call_pos, NULL, NULL, part, CASE part WHEN 0 THEN 'assistant' ELSE 'tool_result' END,
         CASE part WHEN 0 THEN '[{"args":{},"name":"unknown"}]' ELSE '{"error":' || to_json('Error occurred calling tool with args=''' || raw_call || ''': ' || error)::VARCHAR || '}' END

@@ -13,10 +13,14 @@ from dialoom.operators.completions import dead_letter_calls, explode_calls, extr
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def run_to_table(stream: DataFrame, mode="append") -> DataFrame:
-    """Run a stream over all available input and return what it wrote, with the batch id of each row."""
+def run_to_table(stream: DataFrame, mode="append", folder: str | None = None) -> DataFrame:
+    """Run a stream over all available input and return what it wrote, with the batch id of each row.
+
+    With a `folder` in shared storage a later run goes on where the last one ended, and the result is that of all runs.
+    """
     spark = stream.sparkSession
-    path, checkpoint = stage_dir(spark), stage_dir(spark)
+    folder = folder or stage_dir(spark)
+    path, checkpoint = f"{folder}/rows", f"{folder}/checkpoint"
 
     def save(batch, batch_id):
         # a repeated batch overwrites its own folder, so retries leave no duplicates
@@ -41,11 +45,98 @@ def newest_version(table: DataFrame, entity="entity_id") -> DataFrame:
 
 
 def session_stream(events: DataFrame, key: str, ts: str, gap: str, delay: str) -> DataFrame:
-    """Closed gap sessions per key; a row later than the delay is dropped."""
+    """Closed gap sessions per key; a row later than the delay is dropped (`session_stream_keeping_late` keeps it)."""
     return events.withWatermark(ts, delay).groupBy(key, F.session_window(ts, gap).alias("w")).agg(
         F.count(F.lit(1)).alias("n"), F.max(ts).alias("last_event")).select(key, F.col("w.start").alias("start"), "last_event", "n")
 
 
+def session_stream_keeping_late(events: DataFrame, key: str, ts: str, gap_seconds: int, delay: str) -> DataFrame:
+    """As `session_stream`, but no row vanishes: key, kind, start, last_event, n, row.
+
+    Kind `session` is a closed gap session. Kind `late` is a row that came when the watermark had passed its time plus the gap, or
+    that has no time; `row` holds all its columns as JSON, n is 1. So the rows of a finished key are the sum of n. Rows may come in any order
+    inside the delay: a row between two open sessions joins them. A closed session is final; a row that isn't late but within
+    the gap of a closed session begins another. The state of a key is its open sessions, three numbers each, and goes away with the
+    last of them; rows are taken in Arrow batch by Arrow batch, so a key with very many rows needs no more memory than others.
+    Needs the RocksDB state store.
+    """
+    import numpy as np
+    from pyspark.sql.streaming import StatefulProcessor
+
+    gap, untimed = gap_seconds * 1_000_000, -(1 << 63)
+
+    def merged(starts, lasts, counts):
+        """Sorted sessions out of stretches in any order."""
+        order = np.argsort(starts, kind="stable")
+        starts, lasts, counts = starts[order], lasts[order], counts[order]
+        reach = np.maximum.accumulate(lasts)
+        first = np.flatnonzero(np.append(True, starts[1:] - reach[:-1] >= gap))
+        return starts[first], np.maximum.reduceat(lasts, first), np.add.reduceat(counts, first)
+
+    class Sessions(StatefulProcessor):
+        def init(self, handle):
+            self.handle = handle
+            self.open = handle.getListState("open", "start bigint, last bigint, n bigint")
+
+        def _held(self):
+            rows = list(self.open.get()) if self.open.exists() else []
+            return np.array([[int(x) for x in r] for r in rows], np.int64).reshape(-1, 3).T
+
+        def _save(self, held):
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            if not held.shape[1]:
+                self.open.clear()
+                return
+            self.open.put([tuple(int(x) for x in row) for row in held.T])
+            # a timer goes off when the watermark is beyond it: one millisecond before the first session may close
+            self.handle.registerTimer(-(-int(held[1].min() + gap) // 1000) - 1)
+
+        def _frame(self, key, kind, starts, lasts, counts, rows=None):
+            import pandas as pd
+            n = len(starts)
+            times = {"start": starts, "last_event": lasts, "n": counts}
+            made = {name: pd.array(x, dtype="Int64") for name, x in times.items()}
+            for name in ("start", "last_event"):
+                made[name][np.asarray(starts) == untimed] = pd.NA
+            return pd.DataFrame({"k": pd.Series([key[0]] * n, dtype="object"), "kind": pd.Series([kind] * n, dtype="object"), **made,
+                                 "row": pd.Series([None] * n if rows is None else rows, dtype="object")})
+
+        def handleInputRows(self, key, rows, timerValues):
+            limit = timerValues.getCurrentWatermarkInMs() * 1000  # 0: no row has been seen yet
+            held, changed = self._held(), False
+            for batch in rows:
+                at = batch["us"].to_numpy(np.int64)
+                late = at == untimed
+                if limit > 0:
+                    late |= at <= limit - gap
+                if late.any():
+                    yield self._frame(key, "late", at[late], at[late], np.ones(int(late.sum()), np.int64), batch["row"][late].tolist())
+                at = at[~late]
+                if len(at):
+                    held, changed = np.stack(merged(*np.concatenate([held, np.stack([at, at, np.ones(len(at), np.int64)])], axis=1))), True
+            if changed:
+                self._save(held)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            limit = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs() + 1) * 1000
+            held = self._held()
+            over = held[1] + gap <= limit
+            self._save(held[:, ~over])
+            yield self._frame(key, "session", *held[:, over])
+
+        def close(self):
+            pass
+
+    # without the time column itself Spark doesn't filter late rows; the query keeps its watermark
+    timed = events.withWatermark(ts, delay).select(F.col(key).alias("k"), F.coalesce(F.unix_micros(F.col(ts).cast("timestamp")), F.lit(untimed)).alias("us"),
+                                                   F.to_json(F.struct(*events.columns)).alias("row"))
+    out = timed.groupBy("k").transformWithStateInPandas(
+        statefulProcessor=Sessions(), outputStructType=f"k {timed.schema['k'].dataType.simpleString()}, kind string, start bigint, last_event bigint, n bigint, row string",
+        outputMode="append", timeMode="eventTime")
+    return out.select(F.col("k").alias(key), "kind", F.timestamp_micros("start").alias("start"), F.timestamp_micros("last_event").alias("last_event"), "n", "row")
+
+
 def throttle_refresh(changes: DataFrame, key: str, ts: str, interval_seconds: int, delay="0 seconds") -> DataFrame:
     """At most one refresh per interval and key: `refresh_at`, `kind` leading or trailing.
 
