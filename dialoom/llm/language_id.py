@@ -1,8 +1,8 @@
 """Language identification with language-bitmask n-gram filters.
 
-One Bloom filter serves all languages: a slot holds a word of bits, one per language (the filters of all
-languages, bit-sliced). Looking up an n-gram ANDs its slots, which gives the set of languages that contain
-it at once. A document counts, per language, how many of its letters stand in the middle of a contained
+One Bloom filter serves all languages: a slot holds one bit per language, in as many 64-bit words as the languages
+need (the filters of all languages, bit-sliced). Looking up an n-gram ANDs its slots, which gives the set of
+languages that contain it at once. A document counts, per language, how many of its letters stand in the middle of a contained
 trigram; the count is corrected for the filter's false positives, and the highest corrected share wins.
 
 Trigrams are of lower-cased letters, and everything else counts as one blank, so each letter of a text is
@@ -82,29 +82,27 @@ def trigram_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
 
 
 class Model:
-    """langs: sorted languages; slots: the bit-sliced filter; wrong: false-positive rate per language."""
+    """langs: sorted languages; slots: the bit-sliced filter, a row of slots for each 64 languages; wrong: false-positive rate per language."""
 
     def __init__(self, langs, slots, hashes):
-        self.langs, self.slots, self.hashes = langs, slots, hashes
-        bits = [float(np.mean((slots >> np.uint64(i)) & np.uint64(1))) for i in range(len(langs))]
+        self.langs, self.slots, self.hashes = langs, np.atleast_2d(slots), hashes
+        bits = [float(np.mean((self.slots[i // 64] >> np.uint64(i % 64)) & np.uint64(1))) for i in range(len(langs))]
         self.wrong = np.array([b ** hashes for b in bits])
 
-    def masks(self, gram: np.ndarray) -> np.ndarray:
-        """The languages that contain each trigram, as bits."""
-        found = None
-        for j in range(self.hashes):
-            slot = self.slots[(mix(gram, j + 1) & np.uint64(len(self.slots) - 1)).astype(np.int64)]
-            found = slot if found is None else found & slot
-        return found
+    def masks(self, gram: np.ndarray) -> Iterator[np.ndarray]:
+        """The languages that contain each trigram, as bits, 64 languages at a time."""
+        at = [(mix(gram, j + 1) & np.uint64(self.slots.shape[1] - 1)).astype(np.int64) for j in range(self.hashes)]
+        for word in self.slots:
+            yield functools.reduce(np.bitwise_and, (word[a] for a in at))
 
     def shares(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """Letters of each text, and the corrected share per language."""
         n, hits = np.zeros(len(texts)), np.zeros((len(texts), len(self.langs)))
         for owner, gram in _pieces(texts):
             n += np.bincount(owner, minlength=len(texts))
-            mask = self.masks(gram)
-            for i in range(len(self.langs)):
-                hits[:, i] += np.bincount(owner[(mask >> np.uint64(i)) & np.uint64(1) == 1], minlength=len(texts))
+            for w, mask in enumerate(self.masks(gram)):
+                for i in range(64 * w, min(64 * w + 64, len(self.langs))):
+                    hits[:, i] += np.bincount(owner[(mask >> np.uint64(i % 64)) & np.uint64(1) == 1], minlength=len(texts))
         share = hits / np.maximum(n, 1)[:, None]
         return n, np.clip((share - self.wrong) / np.maximum(1 - self.wrong, 1e-9), 0, 1)
 
@@ -115,7 +113,7 @@ def fit(docs: DataFrame, text="text", lang="lang", min_share=1e-5, contrast=0.1,
     A trigram enters a language's filter if it makes up at least `min_share` of that language's trigrams and
     at least `contrast` of its highest share in any language (else stray foreign words would enter). So the
     driver receives at most 1/min_share trigrams per language, whatever the input's size, and the filter has
-    2**bits slots of 64 bits (up to 64 languages).
+    2**bits slots of one bit per language, rounded up to whole words: 2 MB for each 64 languages.
     """
     counts = trigram_counts(docs, text, lang)
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
@@ -123,13 +121,14 @@ def fit(docs: DataFrame, text="text", lang="lang", min_share=1e-5, contrast=0.1,
     best = share.groupBy("gram").agg(F.collect_list(F.struct("lang", "share")).alias("in"), F.max("share").alias("top"))
     kept = best.select("gram", F.expr(f"transform(filter(in, x -> x.share >= {contrast} * top), x -> x.lang)").alias("langs")).toArrow()
     langs = sorted({x for xs in kept.column("langs").to_pylist() for x in xs})
-    if len(langs) > 64:
-        raise ValueError("a filter holds up to 64 languages")
-    slots = np.zeros(1 << bits, dtype=np.uint64)
+    slots = np.zeros((-(-len(langs) // 64), 1 << bits), dtype=np.uint64)
     grams = kept.column("gram").to_numpy().astype(np.int64).view(np.uint64)
-    mask = np.array([sum(1 << langs.index(x) for x in xs) for xs in kept.column("langs").to_pylist()], dtype=np.uint64)
-    for j in range(hashes):
-        np.bitwise_or.at(slots, (mix(grams, j + 1) & np.uint64(len(slots) - 1)).astype(np.int64), mask)
+    place = {lang: i for i, lang in enumerate(langs)}
+    sets = [sum(1 << place[x] for x in xs) for xs in kept.column("langs").to_pylist()]
+    for w, word in enumerate(slots):
+        mask = np.array([(x >> 64 * w) & 0xFFFFFFFFFFFFFFFF for x in sets], dtype=np.uint64)
+        for j in range(hashes):
+            np.bitwise_or.at(word, (mix(grams, j + 1) & np.uint64(word.size - 1)).astype(np.int64), mask)
     return Model(langs, slots, hashes)
 
 

@@ -7,7 +7,8 @@ half, score the other half; isotonic regression on those scores calibrates the f
 
 Null and empty texts have all features zero and get the score of such texts. With one label only (or none) every
 score is the labels' mean (0.5 without labels). Labels that are null or whose document is missing teach nothing.
-Repeated rows get equal scores; several labels for one document all count.
+Repeated rows, and texts with equal features, get equal scores; several labels for one document all count. Very long texts
+are read as a whole, one at a time.
 """
 from collections.abc import Iterator
 
@@ -19,7 +20,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import byte_texts, id_remainder, stage
+from dialoom.llm.common import byte_texts, fresh, id_remainder, stage
 
 # Insults and second-person words of four languages, in lower case.
 INSULTS = """idiot stupid moron dumb fool loser scum trash garbage pathetic worthless disgusting clown jerk bastard
@@ -110,12 +111,14 @@ class Model:
         self.lexicon, self.forest, self.isotonic, self.constant = lexicon, forest, isotonic, constant
 
     def score(self, docs: DataFrame) -> DataFrame:
-        """All columns of `docs` plus toxicity (0 to 1)."""
+        """All columns of `docs` plus toxicity (0 to 1), whatever they are called; where `docs` has that name, with `_` added."""
+        name = fresh(docs, "toxicity")
         if self.constant is not None:
-            return docs.withColumn("toxicity", F.lit(float(self.constant)))
-        made = docs.withColumn("_x", array_to_vector(feature_column(docs.sparkSession, self.lexicon, F.col("text"))))
-        raw = _scored(self.forest, made)
-        return self.isotonic.transform(raw).withColumn("toxicity", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "_iso"))).drop("_x", "_raw", "_iso")
+            return docs.withColumn(name, F.lit(float(self.constant)))
+        # the caller's columns travel in one struct, so that none meets those of the models
+        made = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), array_to_vector(feature_column(docs.sparkSession, self.lexicon, F.col("text"))).alias("_x"))
+        found = self.isotonic.transform(_scored(self.forest, made))
+        return found.select("_row.*", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "_iso")).alias(name))
 
 
 def _scored(forest, df: DataFrame) -> DataFrame:

@@ -52,6 +52,32 @@ def test_false_positives_are_corrected():
     assert np.allclose(share, 0)
 
 
+def test_two_hundred_languages_and_ties(spark):
+    """Each language has its own letters; two have the same, and the first of them wins."""
+    letters = [chr(0x4E00 + 4 * i + k) for i in range(200) for k in range(4)]
+    r, rows = random.Random(8), []
+    for i in range(200):
+        for k in range(8):
+            rows.append((8 * i + k, "".join(r.choice(letters[4 * i:4 * i + 4]) for _ in range(200)), f"l{i:03d}"))
+    rows += [(10_000 + d, t, "twin") for d, t, lang in rows if lang == "l000"]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language_id.fit(docs)
+    assert len(model.langs) == 201 and model.slots.shape[0] == 4
+    got = docs.where("lang <> 'twin'").select("lang", language_id.predict(spark, model, F.col("text")).alias("p")).collect()
+    assert len(got) == 1600 and all(x.p.lang_pred == x.lang for x in got)
+
+
+def test_clashing_columns_stay(labelled):
+    docs, marks = labelled
+    model = toxicity.fit(docs, marks)
+    names = ["_x", "_raw", "_iso", "toxicity", "_row", "_margin", "_probability", "_class", "odd.name"]
+    got = model.score(docs.withColumns({n: F.lit(n) for n in names}))
+    assert got.columns == [*docs.columns, *names, "toxicity_"]
+    assert all(r[n] == n for r in got.collect() for n in names) and {0.0 <= r["toxicity_"] <= 1.0 for r in got.collect()} == {True}
+    plain = {r.doc_id: r.toxicity for r in model.score(docs).collect()}
+    assert plain == {r.doc_id: r["toxicity_"] for r in got.collect()}
+
+
 def test_pieces_of_long_texts(monkeypatch):
     texts = ["Ab c", "", "éÉ" * 30, None, "x1y"]
     whole = [(int(o), int(g)) for os, gs in language_id._pieces(texts) for o, g in zip(os, gs)]
