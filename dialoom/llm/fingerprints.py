@@ -1,7 +1,7 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraphs, with DataFrame functions only.
 
-A text is cut at line ends and after sentences that end in a, e or o (so that an edit moves no other cut), and each
-different paragraph gets a 64-bit digest. A sketch has three thirds of `third` cells; a digest goes to one cell of each
+A text is cut at line ends and after sentences that end in a, e or o (half the paragraphs, and cells, that cutting after
+every sentence would give), and each different paragraph gets a 64-bit digest. A sketch has three thirds of `third` cells; a digest goes to one cell of each
 third, and a cell holds the number of its digests, their XOR and the XOR of their check values. Subtracting two
 sketches cell by cell leaves those of the differing digests; a cell with a single digest is recognised by its check,
 yields it, and the digest is taken out of its other cells, until all cells are empty. If that stops early, the sketch
