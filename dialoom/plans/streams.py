@@ -38,6 +38,32 @@ def t2_throttle_refresh(spark, sf_dir):
     return got.select("user_id", F.col("refresh_at").cast("timestamp_ntz").alias("refresh_at"), "kind")
 
 
+def _halves(spark, sf_dir):
+    """The events in two tables: the first half of the time they span, and the rest."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    span = events.select(F.timestamp_micros(((F.unix_micros(F.min("ts")) + F.unix_micros(F.max("ts"))) / 2).cast("bigint"))).scalar()
+    return events.where(F.col("ts") <= span), events.where(F.col("ts") > span)
+
+
+def t1_latest_state_from_table(spark, sf_dir):
+    """The first half of the events in one run; a new checkpoint takes that run's table for its start and sees the second half only."""
+    changes = lambda df: _stream_of(df.select(F.col("user_id").alias("entity_id"), F.struct("event_id", "event_type").alias("state"), F.struct("ts", "event_id").alias("ts")))
+    first, second = _halves(spark, sf_dir)
+    table = T.newest_version(T.run_to_table(T.latest_state_stream(changes(first)), "update"))
+    got = T.newest_version(T.run_to_table(T.latest_state_stream(changes(second), initial=_stream_of(table)), "update"))
+    return got.select("entity_id", F.col("state.event_type").alias("state"), F.col("last_update.ts").cast("timestamp_ntz").alias("last_update"))
+
+
+def t2_throttle_from_table(spark, sf_dir):
+    """As t2_throttle_refresh, stopped after the first half of the events and taken up with a new checkpoint from what it had written."""
+    T.use_rocksdb(spark)
+    first, second = _halves(spark, sf_dir)
+    one = T.run_to_table(T.throttle_refresh(_stream_of(first), "user_id", "ts", 6 * 3600))
+    state = stage(T.throttle_state(one, first, "user_id", "ts"))
+    two = T.run_to_table(T.throttle_refresh(_stream_of(second), "user_id", "ts", 6 * 3600, initial=state))
+    return one.unionByName(two).select("user_id", F.col("refresh_at").cast("timestamp_ntz").alias("refresh_at"), "kind")
+
+
 def t3_parse_completion_stream(spark, sf_dir):
     T.use_rocksdb(spark)
     texts = spark_input(spark, sf_dir, "stream_texts").withColumn("n", F.ceil(F.length("completion") / 7))
@@ -76,7 +102,7 @@ def w8_link_sessions(spark, sf_dir):
     return link_sessions(rows, "user_id", "ts", 3 * 3600, "event_id")
 
 
-QUERIES = {f.__name__: f for f in (w8_link_sessions, t1_latest_state_stream, t2_throttle_refresh, t3_parse_completion_stream, t4_session_stream, t4_sessions_keeping_late, t5_stream_dead_letters)}
+QUERIES = {f.__name__: f for f in (w8_link_sessions, t1_latest_state_stream, t1_latest_state_from_table, t2_throttle_refresh, t2_throttle_from_table, t3_parse_completion_stream, t4_session_stream, t4_sessions_keeping_late, t5_stream_dead_letters)}
 
 _OPEN = "completion || CASE WHEN contains(regexp_replace(completion, '<tool_call>(.*?)</tool_call>', '', 'gs'), '<tool_call>') THEN '</tool_call>' ELSE '' END"
 _T5 = BLOCKS.replace("conv_id, turn", "msg_id").replace("CASE WHEN has_api THEN ", "").replace(" ELSE [] END AS raw_calls", " AS raw_calls").replace("FROM completions", "FROM stream_texts") \
@@ -112,3 +138,5 @@ ORACLES = {
         CASE part WHEN 0 THEN '[{"args":{},"name":"unknown"}]' ELSE '{"error":' || to_json('Error occurred calling tool with args=''' || raw_call || ''': ' || error)::VARCHAR || '}' END
       FROM normalized, (VALUES (0), (1)) v(part) WHERE error IS NOT NULL""",
 }
+# stopping and going on from the table changes no row
+ORACLES |= {"t1_latest_state_from_table": ORACLES["t1_latest_state_stream"], "t2_throttle_from_table": ORACLES["t2_throttle_refresh"]}

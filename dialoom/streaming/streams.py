@@ -32,8 +32,14 @@ def run_to_table(stream: DataFrame, mode="append", folder: str | None = None) ->
     return spark.read.schema(schema).parquet(path)
 
 
-def latest_state_stream(changes: DataFrame, entity="entity_id", state="state", ts="ts") -> DataFrame:
-    """Latest state and update time per entity; run in update mode."""
+def latest_state_stream(changes: DataFrame, entity="entity_id", state="state", ts="ts", initial: DataFrame | None = None) -> DataFrame:
+    """Latest state and update time per entity; run in update mode.
+
+    `initial`, a stream over the table of an earlier run (entity, state, last_update), makes a new checkpoint go on from there: its rows count as
+    changes at their last update, so the order in which the two sources are read doesn't matter, and the aggregate stays a native one.
+    """
+    if initial is not None:
+        changes = changes.select(entity, state, ts).unionByName(initial.select(entity, state, F.col("last_update").alias(ts)))
     return changes.groupBy(entity).agg(F.max_by(state, ts).alias(state), F.max(ts).alias("last_update"))
 
 
@@ -137,11 +143,25 @@ def session_stream_keeping_late(events: DataFrame, key: str, ts: str, gap_second
     return out.select(F.col("k").alias(key), "kind", F.timestamp_micros("start").alias("start"), F.timestamp_micros("last_event").alias("last_event"), "n", "row")
 
 
-def throttle_refresh(changes: DataFrame, key: str, ts: str, interval_seconds: int, delay="0 seconds") -> DataFrame:
+def throttle_state(refreshes: DataFrame, changes: DataFrame, key: str, ts: str) -> DataFrame:
+    """What `throttle_refresh` knew when it stopped, from its own table and the changes it had seen: key, refresh_at, pending.
+
+    A change behind the last refresh that has led to none waits for the end of the cooldown. Both sides are reduced to one row per key
+    before they meet; a key without a refresh, a NULL key too, had no change with a time.
+    """
+    last = refreshes.groupBy(F.col(key).alias("k")).agg(F.max("refresh_at").alias("refresh_at"))
+    seen = changes.groupBy(F.col(key).alias("k")).agg(F.max(ts).alias("seen"))
+    both = last.withColumnRenamed("k", "own").join(seen, F.col("own").eqNullSafe(F.col("k")), "left")
+    return both.select(F.col("own").alias(key), "refresh_at", F.coalesce(F.col("seen") > F.col("refresh_at"), F.lit(False)).alias("pending"))
+
+
+def throttle_refresh(changes: DataFrame, key: str, ts: str, interval_seconds: int, delay="0 seconds", initial: DataFrame | None = None) -> DataFrame:
     """At most one refresh per interval and key: `refresh_at`, `kind` leading or trailing.
 
     A change outside the cooldown refreshes at once; changes inside it share one refresh at its end.
-    Needs the RocksDB state store.
+    `initial` (key, refresh_at, pending; see `throttle_state`), a written table with one row per key, is the state a new checkpoint begins with: what was pending is
+    refreshed at the end of its cooldown also if its key sees no further change. Spark reads it in the first micro-batch only.
+    A change without a time is left out. Needs the RocksDB state store.
     """
     from pyspark.sql.streaming import StatefulProcessor
 
@@ -177,9 +197,16 @@ def throttle_refresh(changes: DataFrame, key: str, ts: str, interval_seconds: in
                 self.handle.deleteTimer(timer)
             if pending:
                 self.handle.registerTimer((at + step) // 1000)
-            self.last.update((at, pending))
+            if at is not None:
+                self.last.update((at, pending))
             yield self._frame(key, out)
 
+        def handleInitialState(self, key, initialState, timerValues):
+            at, pending = int(initialState["us"].iloc[0]), bool(initialState["pending"].iloc[0])
+            self.last.update((at, pending))
+            if pending:
+                self.handle.registerTimer((at + step) // 1000)
+
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
             state = self.last.get()
             rows = []
@@ -191,9 +218,10 @@ def throttle_refresh(changes: DataFrame, key: str, ts: str, interval_seconds: in
         def close(self):
             pass
 
-    timed = changes.select(F.col(key).alias("k"), F.col(ts).alias("at_ts"), F.unix_micros(ts).alias("us")).withWatermark("at_ts", delay)
+    timed = changes.where(F.col(ts).isNotNull()).select(F.col(key).alias("k"), F.col(ts).alias("at_ts"), F.unix_micros(ts).alias("us")).withWatermark("at_ts", delay)
+    start = None if initial is None else initial.select(F.col(key).alias("k"), F.unix_micros(F.col("refresh_at").cast("timestamp")).alias("us"), "pending").groupBy("k")
     out = timed.groupBy("k").transformWithStateInPandas(
-        statefulProcessor=Throttle(), outputStructType=f"k {timed.schema['k'].dataType.simpleString()}, at bigint, kind string", outputMode="append", timeMode="eventTime")
+        statefulProcessor=Throttle(), initialState=start, outputStructType=f"k {timed.schema['k'].dataType.simpleString()}, at bigint, kind string", outputMode="append", timeMode="eventTime")
     return out.select(F.col("k").alias(key), F.timestamp_micros("at").alias("refresh_at"), "kind")
 
 
