@@ -115,6 +115,16 @@ def j15_parse_by_model_rules(spark, sf_dir):
     return got.select("conv_id", "turn", F.array_join("raw_calls", "\n").alias("raw_calls"), "body")
 
 
+def j15_apply_rule_table(spark, sf_dir):
+    """A rule for every supplier, met by every customer's name."""
+    suppliers = spark_input(spark, sf_dir, "supplier")
+    rules = suppliers.select((-F.col("s_suppkey")).alias("pos"), F.col("s_suppkey").cast("string").alias("key"), F.explode(F.array(
+        F.struct(F.lit("nation").alias("option"), F.col("s_nationkey").cast("string").alias("value")), F.struct(F.lit("top_k").alias("option"), F.col("s_suppkey").cast("string").alias("value")))).alias("o")).select("pos", "key", "o.*")
+    names = spark_input(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("model"))
+    got = V.apply_rule_table(names, rules, defaults={"top_k": "40", "top_p": "1"})
+    return got.select("c_custkey", "rule", *[F.try_element_at("options", F.lit(k)).alias(k) for k in ("nation", "top_k", "top_p")])
+
+
 def a12_join_schema_errors(spark, sf_dir):
     rows = spark_input(spark, sf_dir, "part").withColumn("errors", F.filter(F.array(
         F.when(F.col("p_size") > 20, "size"), F.when(F.col("p_retailprice") > 1000, F.concat(F.lit("price of "), "p_name")), F.when(F.col("p_partkey") % 2 == 0, "even")), lambda e: e.isNotNull()))
@@ -134,7 +144,7 @@ def s11_skip_done_outputs(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     x4_extract_fenced_calls, x4_extract_bare_json, x5_extract_prompt_entities, x6_extract_provider_responses, x7_parse_sse_lines, x8_extract_structured_output,
-    j12_list_service_tools, j13_validate_tool_calls, j13_service_call_data, j14_canonicalize_service_names, j15_apply_model_rules, j15_parse_by_model_rules,
+    j12_list_service_tools, j13_validate_tool_calls, j13_service_call_data, j14_canonicalize_service_names, j15_apply_model_rules, j15_parse_by_model_rules, j15_apply_rule_table,
     a12_join_schema_errors, p24_flag_valid_hosts, s11_skip_done_outputs)}
 
 _OBJ = lambda x: f"(json_valid({x}) AND starts_with(trim({x}), '{{') AND ends_with(trim({x}), '}}'))"
@@ -190,6 +200,8 @@ ORACLES = {
     "p24_flag_valid_hosts": f"""WITH h AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS host FROM pages UNION ALL
         SELECT -page_id - 1, ['10.0.0.1', '010.0.0.1', '-bad.example.com', 'a_b.example.com', 'localhost', 'example', 'x.y1'][page_id % 7 + 1] FROM pages)
       SELECT page_id, host, host = 'localhost' OR regexp_matches(host, '{X.IPV4}') OR regexp_matches(host, '{X.HOST_NAME}') AS valid_host FROM h""",
+    "j15_apply_rule_table": """WITH r AS (SELECT c_custkey, (SELECT max(s_suppkey) FROM supplier WHERE contains(lower(c_name), CAST(s_suppkey AS VARCHAR))) AS k FROM customer)
+      SELECT c_custkey, CAST(k AS VARCHAR) AS rule, CAST(s_nationkey AS VARCHAR) AS nation, coalesce(CAST(k AS VARCHAR), '40') AS top_k, '1' AS top_p FROM r LEFT JOIN supplier ON s_suppkey = k""",
     "s11_skip_done_outputs": "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
 }
 ORACLES["x4_extract_bare_json"] = ORACLES["x4_extract_bare_json"].replace("{{", "{").replace("}}", "}").replace("\\{\\{", "\\{")
