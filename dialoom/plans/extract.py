@@ -2,9 +2,11 @@
 from pyspark.sql import functions as F
 
 from dialoom import fixed
+from dialoom.functions.stage import stage_dir
 from dialoom.operators import completions as C
 from dialoom.operators import extract as X
 from dialoom.operators import validate as V
+from dialoom.operators.changed import ChangedParts
 from dialoom.plans.inputs import TEXTS, spark_input, with_inputs
 from dialoom.plans.generate import L
 
@@ -142,10 +144,22 @@ def s11_skip_done_outputs(spark, sf_dir):
     return V.skip_done_outputs(work, spark_input(spark, sf_dir, "labels"), ["doc_id"])
 
 
+def s11_changed_parts(spark, sf_dir):
+    """Words per document, kept by source and language: a first run before the last document's text was known, a second one after it."""
+    docs = spark_input(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    last = docs.select(F.max("doc_id")).scalar()
+    job = lambda rows: rows.select("doc_id", "source", "lang", F.size(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("n_words"))
+    kept = ChangedParts(spark, stage_dir(spark), ["source", "lang"])
+    kept.update(docs.withColumn("text", F.when(F.col("doc_id") == last, F.concat("text", F.lit(" draft"))).otherwise(F.col("text"))), job)
+    before = kept.read().select(F.max("run")).first()[0]
+    kept.update(docs, job)
+    return kept.read().select("doc_id", "source", "lang", "n_words", (F.col("run") != before).alias("again"))
+
+
 QUERIES = {f.__name__: f for f in (
     x4_extract_fenced_calls, x4_extract_bare_json, x5_extract_prompt_entities, x6_extract_provider_responses, x7_parse_sse_lines, x8_extract_structured_output,
     j12_list_service_tools, j13_validate_tool_calls, j13_service_call_data, j14_canonicalize_service_names, j15_apply_model_rules, j15_parse_by_model_rules, j15_apply_rule_table,
-    a12_join_schema_errors, p24_flag_valid_hosts, s11_skip_done_outputs)}
+    a12_join_schema_errors, p24_flag_valid_hosts, s11_skip_done_outputs, s11_changed_parts)}
 
 _OBJ = lambda x: f"(json_valid({x}) AND starts_with(trim({x}), '{{') AND ends_with(trim({x}), '}}'))"
 _opts = lambda d: "{" + ", ".join(f"'{k}': '{v}'" for k, v in d.items()) + "}"
@@ -202,6 +216,8 @@ ORACLES = {
       SELECT page_id, host, host = 'localhost' OR regexp_matches(host, '{X.IPV4}') OR regexp_matches(host, '{X.HOST_NAME}') AS valid_host FROM h""",
     "j15_apply_rule_table": """WITH r AS (SELECT c_custkey, (SELECT max(s_suppkey) FROM supplier WHERE contains(lower(c_name), CAST(s_suppkey AS VARCHAR))) AS k FROM customer)
       SELECT c_custkey, CAST(k AS VARCHAR) AS rule, CAST(s_nationkey AS VARCHAR) AS nation, coalesce(CAST(k AS VARCHAR), '40') AS top_k, '1' AS top_p FROM r LEFT JOIN supplier ON s_suppkey = k""",
+    "s11_changed_parts": r"""SELECT doc_id, source, lang, CAST(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS INTEGER) AS n_words,
+      (source, lang) IS NOT DISTINCT FROM (SELECT (source, lang) FROM documents WHERE doc_id = (SELECT max(doc_id) FROM documents)) AS again FROM documents""",
     "s11_skip_done_outputs": "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
 }
 ORACLES["x4_extract_bare_json"] = ORACLES["x4_extract_bare_json"].replace("{{", "{").replace("}}", "}").replace("\\{\\{", "\\{")
