@@ -4,9 +4,12 @@ Every draw is a hash of row keys, so results do not depend on partitioning, retr
 Picks from a table go through a dense index: the drawing row computes `hash % n` and meets the
 picked row in an equi join, which moves each row once however large the table is.
 """
+from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +24,8 @@ from dialoom.functions.text import domain_of, lookup, placeholders, suffix_of
 # fixed values: strides for walking an index; a prime that does not divide n visits all n places
 STRIDES = [1000003, 1000033, 1000037, 1000039, 1000081, 1000099, 1000117, 1000121, 1000133, 1000151, 1000159, 1000171]
 SIMILAR = 0.4  # fixed value: names at least this alike count as the same device
+POOL_SENT = 50_000  # devices of a pile that is sent around whole
+STEPS_A_TASK = 1 << 20
 
 
 def by_language(*tables: DataFrame) -> list:
@@ -134,70 +139,111 @@ def likeness_bound(a: Column, b: Column) -> Column:
     return F.when(both == 0, F.lit(1.0)).otherwise(F.lit(2.0) * common / both)
 
 
-def alike_names(pairs: DataFrame, a: str, b: str, limit: float) -> DataFrame:
-    """The distinct pairs whose matching-block ratio is `limit` or more; only those that the bound lets through are matched."""
-    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+def alike_to_any(names: Column, name: Column, limit: float) -> Column:
+    """Whether the matching-block ratio of one of the `names` (without nulls) to `name` is `limit` or more; bounds of the ratio decide most pairs."""
+    @F.arrow_udf("boolean")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         from difflib import SequenceMatcher
-        return pd.Series([SequenceMatcher(None, s, t).ratio() for s, t in zip(x, y)], dtype="float64")
 
+        def alike(a, b):
+            m = SequenceMatcher(None, a, b)
+            return m.real_quick_ratio() >= limit and m.quick_ratio() >= limit and m.ratio() >= limit
+
+        for some, one in batches:
+            found = np.zeros(len(one), bool)
+            for i in np.flatnonzero(pc.fill_null(pc.greater(pc.list_value_length(some), 0), False).to_numpy(zero_copy_only=False)).tolist():
+                b = one[i].as_py()
+                found[i] = b is not None and any(alike(a, b) for a in some[i].as_py())
+            yield pa.array(found)
+
+    return run(names, name)
+
+
+def alike_names(pairs: DataFrame, a: str, b: str, limit: float) -> DataFrame:
+    """The distinct pairs whose matching-block ratio is `limit` or more; only those that the bound lets through are matched."""
     length = F.greatest(F.length(a) + F.length(b), F.lit(1))
     near = pairs.select(a, b).distinct().where(F.lit(2.0) * F.least(F.length(a), F.length(b)) / length >= F.when(F.length(a) + F.length(b) == 0, 0.0).otherwise(limit))
     near = near.where(likeness_bound(F.col(a), F.col(b)) >= limit)
-    return near.where(F.pandas_udf(ratio, "double")(F.col(a), F.col(b)) >= limit)
+    return near.where(alike_to_any(F.array(a), F.col(b), limit))
+
+
+def _with_first_length(start: DataFrame, pool: DataFrame, lang, similar) -> DataFrame:
+    """Add `_length`: how far a walk goes at first: as far as the need takes if all devices of the avoided types are refused, and somewhat more.
+
+    It is at most twice the need and 16, whatever the types; whoever is left short then walks on.
+    """
+    key = lambda language, kind: F.concat_ws("\u0001", language, kind)
+    counts = pool.groupBy(*lang, "type").agg(F.count(F.lit(1)).alias("n"))  # a row per type and language
+    entry = F.struct(key(F.col("language") if lang else F.lit(""), F.coalesce("type", F.lit(""))).alias("k"), F.col("n"))
+    start = start.withColumn("_types", counts.select(F.map_from_entries(F.collect_list(entry))).scalar())
+    kinds = F.filter("_near", lambda t: t == "climate") if similar is None else F.col("_near")
+    of = lambda t: F.coalesce(F.try_element_at("_types", key(F.col("language") if lang else F.lit(""), t)), F.lit(0).cast("bigint"))
+    refused = F.coalesce(F.aggregate(kinds, F.lit(0).cast("bigint"), lambda n, t: n + of(t)), F.lit(0).cast("bigint"))
+    need = F.ceil(F.col("_want") * F.col("_size") * F.lit(1.1) / F.greatest(F.col("_size") - refused, F.lit(1))).cast("bigint") + 12
+    return start.withColumn("_length", F.least(need, 2 * F.col("_want") + 16, F.col("_size"))).drop("_types")
 
 
-def sample_context_devices(examples: DataFrame, devices: DataFrame, seed, keys, max_devices=128, avoid="avoid", similar=SIMILAR) -> DataFrame:
-    """Distinct context devices per example (of its language): n uniform in 2..max, `rank` 0..n-1.
+def sample_context_devices(examples: DataFrame, devices: DataFrame, seed, keys, max_devices=128, avoid="avoid", similar=SIMILAR, carry=()) -> DataFrame:
+    """Distinct context devices per example (of its language): n uniform in 2..max, `rank` 0..n-1, with the example's columns `carry`.
 
     An example walks the device index with a stride coprime to its size, so no place repeats.
     Devices alike to an avoided name (ARRAY<STRING> of device names) of their own type are
     rejected, as are further climate devices when one is avoided; with `similar=None` only the
     avoided names themselves are. A first walk of somewhat more than the need serves nearly every example. Those
     it leaves short walk four times as far, and so on, until they have enough or have seen all.
-    Names are compared once for each distinct pair that walks meet (`alike_names`).
+
+    A step of a walk meets its device by the index, is tested there, and goes to its example by number, where it is ranked
+    and cut in the same task: it is moved twice, or once where the pile of devices is small enough to be sent around.
     """
-    spare = F.expr("_want div 4 + 8") if similar is None else F.expr("_want + 16")
     lang = by_language(examples, devices)
     pool = devices.select(*lang, "device_name", "description")
     pool = dense_index(pool, lang, "device_name").drop("n") if lang else number_all(pool, "device_name")
-    pool = stage(pool).hint("shuffle_hash")  # an exploded walk looks small to the planner, so neither side is sent around
+    pool = stage(pool.withColumn("type", domain_of(F.col("device_name"))))
     if lang:
         sizes = devices.groupBy("language").agg(F.count(F.lit(1)).alias("n"))
         size = F.coalesce(F.try_element_at(sizes.select(F.map_from_entries(F.collect_list(F.struct("language", "n")))).scalar(), F.col("language")), F.lit(0))
     else:
         size = F.lit(devices.count())
-    start = examples.select(*dict.fromkeys([*keys, *lang]), avoid).withColumn("_size", size.cast("bigint")).filter("_size > 0")
+    start = examples.select(*dict.fromkeys([*keys, *lang, *carry]), F.col(avoid).alias("_avoid")).withColumn("_size", size.cast("bigint")).filter("_size > 0")
     strides = F.filter(F.array(*[F.lit(s).cast("bigint") for s in STRIDES]), lambda s: F.col("_size") % s != 0)  # a prime that is no divisor is coprime
     start = start.withColumn("_strides", strides).withColumns({
         "_want": F.least(draw_int(seed, keys, "context:n", 2, max_devices), F.col("_size")),
         "_from": draw(seed, keys, "context:from", F.col("_size")),
         "_step": F.element_at("_strides", (draw(seed, keys, "context:step", F.size("_strides")) + 1).cast("int")) % F.col("_size"),
-        "_near": F.array_distinct(F.transform(avoid, domain_of))}).withColumn("_length", F.least(F.col("_want") + spare, F.col("_size"))).drop("_strides")
+        "_near": F.array_distinct(F.transform("_avoid", domain_of))}).drop("_strides")
+    start = _with_first_length(start, pool, lang, similar).withColumns({"_no_climate": F.array_contains("_near", "climate"), "_by": F.transform("_avoid", lambda a: F.struct(domain_of(a).alias("type"), a.alias("name")))})
+    start = stage(start.drop("_near").withColumn("_example", F.monotonically_increasing_id()))  # staged, so the numbers stay
+    # an exploded walk looks small to the planner, so it isn't left to choose the side that is sent around
+    pool = F.broadcast(pool) if pool.count() <= POOL_SENT else pool.hint("shuffle_hash")
 
     def walk(rows):
-        steps = rows.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_length") - 1)).alias("_k"))
-        steps = steps.withColumn("idx", (F.col("_from") + F.col("_k") * F.col("_step")) % F.col("_size"))
-        met = steps.join(pool, [*lang, "idx"]).withColumn("type", domain_of(F.col("device_name")))
-        met = met.filter(~(F.array_contains("_near", "climate") & (F.col("type") == "climate")))
+        # a few examples make very many steps, so tasks are dealt by steps and not by bytes
+        tasks = 1 + (rows.agg(F.sum("_length")).first()[0] or 0) // STEPS_A_TASK
+        rows = rows.repartition(tasks, "_example")
+        tested = ["_no_climate", "_avoid" if similar is None else "_by"]
+        steps = rows.select("_example", *lang, "_from", "_step", "_size", *tested, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_length") - 1)).alias("_k"))
+        steps = steps.select("_example", *lang, *tested, "_k", ((F.col("_from") + F.col("_k") * F.col("_step")) % F.col("_size")).alias("idx"))
+        met = steps.join(pool, [*lang, "idx"]).filter(~(F.col("_no_climate") & (F.col("type") == "climate")))
         if similar is None:
-            return met.filter(~F.array_contains(avoid, F.col("device_name")))
-        close = F.array_distinct(F.filter(avoid, lambda a: domain_of(a) == F.col("type")))
-        met = stage(met.withColumns({"_close": close, "_name": suffix_of(F.col("device_name"))}))
-        alike = alike_names(met.select(F.explode("_close").alias("_avoided"), "_name"), "_avoided", "_name", similar)
-        like = (met["_name"] == alike["_name"]) & F.array_contains(met["_close"], alike["_avoided"])
-        return met.join(alike, like, "left_anti").drop("_close", "_name")
+            met = met.filter(~F.array_contains("_avoid", F.col("device_name")))
+        else:
+            met = met.withColumn("_close", F.transform(F.filter("_by", lambda x: x["type"] == F.col("type")), lambda x: x["name"]))
+            name = F.when(F.size("_close") > 0, suffix_of(F.col("device_name")))
+            met = met.withColumn("_alike", alike_to_any(F.col("_close"), name, similar)).filter(~F.col("_alike"))
+        return met.select("_example", "_k", "device_name", "description", "type").join(rows.drop("_from", "_step", "_avoid", "_by").hint("shuffle_hash"), "_example")
 
     parts, left = [], start
     while True:
         # an example's walk is bounded by its own length, so these windows stay small
-        own = Window.partitionBy(*keys)
+        own = Window.partitionBy("_example")
         met = walk(left).withColumns({"rank": F.row_number().over(own.orderBy("_k")) - 1, "_got": F.count(F.lit(1)).over(own)})
         enough = (F.col("_got") >= F.col("_want")) | (F.col("_length") >= F.col("_size"))
-        parts.append(stage(met.filter(enough & (F.col("rank") < F.col("_want"))).select(*keys, "rank", "device_name", "description", "type")))
-        left = left.filter(F.col("_length") < F.col("_size")).join(parts[-1].select(*keys).distinct(), list(keys), "left_anti")
+        parts.append(stage(met.filter(enough & (F.col("rank") < F.col("_want"))).select("_example", *keys, "rank", "device_name", "description", "type", *[c for c in carry if c not in keys])))
+        done = parts[-1].where("rank = 0").select("_example")
+        left = left.filter(F.col("_length") < F.col("_size")).join(done, "_example", "left_anti")
         left = stage(left.withColumn("_length", F.least(4 * F.col("_length"), F.col("_size"))))
         if left.isEmpty():
-            return reduce(DataFrame.unionByName, parts)
+            return reduce(DataFrame.unionByName, parts).drop("_example")
 
 
 def insert_at_position(lines: Column, targets: Column, seed, keys) -> Column:
