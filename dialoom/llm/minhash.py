@@ -1,11 +1,12 @@
 """Links between texts whose sets of word shingles have a Jaccard similarity of `ALIKE` or more, decided on the sets.
 
-Each different shingle set is a node, named by the XXH64 of its sorted XXH64 shingle hashes. Candidates come from
-MinHash: `BANDS` keys a node, each of `ROWS` minima; two sets alike by 0.8 share no key with a probability of
-(1 - 0.8^5)^40 = 1e-7. SimHash segments would need 550 rows a node for 1e-4.
+Each different shingle set is a node, named by the XXH64 of its sorted shingle hashes. A shingle's hash is mixed from the
+XXH64 of its words, so every word is hashed once. Pairs that the caller holds likely (near fingerprints) are decided first. What they leave
+apart comes from MinHash: `BANDS` keys a node, each of `ROWS` minima; two sets alike by 0.8 share no key with a probability of
+(1 - 0.8^5)^40 = 1e-7. SimHash segments alone would need 550 rows a node for 1e-4.
 
 In every bucket each member is compared with one hub, which differs from bucket to bucket, so a family of near copies
-costs one comparison per member and bucket. The nodes of buckets that the links found don't hold together then meet by an exact
+costs one comparison per member and bucket, and none where both hang together already. The nodes of buckets that the links found don't hold together then meet by an exact
 prefix filter: of n shingles in a common order, rare ones first, one of the first n - ceil(0.8 n) + 1 is common to
 both sets of every linked pair. Only pairs of different components are compared, with the bounds of size and place.
 """
@@ -17,24 +18,38 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import byte_texts, stage, tidy
+from dialoom.llm.common import byte_texts, mix, stage, tidy
 from dialoom.llm.components import components
 
 BANDS, ROWS, AT_ONCE = 40, 5, 1024
+WORDS_MOST = 100_000  # words whose hashes a task remembers
 ALIKE = (4, 5)  # as a fraction, for comparisons of whole numbers
 _draws = np.random.Generator(np.random.PCG64(42)).integers(0, 2**64, (2, BANDS * ROWS), dtype=np.uint64)
 XOR, TIMES = _draws[0], _draws[1] | np.uint64(1)
 
 
+class _WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= WORDS_MOST:
+            self.clear()
+        self[word] = value = xxhash.xxh64_intdigest(word, 42)
+        return value
+
+
+_hashes = _WordHashes()
+
+
 def shingles(text: bytes | None, words_per_shingle: int) -> np.ndarray:
     """Sorted different hashes of the shingles; a text shorter than a shingle is one, an empty one has none."""
     words = (text or b"").lower().split()
     if not words:
         return np.empty(0, "<u8")
-    joined, k, h = b" ".join(words), min(words_per_shingle, len(words)), xxhash.xxh64_intdigest
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.append(0, ends[:-1] + 1)
-    return np.unique(np.array([h(joined[s:e], 42) for s, e in zip(starts[:len(words) - k + 1].tolist(), ends[k - 1:].tolist())], dtype="<u8"))
+    k, n = min(words_per_shingle, len(words)), len(words)
+    each = np.fromiter(map(_hashes.__getitem__, words), "<u8", n)
+    whole = np.full(n - k + 1, k, "<u8")
+    for j in range(k):
+        whole = mix(whole ^ each[j:n - k + 1 + j], j)
+    return np.unique(whole)
 
 
 def node(found: np.ndarray) -> int:
@@ -99,15 +114,26 @@ def _across(sets: DataFrame, rooted: DataFrame) -> DataFrame:
     return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
-def links(nodes: DataFrame, texts, words_per_shingle=5) -> DataFrame:
-    """a, b: links that connect all alike nodes (node, keys; distinct). texts(nodes) gives node, text for some of them."""
+def _apart(pairs: DataFrame, rooted: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose nodes have different roots."""
+    a, b = (rooted.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
+    return pairs.join(a, "a").join(b, "b").where("ra <> rb").select("a", "b")
+
+
+def links(nodes: DataFrame, texts, likely: DataFrame, words_per_shingle=5) -> DataFrame:
+    """a, b: links that connect all alike nodes (node, keys; distinct). texts(nodes) gives node, text for some of them.
+
+    `likely` (a, b; staged) are pairs that are decided first.
+    """
     homes = nodes.select("node", F.explode("keys").alias("key"))
     hub = F.min(F.col("node").bitwiseXOR(F.col("key"))).bitwiseXOR(F.col("key"))
     buckets = homes.groupBy("key").agg(hub.alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
     members = stage(homes.join(buckets, "key"))
-    met = stage(members.select("node").distinct())
+    met = stage(members.select("node").union(likely.select(F.explode(F.array("a", "b")))).distinct())
     sets = stage(texts(met).select("node", shingle_set(F.col("text"), words_per_shingle).alias("hashes")))
-    near = stage(_alike(members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), sets))
+    near = stage(_alike(likely, sets))
+    to_hubs = members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    near = stage(near.union(_alike(_apart(to_hubs, stage(_rooted(met, near))), sets)))
 
     rooted = stage(_rooted(met, near))
     placed = members.select("key", "node").join(rooted, "node")

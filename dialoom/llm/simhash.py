@@ -137,21 +137,36 @@ def groups(prints: DataFrame, linked: DataFrame, fp="fp", doc_id="doc_id") -> Da
     return placed.join(least, "root").select("fp", "component_id", "root")
 
 
+def near_prints(prints: DataFrame, distance=4) -> DataFrame:
+    """a, b: pairs of nodes (columns node, bits) that connect all whose fingerprints are at most `distance` bits apart.
+
+    The smallest node of a fingerprint stands for it, and the others of that fingerprint are paired with it.
+    """
+    nodes = stage(prints.groupBy("node").agg(F.min("bits").alias("bits")))
+    first = stage(nodes.groupBy("bits").agg(F.min("node").alias("first")))
+    same = nodes.join(first, "bits").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    linked = links(first.select(F.col("bits").alias("fp")), distance).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    of = lambda x, y: first.select(F.col("bits").alias(x), F.col("first").alias(y))
+    return same.union(linked.join(of("a", "na"), "a").join(of("b", "nb"), "b").select("na", "nb"))
+
+
 def drop_near_duplicates(docs: DataFrame, words_per_shingle=5) -> DataFrame:
     """One document of each group: the one with the smallest doc_id (of equal doc_ids the one with the smallest text key).
 
-    Documents are linked if their sets of different shingles have a Jaccard similarity of 0.8 or more.
+    Documents are linked if their sets of different shingles have a Jaccard similarity of 0.8 or more. Fingerprints at most
+    4 bits apart name the pairs that are decided first; alike sets with fingerprints further apart meet in `minhash.links`.
     """
     row, times = fresh(docs, "near_row"), fresh(docs, "near_times")
     keyed = docs.withColumn(row, text_key("doc_id", "text"))
-    sketched = keyed.select("doc_id", F.col(row).alias("row"), minhash.sketched(F.col("text"), words_per_shingle).alias("x"))
-    prints = stage(sketched.select("doc_id", "row", F.col("x.node").alias("node"), F.col("x.keys").alias("keys")))
+    sketched = keyed.select("doc_id", F.col(row).alias("row"), minhash.sketched(F.col("text"), words_per_shingle).alias("x"), fingerprint(F.col("text"), words_per_shingle)[0].alias("bits"))
+    prints = stage(sketched.select("doc_id", "row", F.col("x.node").alias("node"), F.col("x.keys").alias("keys"), "bits"))
 
     def texts(nodes: DataFrame) -> DataFrame:
         one = prints.select("node", "row").join(nodes, "node").groupBy("node").agg(F.min("row").alias("row"))
         return one.join(keyed.select(F.col(row).alias("row"), "text"), "row").dropDuplicates(["node"]).select("node", "text")
 
-    linked = stage(minhash.links(prints.select("node", "keys").dropDuplicates(["node"]), texts, words_per_shingle))
+    likely = stage(near_prints(prints))
+    linked = stage(minhash.links(prints.select("node", "keys").dropDuplicates(["node"]), texts, likely, words_per_shingle))
     kept = (prints.select("doc_id", "row", F.col("node").alias("fp")).join(groups(prints, linked, "node").select("fp", "root"), "fp").groupBy("root")
             .agg(F.min(F.struct("doc_id", "row")).alias("first")).select(F.col("first.row").alias("row")))
     counted = prints.groupBy("row").agg(F.count(F.lit(1)).alias("times"))
