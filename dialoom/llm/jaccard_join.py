@@ -1,6 +1,6 @@
 """Size-aware heavy-light join of shingle sets at a Jaccard similarity of 0.85 or more, exact.
 
-A document's set holds its different shingles (XXH64, seed 42). Documents with equal sets share a node, so copies take part once.
+A document's set holds its different shingles (64-bit hashes mixed from the XXH64 of their words). Documents with equal sets share a node, so copies take part once.
 Two sets of x and y shingles link if they have `need(x, y)` in common. With all shingles in one order, any two linked sets have
 their first common shingles near their beginnings; which order it is doesn't matter, and rare shingles come first here.
 
@@ -14,8 +14,8 @@ their first common shingles near their beginnings; which order it is doesn't mat
 The order is by frequency class and hash. Frequent shingles (a passage in a third of all documents) are counted over all
 documents; those in more than a threshold of sets come last, and at most 2^20 of them are sent around. The lists of the rest are short.
 
-Candidates: each list (or pair of shingles) names its smallest node as hub, and each node is compared with the likeliest of its hubs, so
-a family of near copies costs one comparison a member instead of all pairs. Nodes which that leaves apart meet wherever a list holds
+Candidates: each list (or pair of shingles) names its smallest node as hub, and each node is compared with the likeliest of the two hubs
+of most of its lists, so a family of near copies costs two bitmaps and one comparison a member instead of all pairs. Nodes which that leaves apart meet wherever a list holds
 several groups, with bounds of size and place, so no link between groups is lost; long lists are compared block by block inside tasks. Bitmaps (parities of shingle hashes)
 bound the overlap of a pair from above; the rest is decided on the shingles of both texts. Components join what is linked.
 
@@ -255,11 +255,15 @@ def _ordered_pair(x: str, y: str) -> list[Column]:
 
 
 def _to_hubs(lists: DataFrame, sets: DataFrame) -> DataFrame:
-    """For each node the likeliest of the hubs it may link with."""
+    """For each node the likeliest of the hubs it may link with: of the two that most of its lists name, the one with the nearer bitmap.
+
+    The members of a family share lists with many hubs; whom the one chosen here doesn't link is met in `_across`.
+    """
     hubs = stage(lists.groupBy("key").agg(F.min("node").alias("hub")))
     hub = lists.alias("h").join(hubs, "key").where("node = hub").select("key", "node", "n", "at", "two")
-    met = lists.alias("x").join(stage(hub).alias("h"), "key").where(_possible("x", "h")).select(F.col("x.node").alias("a"), F.col("h.node").alias("b")).distinct()
-    near = _bounded(met, sets)
+    met = lists.alias("x").join(stage(hub).alias("h"), "key").where(_possible("x", "h")).groupBy(F.col("x.node").alias("a"), F.col("h.node").alias("b")).agg(F.count(F.lit(1)).alias("lists"))
+    first = F.slice(F.sort_array(F.collect_list(F.struct("lists", "b")), asc=False), 1, 2)
+    near = _bounded(met.groupBy("a").agg(first.alias("x")).select("a", F.explode("x.b").alias("b")), sets)
     best = near.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("x"))
     return best.select("a", F.col("x.b").alias("b"))
 
