@@ -16,7 +16,8 @@ documents; those in more than a threshold of sets come last, and at most 2^20 of
 
 Candidates: each list (or pair of shingles) names its smallest node as hub, and each node is compared with the likeliest of the two hubs
 of most of its lists, so a family of near copies costs two bitmaps and one comparison a member instead of all pairs. Nodes which that leaves apart meet wherever a list holds
-several groups, with bounds of size and place, so no link between groups is lost; long lists are compared block by block inside tasks. Bitmaps (parities of shingle hashes)
+several groups, with bounds of size and place, so no link between groups is lost; long lists are compared block by block inside tasks, in
+rounds: first a few partners a node, at last all between the groups that remain. Bitmaps (parities of shingle hashes)
 bound the overlap of a pair from above; the rest is decided on the shingles of both texts. Components join what is linked.
 
 Null, empty and blank texts have no shingle and are linked with nothing. Fewer words than a shingle: one shingle of them all. Two
@@ -44,6 +45,7 @@ PAIRS_MOST = 1000  # the boundary stays below, so that a set has at most some te
 BITS_PER_SHINGLE, BITMAP_MOST = 4, 1 << 16
 SEEN = 100_000  # sets a task remembers, so as not to write copies again
 CROWDED, BLOCK = 64, 1024  # nodes of a list
+TRIES = (2, 16, None)  # partners that a node of a crowded list names, round by round; None: all
 KEY = (1 << 48) - 1
 
 
@@ -257,7 +259,7 @@ def _ordered_pair(x: str, y: str) -> list[Column]:
 def _to_hubs(lists: DataFrame, sets: DataFrame) -> DataFrame:
     """For each node the likeliest of the hubs it may link with: of the two that most of its lists name, the one with the nearer bitmap.
 
-    The members of a family share lists with many hubs; whom the one chosen here doesn't link is met in `_across`.
+    The members of a family share lists with many hubs; whom the one chosen here doesn't link is met in `links`.
     """
     hubs = stage(lists.groupBy("key").agg(F.min("node").alias("hub")))
     hub = lists.alias("h").join(hubs, "key").where("node = hub").select("key", "node", "n", "at", "two")
@@ -268,37 +270,61 @@ def _to_hubs(lists: DataFrame, sets: DataFrame) -> DataFrame:
     return best.select("a", F.col("x.b").alias("b"))
 
 
-def _across(lists: DataFrame, rooted: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes of different groups that meet in a list within all bounds.
-
-    Entries of lists with up to CROWDED nodes are joined. Longer lists are cut into blocks, and a task compares the
-    bitmaps of two blocks, so that of a crowd only pairs that may link leave it, from the first list they share.
-    """
-    rows = stage(lists.join(rooted, "node"))
+def _torn(lists: DataFrame, found: DataFrame) -> DataFrame:
+    """The lists that hold several groups, with each entry's root, the list's main group and its size."""
+    met = lists.select("node").distinct()
+    rows = stage(lists.join(_rooted(met, found), "node"))
     counted = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("members"))
     main = counted.groupBy("key").agg(F.max_by("root", "members").alias("main"), F.count(F.lit(1)).alias("roots"), F.sum("members").alias("total")).where("roots > 1").select("key", "main", "total")
-    torn = stage(rows.join(stage(main), "key"))
-    few = torn.where(F.col("total") <= CROWDED)
+    return rows.join(stage(main), "key")
+
+
+def _rooted(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows with a node, and the root of the group that the links found so far put it in."""
+    return rows.join(stage(components(found, "a", "b")), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _met(few: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes of different groups that meet in a list within all bounds; for lists with few nodes."""
     met = few.where("root <> main").alias("x").join(few.alias("y"), F.expr(f"x.key = y.key and x.root <> y.root and {_possible('x', 'y')}"))
-    met = met.select(*_ordered_pair("x.node", "y.node")).distinct()
+    return _bounded(met.select(*_ordered_pair("x.node", "y.node")).distinct(), sets).select("a", "b")
+
+
+def _crowded(crowd: DataFrame, sets: DataFrame, most: int | None) -> DataFrame:
+    """a, b, key, more: as `_met` for crowded lists, but a node names `most` partners in two blocks, and `more` says that others are left (None: all).
 
-    known = sets.where("bits is not null").select("node", "lists", "bits").dropDuplicates(["node"])
+    The lists are cut into blocks, and a task compares the bitmaps of two blocks, so that of a crowd only pairs that may link leave it.
+    """
+    known = sets.where("bits is not null").select("node", *(["lists"] if most is None else []), "bits").dropDuplicates(["node"])
     blocks = F.ceil(F.col("total") / BLOCK).cast("int")
-    crowd = torn.where(F.col("total") > CROWDED).join(known, "node")
-    placed = crowd.withColumns({"own": F.pmod(F.xxhash64("node"), blocks).cast("int"), "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
-    dealt = placed.select("key", *[f("own", "other").alias(n) for f, n in ((F.least, "i"), (F.greatest, "j"))], "own", "node", "n", "at", "two", "root", "lists", "bits")
-    crowded = dealt.groupBy("key", "i", "j").applyInArrow(_meet_in_blocks, "a bigint, b bigint")
-    return _bounded(met, sets).select("a", "b").union(crowded.distinct())
+    placed = crowd.join(known, "node").withColumns({"own": F.pmod(F.xxhash64("node"), blocks).cast("int"), "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
+    dealt = placed.select("key", *[f("own", "other").alias(n) for f, n in ((F.least, "i"), (F.greatest, "j"))], "own", "node", "n", "at", "two", "root", *known.columns[1:])
+
+    def run(group: pa.Table) -> pa.Table:
+        return _meet_in_blocks(group, most)
+
+    return dealt.groupBy("key", "i", "j").applyInArrow(run, "a bigint, b bigint, key bigint, more boolean")
+
 
+def _first_tries(near: np.ndarray, most: int) -> np.ndarray:
+    """Of a matrix of candidates `most` of each row and of each column, with the partners that have most candidates: a crowd names the same few."""
+    kept = np.zeros_like(near)
+    for side, out in ((near, kept), (near.T, kept.T)):
+        order = np.argsort(-side.sum(axis=0), kind="stable")
+        asked = side[:, order]
+        out[:, order] |= asked & (np.cumsum(asked, axis=1, dtype=np.int32) <= most)
+    return kept
 
-def _meet_in_blocks(group: pa.Table) -> pa.Table:
-    """Pairs of one list within the bounds of size, place and bitmaps whose first common shingle is that of the list."""
+
+def _meet_in_blocks(group: pa.Table, most: int | None) -> pa.Table:
+    """Pairs of one list within the bounds of size, place and bitmaps: `most` of each node, or all whose first common shingle is that of the list."""
     group = group.combine_chunks()
     name, n, at, root, own = (group.column(c).to_numpy() for c in ("node", "n", "at", "root", "own"))
     both = 2 if group.column("two")[0].as_py() else 1
     words = np.array([len(x) for x in group.column("bits")])
-    earlier = [[] if both == 2 or x is None else x[:p - 1] for x, p in zip(group.column("lists").to_pylist(), at.tolist())]
-    found = []
+    if most is None:
+        earlier = [[] if both == 2 or x is None else x[:p - 1] for x, p in zip(group.column("lists").to_pylist(), at.tolist())]
+    found, more = [], False
     for w in np.unique(words):
         for v in (w, 2 * w):  # sets that can link have bitmaps of the same size or of twice that
             x, y = np.flatnonzero(words == w), np.flatnonzero(words == v)
@@ -316,10 +342,14 @@ def _meet_in_blocks(group: pa.Table) -> pa.Table:
             near &= (np.minimum(a, b) * 20 >= np.maximum(a, b) * 17) & (root[x][:, None] != root[y][None, :])
             if (group.column("i")[0] != group.column("j")[0]):
                 near &= own[x][:, None] != own[y][None, :]
+            if most is not None:
+                tries = _first_tries(near, most)
+                more |= bool((near & ~tries).any())
+                near = tries
             if v == w:
-                near &= name[x][:, None] < name[y][None, :]
+                near = (near | near.T) & (name[x][:, None] < name[y][None, :])
             i, j = np.nonzero(near)
-            if len(i) and both == 1:
+            if len(i) and both == 1 and most is None:
                 column = {s: c for c, s in enumerate({s for k in (*x, *y) for s in earlier[k]})}
                 has = []
                 for z in (x, y):
@@ -331,17 +361,32 @@ def _meet_in_blocks(group: pa.Table) -> pa.Table:
                 i, j = i[first], j[first]
             found.append((name[x][i], name[y][j]))
     a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-    return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+    key = np.full(len(a), group.column("key")[0].as_py(), np.int64)
+    return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64()), "key": pa.array(key), "more": pa.array(np.full(len(a), more))})
 
 
 def links(sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """a, b: links that connect all nodes that link; `sets` is staged."""
+    """a, b: links that connect all nodes that link; `sets` is staged.
+
+    In a crowded list nodes try a few partners first; what that links is one group, so that of a family of near copies not all pairs have to be
+    decided. Lists in which candidates were left are met again by the groups of then, in the last of TRIES for all pairs between different groups.
+    """
     lists = _lists(sets)
-    near = stage(_decided(stage(_to_hubs(lists, sets)), sets, docs))
-    met = lists.select("node").distinct()
-    rooted = stage(met.join(components(near, "a", "b"), "node", "left").select("node", F.coalesce("root", "node").alias("root")))
-    across = stage(_across(lists, rooted, sets))
-    return near.union(_decided(across, sets, docs)) if across.limit(1).count() else near
+    found = stage(_decided(stage(_to_hubs(lists, sets)), sets, docs))
+    torn = stage(_torn(lists, found))
+    asked, tried = _met(torn.where(F.col("total") <= CROWDED), sets), None
+    crowd = torn.where(F.col("total") > CROWDED)
+    for most in TRIES:
+        met = stage(_crowded(crowd, sets, most))
+        pairs = met.select("a", "b").distinct()
+        pairs = stage(asked.union(pairs).distinct() if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = pairs if tried is None else tried.union(pairs)
+        found = found.union(stage(_decided(pairs, sets, docs))) if pairs.limit(1).count() else found
+        left = met.where("more").select("key").distinct()
+        if most is None or not left.limit(1).count():
+            return found
+        crowd = stage(_rooted(crowd.drop("root").join(left, "key"), found))
+    return found
 
 
 def jaccard_join(docs: DataFrame, doc_id="doc_id", text="text", pairs_up_to: int | None = None) -> DataFrame:

@@ -85,6 +85,30 @@ def test_chains_and_close_calls(table, monkeypatch):
     assert sorted(repr(tuple(x)) for x in jj.op13(table(rows)).collect()) == slow(rows)
 
 
+@pytest.mark.parametrize("changes", [(1, 2, 2), (2, 2, 2, 1)])
+def test_a_crowd_of_near_copies_is_not_decided_pair_by_pair(table, changes, monkeypatch):
+    """In a family of which most pairs may link few of them are compared by their texts."""
+    for name, value in (("FREQUENT", 5), ("CROWDED", 8), ("BLOCK", 64)):
+        monkeypatch.setattr(jj, name, value)
+    r, rows, asked = random.Random(11), [], []
+    words = [f"f{i}" for i in range(200)]
+    for i in range(150):
+        copy = list(words)
+        for at in r.sample(range(len(copy)), r.choice(changes)):
+            copy[at] = f"g{i}_{at}"
+        rows.append((i, " ".join(copy), "en"))
+    decide = jj._decided
+
+    def counted(pairs, sets, docs):
+        asked.append(pairs.count())
+        return decide(pairs, sets, docs)
+
+    monkeypatch.setattr(jj, "_decided", counted)
+    got = jj.op13(table(rows)).collect()
+    assert sorted(repr(tuple(x)) for x in got) == slow(rows)
+    assert sum(asked) < 20 * len(rows), asked
+
+
 def test_beginnings_hold_the_common_shingles():
     r = np.random.default_rng(3)
     for _ in range(3000):
