@@ -85,11 +85,11 @@ def session_stream_keeping_late(events: DataFrame, key: str, ts: str, gap_second
             self.open = handle.getListState("open", "start bigint, last bigint, n bigint")
 
         def _held(self):
-            rows = list(self.open.get()) if self.open.exists() else []
+            rows = list(self.open.get())
             return np.array([[int(x) for x in r] for r in rows], np.int64).reshape(-1, 3).T
 
-        def _save(self, held):
-            for timer in list(self.handle.listTimers()):
+        def _save(self, held, new=False):
+            for timer in [] if new else list(self.handle.listTimers()):  # a key without open sessions has none
                 self.handle.deleteTimer(timer)
             if not held.shape[1]:
                 self.open.clear()
@@ -101,16 +101,17 @@ def session_stream_keeping_late(events: DataFrame, key: str, ts: str, gap_second
         def _frame(self, key, kind, starts, lasts, counts, rows=None):
             import pandas as pd
             n = len(starts)
-            times = {"start": starts, "last_event": lasts, "n": counts}
-            made = {name: pd.array(x, dtype="Int64") for name, x in times.items()}
-            for name in ("start", "last_event"):
-                made[name][np.asarray(starts) == untimed] = pd.NA
-            return pd.DataFrame({"k": pd.Series([key[0]] * n, dtype="object"), "kind": pd.Series([kind] * n, dtype="object"), **made,
-                                 "row": pd.Series([None] * n if rows is None else rows, dtype="object")})
+            made = {"start": starts, "last_event": lasts, "n": counts}
+            if (starts == untimed).any():
+                for name in ("start", "last_event"):
+                    made[name] = pd.array(made[name], dtype="Int64")
+                    made[name][starts == untimed] = pd.NA
+            return pd.DataFrame({"k": np.array([key[0]] * n, object), "kind": np.array([kind] * n, object), **made, "row": np.array([None] * n if rows is None else rows, object)})
 
         def handleInputRows(self, key, rows, timerValues):
             limit = timerValues.getCurrentWatermarkInMs() * 1000  # 0: no row has been seen yet
             held, changed = self._held(), False
+            new = not held.shape[1]
             for batch in rows:
                 at = batch["us"].to_numpy(np.int64)
                 late = at == untimed
@@ -122,7 +123,7 @@ def session_stream_keeping_late(events: DataFrame, key: str, ts: str, gap_second
                 if len(at):
                     held, changed = np.stack(merged(*np.concatenate([held, np.stack([at, at, np.ones(len(at), np.int64)])], axis=1))), True
             if changed:
-                self._save(held)
+                self._save(held, new)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
             limit = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs() + 1) * 1000
