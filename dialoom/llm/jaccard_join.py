@@ -307,7 +307,9 @@ def _crowded(crowd: DataFrame, sets: DataFrame, most: int | None) -> DataFrame:
 
 
 def _first_tries(near: np.ndarray, most: int) -> np.ndarray:
-    """Of a matrix of candidates `most` of each row and of each column, with the partners that have most candidates: a crowd names the same few."""
+    """Of a matrix of candidates `most` of each row and of each column, with the partners that have most candidates: a crowd names the same few. All, if they are no more than that."""
+    if near.sum() <= most * sum(near.shape):
+        return near
     kept = np.zeros_like(near)
     for side, out in ((near, kept), (near.T, kept.T)):
         order = np.argsort(-side.sum(axis=0), kind="stable")
