@@ -66,9 +66,11 @@ def t2_throttle_from_table(spark, sf_dir):
 
 def t3_parse_completion_stream(spark, sf_dir):
     T.use_rocksdb(spark)
-    texts = spark_input(spark, sf_dir, "stream_texts").withColumn("n", F.ceil(F.length("completion") / 7))
-    chunks = stage(texts.select("msg_id", F.explode(F.sequence(F.lit(0), F.col("n").cast("int"))).alias("seq"), "completion", "n").select(
-        "msg_id", "seq", F.substring("completion", F.col("seq") * 7 + 1, F.lit(7)).alias("content"), (F.col("seq") == F.col("n")).alias("is_last")))
+    # seven characters a chunk and an empty one at the end; each text is cut in one go
+    pieces = F.regexp_extract_all("completion", F.lit("(?s).{1,7}"), F.lit(0))
+    texts = spark_input(spark, sf_dir, "stream_texts").repartition("msg_id").select("msg_id", F.concat(pieces, F.array(F.lit(""))).alias("pieces"))
+    chunks = stage(texts.select("msg_id", F.size("pieces").alias("n"), F.posexplode("pieces").alias("seq", "content")).select(
+        "msg_id", "seq", "content", (F.col("seq") == F.col("n") - 1).alias("is_last")))
     got = T.run_to_table(T.parse_completion_stream(_stream_of(chunks.filter("seq < 9"), chunks.filter("seq >= 9 and seq < 40"), chunks.filter("seq >= 40")), "msg_id"))
     joined = lambda k, sep: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.struct("out_seq", "content")))), lambda x: x["content"]), sep)
     # a message has as many pieces as its text has chunks at most

@@ -226,6 +226,26 @@ def throttle_refresh(changes: DataFrame, key: str, ts: str, interval_seconds: in
     return out.select(F.col("k").alias(key), F.timestamp_micros("at").alias("refresh_at"), "kind")
 
 
+def _runs(batches):
+    """Of chunks (k, seq, content, is_last) those that follow one another as one row, with a list of contents; the others as lists of one."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, seq, content, last = (batch.column(c) for c in ("k", "seq", "content", "is_last"))
+        last = pc.fill_null(last, False)
+        begins = np.ones(batch.num_rows, bool)
+        if not pa.types.is_nested(key.type):  # such keys can't be compared here
+            follows = pc.and_(pc.equal(key[1:], key[:-1]), pc.equal(seq[1:], pc.add(seq[:-1], 1)))
+            begins[1:] = ~pc.fill_null(pc.and_(follows, pc.invert(last[:-1])), False).to_numpy(zero_copy_only=False)
+        first = np.flatnonzero(begins)
+        ends = np.append(first[1:], batch.num_rows)
+        contents = pa.ListArray.from_arrays(pa.array(np.append(first, batch.num_rows), pa.int32()), content)
+        yield pa.RecordBatch.from_arrays([key.take(pa.array(first)), seq.take(pa.array(first)), contents, last.take(pa.array(ends - 1))], ["k", "seq", "contents", "is_last"])
+
+
 def parse_completion_stream(chunks: DataFrame, key="conv_id", think=("<think>", "</think>"), tool=("<tool_call>", "</tool_call>"),
                             idle_seconds: int | None = None, gap_seconds: int | None = None, most_waiting=10_000) -> DataFrame:
     """Text and call rows out of completion chunks (key, seq from 0 without gaps, content, is_last).
@@ -233,16 +253,18 @@ def parse_completion_stream(chunks: DataFrame, key="conv_id", think=("<think>",
     A chunk waits until all with a smaller seq are there, also over micro-batches. Thinking is hidden, but calls inside it
     count, as in the batch parser; call blocks are held back until they close, also when a marker is split over chunks.
     The last chunk flushes what is open: a call counts as closed, thinking without an end is text. Output rows are numbered
-    per key by `out_seq`. Every chunk is read once (`Markers`); open blocks lie in the state in pieces.
+    per key by `out_seq`. Every chunk is read once (`Markers`); open blocks lie in the state in pieces. Chunks of a task that follow one
+    another are moved as one row, and what a micro-batch brings for a key in one go is read in one go.
 
     A gap is given up when `most_waiting` chunks wait behind it, or when no chunk has come for `gap_seconds`, which gives a row of
     kind `gap` with the missing numbers; a chunk of a given-up gap that comes after all gives a row of kind `late`.
     A key without chunks for `idle_seconds` is flushed and forgotten. Both are processing times and need a query that goes on
     running: with timers Spark plans batches without end, so `availableNow` would never stop. A chunk that comes twice counts once.
     """
+    from pyspark.sql import Row
     from pyspark.sql.streaming import StatefulProcessor
 
-    from dialoom.streaming.markers import Markers
+    from dialoom.streaming.markers import PIECE, Markers
 
     open_fields = ["mode", "tail", "open_think", "open_tool", "n_think", "n_tool"]
     timed = idle_seconds is not None or gap_seconds is not None
@@ -267,12 +289,15 @@ def parse_completion_stream(chunks: DataFrame, key="conv_id", think=("<think>",
             return taken
 
         def _load(self):
-            if self.state.exists():
-                *held, self.emitted, self.seq, self.last_at, self.n_waiting = self.state.get()
+            known = self.state.get()
+            if known:
+                *held, self.emitted, self.seq, self.last_at, self.n_waiting = known
                 self.markers = Markers(think, tool, **dict(zip(open_fields, held)))
             else:
                 self.markers, self.emitted, self.seq, self.last_at, self.n_waiting = Markers(think, tool), 0, 0, 0, 0
             self.out, self.text, self.done = [], [], False
+            self.fresh, self.n_fresh = [], 0  # chunks in order that the markers haven't seen yet
+            self.known = bool(known)
 
         def _said(self, kind, content):
             if kind == "text":
@@ -284,10 +309,19 @@ def parse_completion_stream(chunks: DataFrame, key="conv_id", think=("<think>",
             self.out.append((kind, content))
 
         def _take_chunk(self, content, last):
-            self.markers.feed(self, content or "", self._said)
+            if content:
+                self.fresh.append(content)
+                self.n_fresh += len(content)
+                if self.n_fresh > PIECE:
+                    self._read()
             self.seq += 1
             self.done = last
 
+        def _read(self):
+            if self.fresh:
+                self.markers.feed(self, "".join(self.fresh), self._said)
+                self.fresh, self.n_fresh = [], 0
+
         def _take_waiting(self):
             while self.n_waiting and not self.done and self.waiting.containsKey((self.seq,)):
                 content, last = self.waiting.getValue((self.seq,))
@@ -297,26 +331,28 @@ def parse_completion_stream(chunks: DataFrame, key="conv_id", think=("<think>",
 
         def _give_up_gap(self):
             first = min(k[0] for k in self.waiting.keys())
+            self._read()
             self.skipped.updateValue((self.seq,), (first - 1,))
             self._said("gap", f"{self.seq}-{first - 1}")
+            self.known = True
             self.seq = first
             self._take_waiting()
 
         def _rows(self, key):
-            import pandas as pd
+            self._read()
             if self.done:
                 self.markers.finish(self, self._said)
             if self.text:
                 self.out.append(("text", "".join(self.text)))
-            out, start = self.out, self.emitted
-            return pd.DataFrame({"k": pd.Series([key[0]] * len(out), dtype="object"), "out_seq": range(start, start + len(out)), "kind": pd.Series([o[0] for o in out], dtype="object"),
-                                 "content": pd.Series([o[1] for o in out], dtype="object")}).astype({"out_seq": "int64"})
+            return [Row(k=key[0], out_seq=self.emitted + i, kind=kind, content=content) for i, (kind, content) in enumerate(self.out)]
 
         def _save(self, now):
             for timer in list(self.handle.listTimers()) if timed else []:
                 self.handle.deleteTimer(timer)
             if self.done:
-                for state in (self.state, self.waiting, self.pieces, self.skipped):
+                if self.n_waiting:
+                    self.waiting.clear()
+                for state in (self.state, self.skipped) if self.known else []:  # pieces are gone with the blocks
                     state.clear()
                 return
             self.state.update((*(getattr(self.markers, f) for f in open_fields), self.emitted + len(self.out), self.seq, self.last_at, self.n_waiting))
@@ -325,32 +361,32 @@ def parse_completion_stream(chunks: DataFrame, key="conv_id", think=("<think>",
                 self.handle.registerTimer(max(now + 1, self.last_at + min(waits) * 1000))
 
         def handleInputRows(self, key, rows, timerValues):
-            import pandas as pd
-            batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
+            came = sorted(((r.seq + i, content, r.is_last and i == len(r.contents) - 1) for r in rows for i, content in enumerate(r.contents)), key=lambda c: c[0])
             self._load()
             self.last_at = timerValues.getCurrentProcessingTimeInMs() if timed else 0
-            for n, content, last in zip(batch["seq"].tolist(), batch["content"].tolist(), batch["is_last"].tolist()):
+            for n, content, last in came:
                 if self.done:
                     break
                 if n == self.seq:
-                    self._take_chunk(content, bool(last))
+                    self._take_chunk(content, last)
                     self._take_waiting()
                 elif n < self.seq:
                     gap = next(((a[0], b[0]) for a, b in self.skipped.iterator() if a[0] <= n <= b[0]), None)
                     if gap:  # the numbers around it stay missing
+                        self._read()
                         self._said("late", content)
                         self.skipped.removeKey((gap[0],))
                         for a, b in ((gap[0], n - 1), (n + 1, gap[1])):
                             if a <= b:
                                 self.skipped.updateValue((a,), (b,))
                 elif not self.waiting.containsKey((n,)):
-                    self.waiting.updateValue((n,), (content, bool(last)))
+                    self.waiting.updateValue((n,), (content, last))
                     self.n_waiting += 1
                     if most_waiting is not None and self.n_waiting > most_waiting:
                         self._give_up_gap()
             result = self._rows(key)
             self._save(self.last_at)
-            yield result
+            yield from result
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
             self._load()
@@ -361,14 +397,16 @@ def parse_completion_stream(chunks: DataFrame, key="conv_id", think=("<think>",
             self.done = self.done or over
             result = self._rows(key)
             self._save(now)
-            yield result
+            yield from result
 
         def close(self):
             pass
 
     rows = chunks.select(F.col(key).alias("k"), F.col("seq").cast("bigint").alias("seq"), "content", "is_last")
-    out = rows.groupBy("k").transformWithStateInPandas(
-        statefulProcessor=Parser(), outputStructType=f"k {rows.schema['k'].dataType.simpleString()}, out_seq bigint, kind string, content string",
+    kind = rows.schema["k"].dataType.simpleString()
+    runs = rows.mapInArrow(_runs, f"k {kind}, seq bigint, contents array<string>, is_last boolean")
+    out = runs.groupBy("k").transformWithState(
+        statefulProcessor=Parser(), outputStructType=f"k {kind}, out_seq bigint, kind string, content string",
         outputMode="append", timeMode="ProcessingTime" if timed else "none")
     return out.withColumnRenamed("k", key)
 

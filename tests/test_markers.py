@@ -3,6 +3,7 @@ import random
 import re
 import time
 
+import pyarrow as pa
 import pytest
 
 from dialoom.functions.stage import stage_dir
@@ -106,3 +107,18 @@ def test_large_block_over_micro_batches(spark):
     stream = chunked(spark, rows[:6000], rows[6000:12000][::-1], rows[12000:])
     got = sorted(streams.run_to_table(streams.parse_completion_stream(stream)).collect(), key=lambda r: r.out_seq)
     assert [r.content for r in got if r.kind == "call"] == [block] and "".join(r.content for r in got if r.kind == "text") == "say  done"
+
+
+def test_chunks_that_follow_one_another_are_moved_as_one_row():
+    rows = [(1, 0, "a", False), (1, 1, None, False), (1, 2, "c", True), (1, 3, "d", None), (2, 4, "e", False), (2, 6, "f", False), (2, 6, "g", False), (None, 7, "h", False), (None, 8, "i", True)]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("k", "seq", "content", "is_last"), r)) for r in rows],
+                                       pa.schema([("k", pa.int32()), ("seq", pa.int64()), ("content", pa.string()), ("is_last", pa.bool_())]))
+    got = [tuple(r.values()) for b in streams._runs([batch.slice(0, 0), batch]) for r in b.to_pylist()]
+    assert got == [(1, 0, ["a", None, "c"], True), (1, 3, ["d"], False), (2, 4, ["e"], False), (2, 6, ["f"], False), (2, 6, ["g"], False),
+                   (None, 7, ["h"], False), (None, 8, ["i"], True)]
+
+
+def test_a_late_chunk_stays_between_the_texts_around_it(spark):
+    stream = chunked(spark, [(1, 0, "a", False), (1, 3, "d", False), (1, 4, "e", False)], [(1, 5, "f", False), (1, 2, "c", False), (1, 6, "<tool", False), (1, 7, "_call>x", True)])
+    got = sorted(streams.run_to_table(streams.parse_completion_stream(stream, most_waiting=1)).collect(), key=lambda r: r.out_seq)
+    assert [(r.kind, r.content) for r in got] == [("text", "a"), ("gap", "1-2"), ("text", "de"), ("late", "c"), ("text", "f"), ("call", "x")]
