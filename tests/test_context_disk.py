@@ -56,3 +56,15 @@ def test_likeness_is_that_of_difflib():
         ratio = SequenceMatcher(None, a, b).ratio()
         for limit in (0.4, ratio, rand.random()):
             assert S.likeness(limit)(a, b) == (ratio >= limit)
+
+
+def test_examples_are_dealt_once_before_they_grow(spark, sf_dir):
+    """No entry is moved or staged: what the five kinds come from is dealt by the entries' keys, and that is all that moves."""
+    from dialoom.plans.generate import g6_build_sft
+    plan = g6_build_sft(spark, sf_dir)._jdf.queryExecution().executedPlan().toString().split("\n")
+    # the join of examples with their lines, the sort of each side, and the union of the five kinds right below it
+    at = next(i for i, x in enumerate(plan) if "SortMergeJoin [row_id#" in x)
+    below = [re.sub(r"^[ :+*\-0-9()]*", "", x).split(" ")[0] for x in plan[at + 1:at + 6]]
+    assert "Union" in below and "Exchange" not in below[:below.index("Union")]
+    dealt = [x for x in plan if "REPARTITION_BY_NUM" in x and "row_id#" in x]
+    assert len(dealt) >= 6 and not any("Exchange hashpartitioning(row_id#" in x and "ENSURE_REQUIREMENTS" in x for x in plan)
